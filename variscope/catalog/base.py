@@ -8,7 +8,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from variscope.operators import blocks as B
+from variscope.functions import lines as L
+from variscope.operators import blocks as B, models as M
 from variscope.session import shared
 from variscope.sources import projections as P
 
@@ -55,6 +56,55 @@ class Tables:
     def rewritten(self) -> DataFrame:
         return self._keep("rewritten", lambda: B.rewrite_symbols(self.blocks, self.defines))
 
+    @cached_property
+    def model(self) -> DataFrame:
+        return self._keep("model", lambda: M.formulas(self.model_symbol, self.model_literal))
+
+    @cached_property
+    def archs(self) -> DataFrame:
+        return self.model.select("arch").distinct()
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return M.model_edges(self.model)
+
+    @cached_property
+    def file_models(self) -> DataFrame:
+        return self._keep("file_models", lambda: M.model_for_file(self.source_file, self.archs))
+
+    @cached_property
+    def file_uses(self) -> DataFrame:
+        """(file_id, arch, symbol): symbols of the block headers of a file."""
+
+        def build():
+            uses = L.expr_symbols(self.blocks.select("file_id", "expr")).distinct()
+            return uses.join(self.file_models, "file_id")
+
+        return self._keep("file_uses", build)
+
+    @cached_property
+    def related(self) -> DataFrame:
+        """(arch, start, symbol) for every symbol used in a file or known to a model."""
+
+        def build():
+            starts = self.file_uses.select("arch", "symbol").unionByName(self.model.select("arch", "symbol")).distinct()
+            return M.related_symbols(starts, self.edges)
+
+        return self._keep("related", build)
+
+    @cached_property
+    def forced(self) -> DataFrame:
+        return self._keep("forced", lambda: M.forced_symbols(self.model_meta, self.list_item, self.archs))
+
+    @cached_property
+    def spaces(self) -> DataFrame:
+        return M.space_regex(self.archs, self.model_meta)
+
+    @cached_property
+    def file_slice(self) -> DataFrame:
+        """(file_id, arch, symbol): symbols a file's headers reach in its model."""
+        return self._keep("file_slice", lambda: M.slice_symbols(self.file_uses, self.related))
+
     @cached_property
     def line_files(self) -> DataFrame:
         """Files that have lines."""

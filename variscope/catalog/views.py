@@ -144,3 +144,46 @@ select u.file_id, u.block_no, u.symbol, count(d.line_no) as version
 from v_use u left join v_define d on d.file_id = u.file_id and d.symbol = u.symbol and d.line_no < u.start_line
 group by u.file_id, u.block_no, u.symbol
 """)
+
+view("v_list_item", """
+select case when n_regionkey % 2 = 0 then 'white' else 'black' end list, concat('CONFIG_P', cast(n_nationkey as varchar)) item from nation""")
+
+view("v_worklist_line", """
+select case file_id % 5 when 0 then './' || path when 1 then replace(path, '/', '//') when 2 then 'x/../' || path
+  when 3 then 'gone/' || path else path end line from v_source_file""")
+
+view("v_location_line", """
+select path || ':' || (l_linenumber * 3) || case when l_suppkey % 2 = 0 then ':' || (l_suppkey % 80) else '' end line
+from lineitem join v_source_file on l_orderkey = file_id""")
+
+view("v_model", """
+select s.arch, s.symbol, coalesce(string_agg(g.t, ' && ' order by g.clause_no), '') formula
+from v_model_symbol s left join (select arch, symbol, clause_no,
+    '(' || string_agg(case when positive then '' else '!' end || lit_symbol, ' || ' order by lit_symbol) || ')' t
+  from v_model_literal group by arch, symbol, clause_no) g on g.arch = s.arch and g.symbol = s.symbol
+group by s.arch, s.symbol""")
+
+view("v_edge", "select distinct arch, symbol src, lit_symbol dst from v_model_literal")
+
+view("v_file_arch", r"""
+select f.file_id, a.arch specific_arch, coalesce(a.arch, (select min(arch) from v_model)) arch
+from v_source_file f left join (select distinct arch from v_model) a
+  on lower(a.arch) = regexp_extract(f.path, '(?:^|/)arch/([A-Za-z0-9]+)/', 1)""")
+
+view("v_file_use", "select distinct u.file_id, a.arch, u.symbol from v_use u join v_file_arch a using (file_id)")
+
+view("v_related", """recursive
+select arch, symbol as start, symbol from (select arch, symbol from v_file_use union select arch, symbol from v_model)
+union select r.arch, r.start, e.dst from v_related r join v_edge e on e.arch = r.arch and e.src = r.symbol""")
+
+view("v_forced", """
+select arch, value symbol, key = 'ALWAYS_ON' as is_on from v_model_meta
+union select arch, item, list = 'white' from (select distinct arch from v_model) cross join v_list_item""")
+
+view("v_file_slice", """
+select distinct u.file_id, u.arch, r.symbol from v_file_use u join v_related r on r.arch = u.arch and r.start = u.symbol""")
+
+view("v_file_missing", """
+select s.file_id, s.arch, s.symbol from v_file_slice s
+where regexp_full_match(s.symbol, 'CONFIG_[^ ]+') and not exists (select 1 from v_model m where m.arch = s.arch and m.symbol = s.symbol)
+  and not exists (select 1 from v_define d where d.file_id = s.file_id and d.symbol = s.symbol)""")

@@ -80,9 +80,24 @@ def expr_symbols(exprs: DataFrame, column: str = "expr") -> DataFrame:
 
 def item_name(symbol: Column) -> tuple[Column, Column]:
     """(name without rewrite dots and ``_MODULE``, number of dots); null if no symbol."""
-    pattern = r"^([A-Za-z_][A-Za-z0-9_]*?)(_MODULE)?([.]*)$"
+    pattern = r"^([A-Za-z_][0-9A-Za-z_]*?)([.]*)(_MODULE)?$"
     name = F.nullif(F.regexp_extract(symbol, pattern, 1), F.lit(""))
-    return name, F.length(F.regexp_extract(symbol, pattern, 3))
+    return name, F.length(F.regexp_extract(symbol, pattern, 2))
+
+
+def normal_path(path: Column) -> Column:
+    """Path without ``.``, empty and ``..`` parts."""
+    def step(done, part):
+        up = (part == "..") & (F.size(done) > 0) & (F.coalesce(F.element_at(done, -1), F.lit("")) != "..")
+        return (
+            F.when(part.isin("", "."), done)
+            .when(up, F.slice(done, F.lit(1), F.size(done) - 1))
+            .otherwise(F.concat(done, F.array(part)))
+        )
+
+    parts = F.aggregate(F.split(F.rtrim(path), "/"), F.expr("cast(array() as array<string>)"), step)
+    clean = F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.concat_ws("/", parts))
+    return F.when(clean == "", ".").otherwise(clean)
 
 
 def file_variable(path: Column) -> Column:

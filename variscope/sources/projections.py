@@ -85,7 +85,8 @@ def _model_index(spark: SparkSession, sf: str) -> DataFrame:
         .select((F.col("p_partkey") % 40).alias("i")).distinct()
     )
     region = table(spark, sf, "region").select(F.col("r_regionkey").alias("r"), F.col("r_name").alias("arch"))
-    return idx.join(region, F.lit(True))
+    every = region.agg(F.collect_list(F.struct("r", "arch")).alias("regions"))
+    return idx.join(every, F.lit(True)).select("i", F.explode("regions").alias("x")).select("i", "x.r", "x.arch")
 
 
 def model_symbol(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,3 +205,29 @@ def document_line(spark: SparkSession, sf: str) -> DataFrame:
         .select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("i", "txt"))
         .select("file_id", (F.col("i") + 1).cast("bigint").alias("line_no"), "txt")
     )
+
+
+def list_item(spark: SparkSession, sf: str) -> DataFrame:
+    """(list, item): symbols forced on (white) or off (black)."""
+    return table(spark, sf, "nation").select(
+        F.when(F.col("n_regionkey") % 2 == 0, "white").otherwise("black").alias("list"),
+        _p(F.col("n_nationkey")).alias("item"),
+    )
+
+
+def worklist_line(spark: SparkSession, sf: str) -> DataFrame:
+    """(line): paths as people type them, some of unknown files."""
+    i, path = F.col("file_id") % 5, F.col("path")
+    return source_file(spark, sf).select(
+        F.when(i == 0, F.concat(F.lit("./"), path)).when(i == 1, F.regexp_replace(path, "/", "//"))
+        .when(i == 2, F.concat(F.lit("x/../"), path)).when(i == 3, F.concat(F.lit("gone/"), path)).otherwise(path).alias("line")
+    )
+
+
+def location_line(spark: SparkSession, sf: str) -> DataFrame:
+    """(line): ``path:line`` or ``path:line:col``, one per order line."""
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file_id"), "l_linenumber", "l_suppkey")
+    col = F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit(":"), (F.col("l_suppkey") % 80).cast("string"))).otherwise("")
+    return li.join(source_file(spark, sf), "file_id").select(
+        F.concat("path", F.lit(":"), (F.col("l_linenumber") * 3).cast("string"), col).alias("line")
+    )
