@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from variscope.catalog import views  # noqa: F401
-from variscope.catalog import blocks, models  # noqa: F401
+from variscope.catalog import blocks, configs, messages, models  # noqa: F401
 from variscope.catalog.base import QUERIES, SQL, Tables, compose
 
 

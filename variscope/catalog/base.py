@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from variscope.functions import lines as L
-from variscope.operators import blocks as B, models as M
+from variscope.operators import blocks as B, configs as C, coverage as V, messages as X, models as M, traces as R
 from variscope.session import shared
 from variscope.sources import projections as P
 
@@ -105,6 +105,44 @@ class Tables:
         """(file_id, arch, symbol): symbols a file's headers reach in its model."""
         return self._keep("file_slice", lambda: M.slice_symbols(self.file_uses, self.related))
 
+    @cached_property
+    def assignment(self) -> DataFrame:
+        return self._keep("assignment", lambda: C.assignment(self.config))
+
+    @cached_property
+    def builds(self) -> DataFrame:
+        return self._keep("builds", lambda: P.build(self.spark, self.sf))
+
+    @cached_property
+    def enabled(self) -> DataFrame:
+        return self._keep("enabled", lambda: V.enabled_blocks(self.blocks, self.builds, self.assignment))
+
+    @cached_property
+    def all_blocks(self) -> DataFrame:
+        return V.block_list(self.blocks, self.line_files)
+
+    @cached_property
+    def solutions(self) -> DataFrame:
+        return self._keep("solutions", lambda: V.file_solutions(self.file_uses, self.builds, self.assignment))
+
+    @cached_property
+    def messages(self) -> DataFrame:
+        """Cleaned, merged and filtered tool messages."""
+
+        def build():
+            merged = X.merge_prefixed(X.strip_message_noise(self.tool_message))
+            return X.with_severity(merged)
+
+        return self._keep("messages", build)
+
+    @cached_property
+    def parsed(self) -> DataFrame:
+        return X.parse_message(self.messages)
+
+    @cached_property
+    def addresses(self) -> DataFrame:
+        return R.trace_addresses(self.trace_event)
+
     @cached_property
     def line_files(self) -> DataFrame:
         """Files that have lines."""
@@ -155,6 +193,8 @@ def compose(sql: str) -> str:
             parts.append(f"{n} as ({body[len('recursive'):].strip()})")
         else:
             parts.append(f"{n} as materialized ({body})")
-    own = re.match(r"with\s+", sql)
+    own = re.match(r"with\s+(recursive\s+)?", sql)
+    if own and own.group(1):
+        recursive = "recursive "
     body = ",\n" + sql[own.end():] if own else "\n" + sql
     return f"with {recursive}" + ",\n".join(parts) + body

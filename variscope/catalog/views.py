@@ -187,3 +187,82 @@ view("v_file_missing", """
 select s.file_id, s.arch, s.symbol from v_file_slice s
 where regexp_full_match(s.symbol, 'CONFIG_[^ ]+') and not exists (select 1 from v_model m where m.arch = s.arch and m.symbol = s.symbol)
   and not exists (select 1 from v_define d where d.file_id = s.file_id and d.symbol = s.symbol)""")
+
+view("v_include", """
+select f.file_id src, t.file_id dst from v_source_file f join v_source_file t on t.file_id = f.file_id // 2""")
+
+view("v_partial_config", """
+select l_orderkey % 200 config_id, concat('CONFIG_P', cast(l_suppkey % 40 as varchar)) symbol, min(case l_linestatus when 'F' then 'y' else 'n' end) as value
+from lineitem group by all""")
+
+view("v_config_arch", """
+select distinct l_orderkey % 200 config_id, r_name arch from lineitem join region on r_regionkey = l_orderkey % 200 % 5""")
+
+view("v_assignment", """
+select config_id, symbol var, value = 'y' val from v_config union all select config_id, symbol || '_MODULE', true from v_config where value = 'm'""")
+
+view("v_config_literal", """
+with c as (select c.config_id, a.arch, c.symbol, c.value, s.type from v_config c join v_config_arch a using (config_id)
+  join v_model_symbol s on s.arch = a.arch and s.symbol = c.symbol)
+select config_id, arch, symbol var, value = 'y' val from c where type = 'boolean'
+union all select config_id, arch, symbol, true from c where type = 'tristate' and value = 'y'
+union all select config_id, arch, symbol || '_MODULE', true from c where type = 'tristate' and value = 'm'
+union all select config_id, arch, symbol, false from c where type = 'tristate' and value = 'n'
+union all select config_id, arch, symbol || '_MODULE', false from c where type = 'tristate' and value = 'n'""")
+
+view("v_lit", r"""
+with g as (select file_id, block_no, unnest(string_split(regexp_replace(expr, '[()\s]', '', 'g'), '&&')) part,
+  generate_subscripts(string_split(regexp_replace(expr, '[()\s]', '', 'g'), '&&'), 1) - 1 grp from v_block where expr <> '')
+select file_id, block_no, grp, ltrim(lit, '!') symbol, lit not like '!%' positive
+from (select file_id, block_no, grp, unnest(string_split(part, '||')) lit from g)""")
+
+view("v_own", """
+select b.file_id, u.config_id, b.block_no, b.chain_no, b.parent_no, b.expr = '' or g.ok own
+from v_block b join v_build u using (file_id) left join (
+  select file_id, config_id, block_no, bool_and(ok) ok from (
+    select l.file_id, u.config_id, l.block_no, l.grp, bool_or((t.var is not null) = l.positive) ok
+    from v_lit l join v_build u using (file_id) left join (select config_id, var from v_assignment where val) t
+      on t.config_id = u.config_id and t.var = l.symbol group by all) group by all) g
+  on g.file_id = b.file_id and g.config_id = u.config_id and g.block_no = b.block_no""")
+
+view("v_won", """
+select file_id, config_id, block_no, coalesce(parent_no, -1) parent_no from (
+  select *, row_number() over (partition by file_id, config_id, chain_no order by block_no) i from v_own where own) where i = 1""")
+
+view("v_enabled", """recursive
+select file_id, config_id, -1::bigint as block_no from v_build
+union all select w.file_id, w.config_id, w.block_no from v_enabled e join v_won w
+  on w.file_id = e.file_id and w.config_id = e.config_id and w.parent_no = e.block_no""")
+
+view("v_all_block", """
+select file_id, block_no from v_block union all select distinct file_id, -1 from v_source_line""")
+
+view("v_line_inside", """
+select l.file_id, l.line_no, l.txt, coalesce(max_by(b.block_no, b.start_line), -1) block_no
+from v_source_line l left join v_block b on b.file_id = l.file_id and b.start_line < l.line_no and l.line_no < b.end_line
+where not regexp_matches(l.txt, '^#(if|elif|else|endif)') group by l.file_id, l.line_no, l.txt""")
+
+view("v_line_count", """
+select file_id, block_no, count(*) n_lines from v_line_inside where txt not like '#%' group by all""")
+
+view("v_solution", """
+select u.file_id, b.config_id, u.symbol, t.var is not null val from (select distinct file_id, symbol from v_file_use) u
+join v_build b using (file_id) left join (select config_id, var from v_assignment where val) t on t.config_id = b.config_id and t.var = u.symbol""")
+
+view("v_message", r"""
+with c as (select config_id, seq, regexp_replace(regexp_replace(line, '\s*\[(-W[^\[]+|enabled by default)\]$', ''), '(:\d+):\d+: ', '\1: ') line from v_tool_message),
+w as (select *, regexp_extract(line, '^\s*([^ \t]+)([ \t]+)(.*)', 1) word, regexp_extract(line, '^\s*([^ \t]+)([ \t]+)(.*)', 3) rest from c),
+h as (select *, case when lag(word) over (partition by config_id order by seq) = word then 0 else 1 end s from w),
+g as (select *, sum(s) over (partition by config_id order by seq) grp from h)
+select config_id, min(seq) seq, string_agg(case when s = 1 then line else rest end, ' | ' order by seq) line from g group by config_id, grp""")
+
+view("v_parsed", r"""
+select config_id, seq, split_part(line, ' ', 1) location, case when line like '%error: %' then 'error' when line like '%warning: %' then 'warning' end severity,
+  regexp_replace(line, '^\S+ \S+ ', '') as text from v_message""")
+
+view("v_address", """
+select event_id, ts, 0 part, addr - off addr from v_trace_event union all select event_id, ts, 1, caller_addr from v_trace_event""")
+
+view("v_offset", """
+select a.addr, min_by(m.name, m.base) as module, a.addr - min(m.base) module_off
+from (select distinct addr from v_address) a left join v_module m on a.addr between m.base and m.base + m.size group by a.addr""")

@@ -17,7 +17,7 @@ ALWAYS_ON, ALWAYS_OFF = "ALWAYS_ON", "ALWAYS_OFF"
 
 def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row aggregate to every row."""
-    return df.join(one_row.limit(1), F.lit(True))
+    return df.join(one_row, F.lit(True))
 
 
 def formulas(symbols: DataFrame, literals: DataFrame) -> DataFrame:

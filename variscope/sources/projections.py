@@ -231,3 +231,57 @@ def location_line(spark: SparkSession, sf: str) -> DataFrame:
     return li.join(source_file(spark, sf), "file_id").select(
         F.concat("path", F.lit(":"), (F.col("l_linenumber") * 3).cast("string"), col).alias("line")
     )
+
+
+def include_line(spark: SparkSession, sf: str) -> DataFrame:
+    """(file_id, line_no, txt): every file includes the file with half its number."""
+    files = source_file(spark, sf)
+    target = files.select(F.col("file_id").alias("half"), F.col("path").alias("target"))
+    asked = files.select("file_id", F.floor(F.col("file_id") / 2).cast("bigint").alias("half"))
+    return asked.join(target, "half").select(
+        "file_id", F.lit(1).cast("bigint").alias("line_no"), F.concat(F.lit('#include "'), "target", F.lit('"')).alias("txt")
+    )
+
+
+def partial_config(spark: SparkSession, sf: str) -> DataFrame:
+    """(config_id, symbol, value): values somebody wanted for a configuration."""
+    return (
+        table(spark, sf, "lineitem")
+        .groupBy((F.col("l_orderkey") % 200).alias("config_id"), _p(F.col("l_suppkey") % 40).alias("symbol"))
+        .agg(F.min(F.when(F.col("l_linestatus") == "F", "y").otherwise("n")).alias("value"))
+    )
+
+
+def config_arch(spark: SparkSession, sf: str) -> DataFrame:
+    """(config_id, arch)"""
+    ids = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 200).alias("config_id")).distinct()
+    region = table(spark, sf, "region").select(F.col("r_regionkey").cast("bigint").alias("_r"), F.col("r_name").alias("arch"))
+    return ids.withColumn("_r", F.col("config_id") % 5).join(region, "_r").select("config_id", "arch")
+
+
+def file_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """(file_id, symbol, positive): a file is built when all its literals hold."""
+    k = F.col("o_orderkey")
+    rule = F.array(
+        F.struct((k % 40).alias("i"), F.lit(True).alias("positive")),
+        F.struct(((k + 3) % 40).alias("i"), F.lit(False).alias("positive")),
+    )
+    return table(spark, sf, "orders").select(k.alias("file_id"), F.explode(rule).alias("r")).select(
+        "file_id", _p(F.col("r.i")).alias("symbol"), "r.positive"
+    )
+
+
+def object_target(spark: SparkSession, sf: str) -> DataFrame:
+    """(target): object files a build reports, some without a source."""
+    stem = F.regexp_replace("path", r"\.c$", "")
+    return source_file(spark, sf).select(
+        F.concat(F.when(F.col("file_id") % 7 == 0, "gen/").otherwise(""), stem, F.lit(".o")).alias("target")
+    )
+
+
+def tree_file(spark: SparkSession, sf: str) -> DataFrame:
+    """(path): files of the tree, some with an assembler twin or only that."""
+    stem = F.regexp_replace("path", r"\.c$", "")
+    i = F.col("file_id") % 3
+    found = F.when(i == 0, F.array(F.lit(".c"), F.lit(".S"))).when(i == 1, F.array(F.lit(".S"))).otherwise(F.array(F.lit(".c")))
+    return source_file(spark, sf).select(stem.alias("s"), F.explode(found).alias("x")).select(F.concat("s", "x").alias("path"))
