@@ -266,3 +266,82 @@ select event_id, ts, 0 part, addr - off addr from v_trace_event union all select
 view("v_offset", """
 select a.addr, min_by(m.name, m.base) as module, a.addr - min(m.base) module_off
 from (select distinct addr from v_address) a left join v_module m on a.addr between m.base and m.base + m.size group by a.addr""")
+
+view("v_closure_edge", """
+select file_id, block_no src, parent_no dst from v_block where parent_no is not null
+union select file_id, block_no, prev_no from v_block where prev_no is not null
+union select u.file_id, u.block_no, d.block_no from v_use u join v_define d on d.file_id = u.file_id and d.symbol = u.symbol where d.block_no >= 0""")
+
+view("v_closure", """recursive
+select file_id, block_no, block_no member_no from v_block
+union select c.file_id, c.block_no, e.dst from v_closure c join v_closure_edge e on e.file_id = c.file_id and e.src = c.member_no""")
+
+view("v_group", "select file_id, block_no, grp, list(case when positive then symbol else '!' || symbol end) ls from v_lit group by all")
+
+view("v_negated", """
+select file_id, block_no, case when max(n) = 1 then null else 1 end many, list(g order by grp) gs from (
+  select file_id, block_no, grp, len(ls) n, ls g from v_group) group by file_id, block_no""")
+
+view("v_block_clause", """
+with b as (select b.*, 'B' || b.block_no bv, 'B' || b.parent_no pv,
+    case when b.prev_no is null then null when b.prev_no = b.chain_no then 'B' || b.prev_no else 'T' || b.prev_no end tv,
+    exists (select 1 from v_block n where n.file_id = b.file_id and n.prev_no = b.block_no) followed from v_block b),
+flat as (select b.file_id, b.block_no, b.bv, b.pv, b.tv, list(l.ls) filter (where l.ls is not null) gs
+  from b left join v_group l on l.file_id = b.file_id and l.block_no = b.block_no group by all),
+neg as (select file_id, block_no, bv, pv, tv, case when gs is null then [''] when len(gs) = 1 then gs[1] else [array_to_string(flatten(gs), ' ')] end ways from flat)
+select file_id, block_no, '!' || bv || ' ' || pv clause from b where pv is not null
+union all select g.file_id, g.block_no, '!B' || g.block_no || ' ' || array_to_string(g.ls, ' ') from v_group g
+union all select file_id, block_no, '!' || bv || ' !' || tv from b where tv is not null
+union all select file_id, block_no, concat_ws(' ', bv, '!' || pv, tv, w) from (
+  select file_id, block_no, bv, pv, tv, unnest(list_transform(ways, lambda s: nullif(array_to_string(
+    list_transform(list_filter(string_split(s, ' '), lambda x: x <> ''), lambda x: case when x like '!%' then ltrim(x, '!') else '!' || x end), ' '), ''))) w from neg)
+union all select file_id, block_no, '!T' || block_no || ' ' || tv || ' ' || bv from b where followed and tv is not null
+union all select file_id, block_no, 'T' || block_no || ' !' || tv from b where followed and tv is not null
+union all select file_id, block_no, 'T' || block_no || ' !' || bv from b where followed and tv is not null""")
+
+view("v_block_clause_lit", """
+select distinct file_id, block_no, clause, ltrim(t, '!') var, t not like '!%' positive from (
+  select file_id, block_no, array_to_string(list_sort(list_distinct(string_split(clause, ' '))), ' ') clause,
+    unnest(string_split(clause, ' ')) t from v_block_clause)""")
+
+view("v_code_closure", """recursive
+select file_id, block_no, block_no member_no from v_block
+union select c.file_id, c.block_no, e.dst from v_code_closure c join (
+  select file_id, block_no src, parent_no dst from v_block where parent_no is not null
+  union select file_id, block_no, prev_no from v_block where prev_no is not null) e on e.file_id = c.file_id and e.src = c.member_no""")
+
+view("v_slice_lit", """
+select c.file_id, c.block_no, l.clause, l.var, l.positive from v_code_closure c
+join v_block_clause_lit l on l.file_id = c.file_id and l.block_no = c.member_no
+union select file_id, block_no, 'B' || block_no, 'B' || block_no, true from v_block""")
+
+view("v_slice_var", """
+select file_id, block_no, var, row_number() over (partition by file_id, block_no order by var) - 1 bit
+from (select distinct file_id, block_no, var from v_slice_lit)""")
+
+view("v_slice_mask", """
+select l.file_id, l.block_no, l.clause, sum(case when l.positive then 1 << v.bit::int else 0 end)::bigint pos,
+  sum(case when l.positive then 0 else 1 << v.bit::int end)::bigint neg
+from v_slice_lit l join v_slice_var v using (file_id, block_no, var) group by all""")
+
+view("v_slice_model", """
+with n as (select file_id, block_no, count(*) n from v_slice_var group by all),
+a as (select file_id, block_no, unnest(range(1 << n::int)) mask from n)
+select a.file_id, a.block_no, a.mask from a join v_slice_mask m using (file_id, block_no)
+group by a.file_id, a.block_no, a.mask having bool_and((a.mask & m.pos) <> 0 or (~a.mask & m.neg) <> 0)""")
+
+view("v_observed", """
+with n as (select file_id, block_no, count(*) n from v_enabled group by all)
+select b.file_id, b.block_no, case when n.n is null then 'never' when n.n = p.n then 'always' end state
+from v_block b left join n using (file_id, block_no) left join n p on p.file_id = b.file_id and p.block_no = coalesce(b.parent_no, -1)
+where n.n is null or n.n = p.n""")
+
+view("v_defect", """
+select o.file_id, o.block_no, case o.state when 'never' then 'dead' else 'undead' end suffix, a.arch, a.specific_arch is not null is_global,
+  case when b.kind = 'else' then 'missing' else 'kconfig' end kind
+from v_observed o join v_block b using (file_id, block_no) join v_file_arch a using (file_id)""")
+
+view("v_model_clause", """
+select m.arch, m.symbol || ':' || m.clause_no clause, m.lit_symbol var, m.positive from v_model_literal m
+union select distinct arch, symbol || ':' || clause_no, symbol, false from v_model_literal
+union select arch, key || ':' || value, value, key = 'ALWAYS_ON' from v_model_meta""")

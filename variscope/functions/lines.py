@@ -57,12 +57,12 @@ def block_expression(dirs: DataFrame) -> DataFrame:
 
 def normalize_enable_macros(lines: DataFrame) -> DataFrame:
     """``ENABLE_X`` in ``#if``/``#elif`` lines becomes ``defined CONFIG_X``."""
-    is_if = F.col("txt").rlike(r"^\s*#\s*(el)?if\b")
-    plain = F.regexp_replace("txt", r"\bdefined\s*\(?\s*ENABLE_([A-Za-z0-9_]+)\s*\)?", "ENABLE_$1")
-    return lines.withColumn(
-        "txt",
-        F.when(is_if, F.regexp_replace(plain, r"\bENABLE_([A-Za-z0-9_]+)", "defined CONFIG_$1")).otherwise(F.col("txt")),
-    )
+    txt = F.replace("txt", F.lit("defined ENABLE_"), F.lit("defined CONFIG_"))
+    guarded = txt.rlike(r"^#\s*(el)?if[\s()!]+ENABLE_\S")
+    inner = txt.rlike(r"[A-Z]+_ENABLE_[A-Z0-9^\s|&_]+")  # a name that contains the word itself
+    first = F.regexp_replace(txt, r"^(.*?)ENABLE_", "$1defined CONFIG_")
+    every = F.replace(txt, F.lit("ENABLE_"), F.lit("defined CONFIG_"))
+    return lines.withColumn("txt", F.when(guarded & inner, first).when(guarded, every).otherwise(txt))
 
 
 def symbols_of(expr: Column) -> Column:

@@ -27,19 +27,17 @@ def join_continuations(lines: DataFrame, width: int = SEGMENT) -> DataFrame:
 
 
 def inline_enable(lines: DataFrame, width: int = SEGMENT) -> DataFrame:
-    """A code line using ``ENABLE_X`` becomes an ``#if`` / ``#else`` pair of lines.
+    """A code line using ``ENABLE_X`` becomes seven lines.
 
-    Seven lines replace it: the condition, the line with the macro set to 1, ``#else``,
-    the line with the macro set to 0 and ``#endif``, framed by blank lines.
+    What stands before the macro, the condition, ``1``, ``#else``, ``0``, ``#endif`` and
+    what stands after it.
     """
-    use = r"\bENABLE_([A-Za-z0-9_]+)"
-    hit = F.col("txt").rlike(use) & ~F.col("txt").rlike(r"^\s*#")
-    name = F.regexp_extract("txt", use, 1)
-    exact = F.concat(F.lit(r"\bENABLE_"), name, F.lit(r"\b"))
+    shape = r"^(.*?)ENABLE_([A-Za-z0-9_]+)(.*)$"
+    hit = F.col("txt").rlike(shape) & ~F.col("txt").rlike(r"^#\s*if") & ~F.col("txt").contains("_ENABLE_")
+    part = lambda i: F.regexp_extract("txt", shape, i)
     seven = F.array(
-        F.lit(""), F.concat(F.lit("#if defined CONFIG_"), name),
-        F.regexp_replace(F.col("txt"), exact, F.lit("1")), F.lit("#else"),
-        F.regexp_replace(F.col("txt"), exact, F.lit("0")), F.lit("#endif"), F.lit(""),
+        part(1), F.concat(F.lit("#if defined CONFIG_"), part(2)),
+        F.lit("1"), F.lit("#else"), F.lit("0"), F.lit("#endif"), part(3),
     )
     wide = cut(lines.withColumn("_out", F.when(hit, seven).otherwise(F.array("txt"))))
     wide = scan(wide, ["file_id"], "line_no", [Run("_upto", "sum", F.size("_out").cast("bigint"))], width=width)
