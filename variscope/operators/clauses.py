@@ -245,81 +245,122 @@ def _all_masks(n):
     return F.sequence(F.lit(0).cast("bigint"), _bit(n) - 1)
 
 
+BATCHED = 2048  # variables up to which a slice is decided inside a batch
+
+
 def satisfiable_slices(slices: DataFrame, k: int = MAX_VARS) -> DataFrame:
     """(sid, verdict): yes, no, or unknown.
 
-    Slices that fit one integer are decided in Arrow batches with bit operations: a conflict
-    of unit consequences says no, an assignment that meets every clause says yes, and
-    all assignments of up to k undecided variables settle the rest. Larger slices take
-    the relational rounds first and come back when few variables are left.
+    Slices of up to ``BATCHED`` variables are decided in Arrow batches with bit
+    operations: a conflict of unit consequences says no, an assignment that meets every
+    clause says yes, and all values of up to k undecided symbols settle the rest.
+    Larger slices take the relational rounds first and come back when they got smaller.
     """
-    coded, large = masks(slices, WORD)
-    word = _decided(coded, k)
+    coded, large = numbered(slices)
+    small = _decided(coded, k)
     big = cut(slices.join(large, "sid", "left_semi"))
     if big.isEmpty():
-        return word
+        return small
     open_clauses, _, bad = forced_literals(big)
-    left = drop_pure(open_clauses)
-    recoded, huge = masks(left, WORD)
+    recoded, huge = numbered(drop_pure(open_clauses))
     told = _decided(recoded, k).unionByName(bad.withColumn("verdict", F.lit("no"))).unionByName(huge.withColumn("verdict", F.lit("unknown")))
     rest = large.join(told, "sid", "left").select("sid", F.coalesce("verdict", F.lit("yes")).alias("verdict"))
-    return word.unionByName(rest)
+    return small.unionByName(rest)
+
+
+def numbered(clauses: DataFrame, limit: int = BATCHED) -> tuple[DataFrame, DataFrame]:
+    """((sid, vars, clauses) up to ``limit`` variables, sids of larger slices).
+
+    A clause is a list of numbers: the position of a variable in ``vars`` from 1, negative
+    for a negated literal.
+    """
+    variables = clauses.select("sid", F.explode("lits").alias("l")).select("sid", F.col("l.var").alias("var")).distinct()
+    n = cut(variables.groupBy("sid").agg(F.count(F.lit(1)).alias("n")))
+    names = variables.join(n.filter(F.col("n") <= limit).select("sid"), "sid", "left_semi").groupBy("sid").agg(
+        F.array_sort(F.collect_set("var")).alias("vars")
+    )
+    rows = lookup(clauses, names, ["sid"], spread=["lits"], how="inner")
+    number = F.transform(
+        "lits", lambda l: F.array_position("vars", l["var"]).cast("int") * F.when(l["positive"], 1).otherwise(-1)
+    )
+    coded = rows.select("sid", "vars", number.alias("c")).distinct().groupBy("sid", "vars").agg(F.collect_list("c").alias("clauses"))
+    return coded, n.filter(F.col("n") > limit).select("sid")
 
 
 def _decided(coded: DataFrame, k: int) -> DataFrame:
     parts = 4 * int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = coded.select("sid", F.col("masks.pos").alias("pos"), F.col("masks.neg").alias("neg")).repartition(parts, "sid")
+    plain = F.transform("vars", lambda v: ~(v.rlike(r"^[BT]\d+$") | v.endswith(".")))
 
     def batches(frames):
         for pdf in frames:
-            pdf["verdict"] = [verdict(p, n, k) for p, n in zip(pdf["pos"], pdf["neg"])]
+            pdf["verdict"] = [verdict(c, p, k) for c, p in zip(pdf["clauses"], pdf["plain"])]
             yield pdf[["sid", "verdict"]]
 
+    rows = coded.select("sid", "clauses", plain.alias("plain")).repartition(parts, "sid")
     return rows.mapInPandas(batches, "sid string, verdict string")
 
 
-def verdict(pos, neg, k: int) -> str:
-    """Decide the clauses given as bit masks; Spark has dealt out and merged equal ones."""
-    pos, neg = np.asarray(pos, "int64"), np.asarray(neg, "int64")
+def verdict(clauses, plain, k: int) -> str:
+    """Decide numbered clauses; Spark has dealt out and merged equal slices.
+
+    ``plain`` marks the variables that are symbols. The others (blocks, versions of a
+    symbol) follow from them, so trying all values of up to k symbols is exhaustive.
+    """
+    one, words = np.uint64(1), len(plain) // 64 + 1
+    pos, neg = np.zeros((len(clauses), words), "uint64"), np.zeros((len(clauses), words), "uint64")
+    for row, clause in enumerate(clauses):
+        for x in clause:
+            side, i = (pos, x - 1) if x > 0 else (neg, -x - 1)
+            side[row, i >> 6] |= one << np.uint64(i & 63)
 
     def closed(t, f):
         """Unit consequences: (true bits, false bits, open positives, open negatives)."""
         while True:
-            left = ((pos & t) | (neg & f)) == 0
+            left = ~((pos & t) | (neg & f)).any(axis=1)
             p, n = pos[left] & ~(t | f), neg[left] & ~(t | f)
-            size = np.bitwise_count(p) + np.bitwise_count(n)
+            size = np.bitwise_count(p).sum(axis=1) + np.bitwise_count(n).sum(axis=1)
             if (size == 0).any():
                 return None
             unit = size == 1
             if not unit.any():
                 return t, f, p, n
-            t, f = t | np.bitwise_or.reduce(p[unit]), f | np.bitwise_or.reduce(n[unit])
-            if t & f:
+            t, f = t | np.bitwise_or.reduce(p[unit], axis=0), f | np.bitwise_or.reduce(n[unit], axis=0)
+            if (t & f).any():
                 return None
 
-    base = closed(np.int64(0), np.int64(0))
+    def lowest(bits):
+        out = np.zeros(words, "uint64")
+        at = int(np.flatnonzero(bits)[0])
+        out[at] = bits[at] & (~bits[at] + one)
+        return out
+
+    zero = np.zeros(words, "uint64")
+    base = closed(zero, zero)
     if base is None:
         return "no"
     for prefer_true in (False, True):
         state = base
         while state is not None and len(state[2]):
             t, f, p, n = state
-            up = bool(p[0]) if prefer_true else not n[0]
-            state = closed(t | (p[0] & -p[0]), f) if up else closed(t, f | (n[0] & -n[0]))
+            up = p[0].any() if prefer_true else not n[0].any()
+            state = closed(t | lowest(p[0]), f) if up else closed(t, f | lowest(n[0]))
         if state is not None:
             return "yes"
-    _, _, p, n = base
-    used = int(np.bitwise_or.reduce(p | n))
-    bits = [i for i in range(WORD) if used >> i & 1]
-    if len(bits) > k:
+    used = np.bitwise_or.reduce(base[2] | base[3], axis=0)
+    bits = [i for i in range(len(plain)) if int(used[i >> 6]) >> (i & 63) & 1]
+    free = bits if len(bits) <= k else [i for i in bits if plain[i]]
+    if len(free) > k:
         return "unknown"
-    tried = np.zeros(1 << len(bits), "int64")
-    for j, i in enumerate(bits):
-        tried |= (np.arange(1 << len(bits)) >> j & 1) << i
-    ok = np.ones(len(tried), bool)
-    for a, b in zip(p, n):
-        ok &= ((tried & a) | (~tried & b)) != 0
-    return "yes" if ok.any() else "no"
+    unclear = False
+    for mask in range(1 << len(free)):
+        t, f = base[0].copy(), base[1].copy()
+        for j, i in enumerate(free):
+            (t if mask >> j & 1 else f)[i >> 6] |= one << np.uint64(i & 63)
+        state = closed(t, f)
+        if state is not None and not len(state[2]):
+            return "yes"
+        unclear |= state is not None
+    return "unknown" if unclear else "no"
 
 
 def extreme_assignment(slices: DataFrame, most: bool = False, k: int = MAX_VARS) -> DataFrame:

@@ -74,7 +74,7 @@ def read_model_meta(spark: SparkSession, path) -> DataFrame:
     rows = _text(spark, path, "*.model").filter(F.col("line").startswith("UNDERTAKER_SET "))
     words = F.split(F.trim("line"), r"\s+")
     return rows.select(
-        F.col("stem").alias("arch"), words[1].alias("key"), F.explode(F.slice(words, 3, 1 << 20)).alias("value")
+        F.col("stem").alias("arch"), F.get(words, F.lit(1)).alias("key"), F.explode(F.slice(words, 3, 1 << 20)).alias("value")
     ).select("arch", "key", F.regexp_replace("value", '^"|"$', "").alias("value")).distinct()
 
 
@@ -86,8 +86,8 @@ def relations(rows: DataFrame) -> DataFrame:
     """(arch, relation, item, args) from rows (arch, line) of a configuration dump."""
     fields = F.regexp_extract_all("line", F.lit(r'("(?:[^"]*)"|\S+)'), F.lit(1))
     bare = F.transform(fields, lambda f: F.regexp_replace(f, '^"|"$', ""))
-    return rows.withColumn("f", bare).filter(F.col("f")[0].isin(*RELATIONS)).select(
-        "arch", F.col("f")[0].alias("relation"), F.col("f")[1].alias("item"), F.slice("f", 3, 1 << 20).alias("args")
+    return rows.withColumn("f", bare).filter(F.get("f", F.lit(0)).isin(*RELATIONS)).select(
+        "arch", F.get("f", F.lit(0)).alias("relation"), F.get("f", F.lit(1)).alias("item"), F.slice("f", 3, 1 << 20).alias("args")
     )
 
 
@@ -97,7 +97,7 @@ def read_relations(spark: SparkSession, path) -> DataFrame:
 
 def symbol_types(rel: DataFrame) -> DataFrame:
     """(arch, symbol, type) from the Item rows of a dump."""
-    return rel.filter(F.col("relation") == "Item").select("arch", F.col("item").alias("symbol"), F.col("args")[0].alias("type"))
+    return rel.filter(F.col("relation") == "Item").select("arch", F.col("item").alias("symbol"), F.get("args", F.lit(0)).alias("type"))
 
 
 def read_symbol_types(spark: SparkSession, path) -> DataFrame:
@@ -113,12 +113,12 @@ def read_clauses(spark: SparkSession, path) -> dict[str, DataFrame]:
     lines = cut(numbered_lines(spark, path, "*.cnf").withColumn("model", F.regexp_extract("path", STEM, 1)))
     words = F.split(F.trim("txt"), r"\s+")
     notes = lines.filter(F.col("txt").startswith("c ")).select("model", words.alias("w"))
-    var = notes.filter(F.col("w")[1] == "var").select(
-        "model", F.col("w")[2].alias("name"), F.col("w")[3].cast("bigint").alias("id"))
-    sym = notes.filter(F.col("w")[1] == "sym").select(
-        "model", F.col("w")[2].alias("name"), F.col("w")[3].cast("int").alias("type_code"))
-    meta = notes.filter(F.col("w")[1] == "meta_value").select(
-        "model", F.col("w")[2].alias("key"), F.explode(F.slice("w", 4, 1 << 20)).alias("value"))
+    var = notes.filter(F.get("w", F.lit(1)) == "var").select(
+        "model", F.get("w", F.lit(2)).alias("name"), F.get("w", F.lit(3)).cast("bigint").alias("id"))
+    sym = notes.filter(F.get("w", F.lit(1)) == "sym").select(
+        "model", F.get("w", F.lit(2)).alias("name"), F.get("w", F.lit(3)).cast("int").alias("type_code"))
+    meta = notes.filter(F.get("w", F.lit(1)) == "meta_value").select(
+        "model", F.get("w", F.lit(2)).alias("key"), F.explode(F.slice("w", 4, 1 << 20)).alias("value"))
     numbers = lines.filter(~F.col("txt").rlike(r"^\s*([cp]\b|$)")).select(
         "model", "line_no", F.posexplode(words).alias("i", "n")
     ).select("model", "line_no", "i", F.col("n").cast("bigint").alias("n"))
