@@ -141,8 +141,10 @@ def test_model_defects(spark, texts):
     assert undead == {(i, b) for i, (_, u) in enumerate(want) for b in u}
 
 
-def test_large_slices_take_the_relational_way(spark):
-    """A chain of implications over more variables than fit one integer."""
+@pytest.mark.parametrize("batched", [2048, 8])
+def test_large_slices_take_the_relational_way(spark, monkeypatch, batched):
+    """A chain of implications, decided in a batch and by relational rounds."""
+    monkeypatch.setattr(E, "BATCHED", batched)
     n = 70
     clause = lambda *ls: [(v, p) for v, p in ls]
     rows = [("yes", clause((f"V{i}", False), (f"V{i + 1}", True))) for i in range(n)] + [("yes", clause(("V0", True)))]

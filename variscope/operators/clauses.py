@@ -268,12 +268,13 @@ def satisfiable_slices(slices: DataFrame, k: int = MAX_VARS) -> DataFrame:
     return small.unionByName(rest)
 
 
-def numbered(clauses: DataFrame, limit: int = BATCHED) -> tuple[DataFrame, DataFrame]:
+def numbered(clauses: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """((sid, vars, clauses) up to ``limit`` variables, sids of larger slices).
 
     A clause is a list of numbers: the position of a variable in ``vars`` from 1, negative
     for a negated literal.
     """
+    limit = BATCHED if limit is None else limit
     variables = clauses.select("sid", F.explode("lits").alias("l")).select("sid", F.col("l.var").alias("var")).distinct()
     n = cut(variables.groupBy("sid").agg(F.count(F.lit(1)).alias("n")))
     names = variables.join(n.filter(F.col("n") <= limit).select("sid"), "sid", "left_semi").groupBy("sid").agg(
