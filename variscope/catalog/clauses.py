@@ -296,15 +296,17 @@ def _(t):
     return D.no_kconfig_blocks(observed_defects(t), t.blocks, t.file_models, spaces)
 
 
-def defects(t, every_model=False):
+def defects(t, only=None):
+    """Defects under the file's own model; with ``only`` those claims under every model."""
+
     def build():
         complete = M.model_complete(t.archs, t.model, t.model_meta)
         return D.block_defects(
             t.blocks, t.rewritten, t.defines, t.file_models, t.related, t.model, model_rows(t), meta_forced(t), t.spaces, complete,
-            every_model=every_model,
+            only=only,
         )
 
-    return t._keep(f"defects_{every_model}", build)
+    return t._keep("defects" if only is None else "defects_everywhere", build)
 
 
 @query("dead_blocks")
@@ -329,4 +331,28 @@ def _(t):
     told = defects(t).filter((F.col("kind") != "unknown") & (F.col("block_no") >= 0))
     nk = D.no_kconfig_blocks(told, t.rewritten, t.file_models, t.spaces)
     specific = M.file_arch(t.source_file, t.archs).filter(F.col("specific_arch").isNotNull()).select("file_id")
-    return D.defect_scope(D.cross_check(told, defects(t, True), t.file_models, specific, nk, t.archs))
+    wide = told.filter(F.col("kind").isin("kconfig", "missing")).join(specific, "file_id", "left_anti").select(*D.IDS)
+    return D.defect_scope(D.cross_check(told, defects(t, wide), t.file_models, specific, nk, t.archs))
+
+
+@query("base_condition", f"""
+with b as (select file_id, count(*) n from v_block group by file_id),
+d as (select file_id, count(distinct text) n from ({DEFINE_TEXT}) group by file_id),
+f as (select file_id, arch from v_file_arch join b using (file_id))
+select b.file_id, 'code' part, b.n + coalesce(d.n, 0) + 2 n from b left join d using (file_id)
+union all select file_id, 'missing', count(*) from v_file_missing group by file_id
+union all select file_id, 'forced', count(*) from f join v_model_meta using (arch) group by file_id
+union all select file_id, 'slice', sum(n)::bigint from (
+  select s.file_id, s.arch, s.symbol, (m.formula <> '')::int + (select count(*) from v_model_meta k where k.arch = s.arch and k.value = s.symbol) n
+  from (select file_id, arch, symbol from v_file_slice union select f.file_id, f.arch, k.value from f join v_model_meta k using (arch)) s
+  join v_model m on m.arch = s.arch and m.symbol = s.symbol) group by file_id having sum(n) > 0""")
+def _(t):
+    files = t.source_file.join(t.line_files, "file_id", "left_semi")
+    ids = ["file_id", "arch"]
+    rows = C.base_condition(
+        C.file_condition(t.rewritten, t.defines, files),
+        M.model_slice(t.file_slice, t.model, meta_forced(t), ids),
+        M.missing_symbols(t.file_slice, t.model, t.spaces, ids, t.defines),
+        M.model_complete(t.archs, t.model, t.model_meta), meta_forced(t), t.file_models.join(t.line_files, "file_id", "left_semi"),
+    )
+    return rows.groupBy("file_id", "part").agg(F.count(F.lit(1)).alias("n"))

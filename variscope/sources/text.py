@@ -59,6 +59,9 @@ def _text(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
     )
 
 
+# Fixed value: model files start lines of meta data with the word UNDERTAKER_SET.
+
+
 def read_model(spark: SparkSession, path) -> DataFrame:
     """(arch, symbol, formula): ``SYMBOL "formula"`` lines, the first line of a symbol wins."""
     rows = _text(spark, path, "*.model").filter(~F.col("line").rlike(r"^(UNDERTAKER_SET|I:|\s*$|#)"))
