@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from variscope.llm import bpe, mixing, token_files, toxicity
+from variscope.llm import bpe, fingerprints, licences, mixing, personal, quality, token_files, toxicity
 from variscope.llm.common import table
 
 #: The public vocabulary that the queries encode with; operators take any path.
@@ -49,6 +49,12 @@ select doc_id, size::bigint as size, source_size, target,
 from filled"""
 
 
+@query()
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.quality_of_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query(MIX_SQL)
 def op2_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     """Documents mixed to target words of each source."""
@@ -67,6 +73,13 @@ def op4_bpe_automaton(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(licences.licence_sql())
+def op5_licences(spark: SparkSession, sf: str) -> DataFrame:
+    """Licences that every document names."""
+    found = licences.scan_licences(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("licence_ids", ",").alias("licence_ids"), F.array_join("licences", ",").alias("licences"))
+
+
 @query()
 def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
     """Documents written to token files and read back."""
@@ -79,3 +92,27 @@ def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.toxicity_of_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query()
+def op3_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in every document: base spans as a digest, and all spans."""
+    found = personal.find_personal(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", *[personal.count(F.col("base"), k).alias(f"n_{k}") for k in personal.KINDS],
+        F.sha2(personal.written(F.col("base")), 256).alias("base_sha256"), personal.written(F.col("spans")).alias("spans"),
+    )
+
+
+@query()
+def op9_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with estimated likeness."""
+    docs = fingerprints.with_next(table(spark, sf, "documents"))
+    docs = docs.withColumn("edited", fingerprints.edited(F.col("text"), F.col("next_text"))).drop("next_text")
+    docs = fingerprints.with_fingerprint(docs, "edited", "edited_fingerprint")
+    own, other, following = F.col("fingerprint"), F.col("edited_fingerprint"), F.col("next_fingerprint")
+    return docs.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(own).alias("fingerprint"), fingerprints.as_text(other).alias("edited_fingerprint"),
+        fingerprints.resemblance(own, other).alias("near_edited"), fingerprints.resemblance(own, following).alias("near_next"),
+    )
