@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from variscope.llm import bpe, fingerprints, licences, mixing, personal, quality, token_files, toxicity
+from variscope.llm import bpe, fingerprints, licences, mixing, personal, quality, token_files, toxicity, vectors
 from variscope.llm.common import table
 
 #: The public vocabulary that the queries encode with; operators take any path.
@@ -116,3 +116,9 @@ def op9_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
         fingerprints.as_text(own).alias("fingerprint"), fingerprints.as_text(other).alias("edited_fingerprint"),
         fingerprints.resemblance(own, other).alias("near_edited"), fingerprints.resemblance(own, following).alias("near_next"),
     )
+
+
+@query()
+def op10_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return vectors.near_vectors(table(spark, sf, "embeddings"))
