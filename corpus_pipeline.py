@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from variscope.llm import bpe, mixing, toxicity
+from variscope.llm import bpe, jaccard, mixing, personal, toxicity
 from variscope.llm.common import carried, table
 from variscope.llm.queries import VOCABULARY
 from variscope.session import cut
@@ -25,6 +25,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _same_columns(scored.where(F.col("tox_score") < 0.5), docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group linked by the Jaccard join."""
+    return jaccard.without_near_copies(docs, shingle=5, least=80)
+
+
+def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return personal.redact(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return mixing.mixed_rows(docs)
@@ -36,7 +46,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.decode_bpe(ids, VOCABULARY)
 
 
-STAGES = [("toxicity", drop_toxic), ("mixing", mix_sources), ("bpe", encode)]
+STAGES = [
+    ("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("personal_data", redact_personal),
+    ("mixing", mix_sources), ("bpe", encode),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

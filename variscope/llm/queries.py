@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from variscope.llm import bpe, fingerprints, licences, mixing, personal, quality, token_files, toxicity, vectors
+from variscope.llm import bpe, fingerprints, jaccard, licences, mixing, personal, quality, token_files, toxicity, vectors
 from variscope.llm.common import table
 
 #: The public vocabulary that the queries encode with; operators take any path.
@@ -122,3 +122,9 @@ def op9_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 def op10_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Links and components of all vectors."""
     return vectors.near_vectors(table(spark, sf, "embeddings"))
+
+
+@query()
+def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of documents that share 85 per cent of their shingles."""
+    return jaccard.linked_components(table(spark, sf, "documents"))
