@@ -119,7 +119,12 @@ class Tables:
 
     @cached_property
     def all_blocks(self) -> DataFrame:
-        return V.block_list(self.blocks, self.line_files)
+        """Blocks whose activity is known, and the files themselves."""
+        return V.decided(V.block_list(self.blocks, self.line_files), self.undecided)
+
+    @cached_property
+    def undecided(self) -> DataFrame:
+        return self._keep("undecided", lambda: V.undecided_blocks(self.blocks))
 
     @cached_property
     def solutions(self) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from variscope.catalog.base import query
 from variscope.functions import lines as L, texts as X
-from variscope.operators import blocks as B
+from variscope.operators import blocks as B, coverage as V
 
 big = lambda c: F.col(c).cast("bigint").alias(c)
 
@@ -169,10 +169,25 @@ def _(t):
 
 
 @query("expr_literals", r"""
-with g as (select file_id, block_no, unnest(string_split(regexp_replace(expr, '[()\s]', '', 'g'), '&&')) part,
-  generate_subscripts(string_split(regexp_replace(expr, '[()\s]', '', 'g'), '&&'), 1) - 1 grp from v_block where expr <> '')
-select file_id, block_no, true supported, grp::bigint grp, ltrim(lit, '!') symbol, lit not like '!%' positive
-from (select file_id, block_no, grp, unnest(string_split(part, '||')) lit from g)
+select file_id, block_no, true supported, grp::bigint grp, symbol, positive from v_lit
+union all select file_id, block_no, true, null, null, null from v_plain where plain = '1'
+union all select file_id, block_no, false, null, null, null from v_unsupported
 union all select file_id, block_no, false, null, null, null from v_block where expr = ''""")
 def _(t):
     return L.expr_literals(t.blocks.select("file_id", "block_no", "expr"))
+
+
+@query("plain_condition", "select file_id, block_no, plain from v_plain where (file_id, block_no) not in (select (file_id, block_no) from v_unsupported)")
+def _(t):
+    plain = t.blocks.filter((F.col("expr") == "") | L.literal_groups(F.col("expr")).isNotNull())
+    return plain.select("file_id", "block_no", L.plain_condition(F.col("expr")).alias("plain"))
+
+
+@query("unsupported_blocks", "select file_id, block_no, chain_no from v_unsupported")
+def _(t):
+    return V.unsupported_blocks(t.blocks)
+
+
+@query("undecided_count", "select file_id, count(*) n_undecided from v_unsupported group by file_id")
+def _(t):
+    return t.undecided.groupBy("file_id").agg(F.count("*").alias("n_undecided"))

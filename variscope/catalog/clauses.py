@@ -145,16 +145,14 @@ def code_slices(t):
 
 
 def kept_slices(t):
-    t_keys = []
+    made = []
 
-    def build():
-        keys, merged = code_slices(t)
-        t_keys.append(merged)
-        return keys
+    def part(i):
+        if not made:
+            made.extend(code_slices(t))
+        return made[i]
 
-    keys = t._keep("slice_keys", build)
-    merged = t._keep("slice_clauses", lambda: t_keys[0])
-    return keys, merged
+    return t._keep("slice_keys", lambda: part(0)), t._keep("slice_clauses", lambda: part(1))
 
 
 @query("satisfiable_slices", """
@@ -226,7 +224,7 @@ def _(t):
 @query("observed_dead", "select file_id, block_no, state from v_observed")
 def _(t):
     valid = t.builds.select("config_id").distinct().withColumn("valid", F.lit(True))
-    return t._keep("observed", lambda: V.observed_dead(t.blocks, t.builds, t.enabled, valid))
+    return t._keep("observed", lambda: V.observed_dead(V.decided(t.blocks, t.undecided), t.builds, t.enabled, valid))
 
 
 def observed_defects(t):
@@ -234,7 +232,7 @@ def observed_defects(t):
 
     def build():
         valid = t.builds.select("config_id").distinct().withColumn("valid", F.lit(True))
-        seen = V.observed_dead(t.blocks, t.builds, t.enabled, valid)
+        seen = V.observed_dead(V.decided(t.blocks, t.undecided), t.builds, t.enabled, valid)
         kinds = t.blocks.select("file_id", "block_no", F.when(F.col("kind") == "else", "missing").otherwise("kconfig").alias("kind"))
         arch = M.file_arch(t.source_file, t.archs).select("file_id", F.col("specific_arch").isNotNull().alias("is_global"))
         suffix = F.when(F.col("state") == "never", "dead").otherwise("undead").alias("suffix")

@@ -164,18 +164,20 @@ def _(t):
 @query("uncovered_config_blocks", """
 select b.file_id, b.block_no from v_block b where exists (select 1 from v_block m join v_block h on h.file_id = m.file_id
   and h.start_line >= m.start_line and h.start_line < m.end_line where m.file_id = b.file_id and m.chain_no = b.chain_no and h.expr like '%CONFIG_%')
+  and (b.file_id, b.block_no) not in (select (file_id, block_no) from v_unsupported)
 except select file_id, block_no from v_enabled""")
 def _(t):
-    return V.uncovered_blocks(t.enabled, B.config_blocks(t.blocks))
+    return V.uncovered_blocks(t.enabled, V.decided(B.config_blocks(t.blocks), t.undecided))
 
 
 @query("line_coverage", """
 select n.file_id, sum(n_lines)::bigint n_total, coalesce(sum(n_lines) filter (where e.block_no is not null), 0)::bigint n_covered,
   coalesce(sum(n_lines) filter (where n.block_no >= 0), 0)::bigint n_cond_total,
   coalesce(sum(n_lines) filter (where n.block_no >= 0 and e.block_no is not null), 0)::bigint n_cond_covered
-from v_line_count n left join (select distinct file_id, block_no from v_enabled) e using (file_id, block_no) group by n.file_id""")
+from v_line_count n left join (select distinct file_id, block_no from v_enabled) e using (file_id, block_no)
+where (n.file_id, n.block_no) not in (select (file_id, block_no) from v_unsupported) group by n.file_id""")
 def _(t):
-    return V.line_coverage(t.enabled, B.block_lines(t.lines, t.tree))
+    return V.line_coverage(t.enabled, V.decided(B.block_lines(t.lines, t.tree), t.undecided))
 
 
 @query("common_assignment", """

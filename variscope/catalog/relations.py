@@ -107,11 +107,11 @@ def _(t):
 @query("model_text", """
 select arch, 0 section, '' symbol, 'I: Items-Count: ' || count(*) line from v_model group by arch
 union all select distinct arch, 1, '', 'I: Format: <variable> [presence condition]' from v_model
-union all select distinct arch, 2, '', 'UNDERTAKER_SET SCHEMA_VERSION 1.1' from v_model
-union all select arch, 3, '', 'UNDERTAKER_SET ALWAYS_ON "' || string_agg(symbol, '" "' order by symbol) || '"' from v_forced where is_on group by arch
+union all select distinct arch, 2, '', 'META SCHEMA_VERSION 1.1' from v_model
+union all select arch, 3, '', 'META ALWAYS_ON "' || string_agg(symbol, '" "' order by symbol) || '"' from v_forced where is_on group by arch
 union all select arch, 4, symbol, case when formula = '' then symbol else symbol || ' "' || formula || '"' end from v_model""")
 def _(t):
-    return K.model_text(t.model, t.forced.filter("on"))
+    return K.model_text(t.model, t.forced.filter("on"), "META")
 
 
 def clause_tables(t, arch):

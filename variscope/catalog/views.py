@@ -3,12 +3,14 @@
 from variscope.catalog.base import view
 
 view("v_source_line", """
-with li as (select l_orderkey file_id, l_returnflag rf,
+with li as (select l_orderkey file_id, l_returnflag rf, l_suppkey % 6 form,
     concat('CONFIG_P', cast(l_partkey % 40 as varchar(10))) a,
     concat('CONFIG_P', cast(l_suppkey % 40 as varchar(10))) b,
     row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) seq
   from lineitem),
-t as (select file_id, seq, 1 k, case rf when 'N' then concat('#ifdef ', a) when 'A' then concat('#if ', a, ' || ', b) else concat('#ifndef ', a) end txt from li
+t as (select file_id, seq, 1 k, case rf when 'N' then case form when 0 then '#if !defined(' || a || ')' when 1 then '#if defined(' || a || ') || defined(' || b || ')'
+      when 2 then '#if 1' when 3 then '#if !(defined(' || a || ') || defined(' || b || '))'
+      when 4 then '#if (defined(' || a || ') && defined(' || b || ')) || defined(' || a || ')' else '#ifdef ' || a end when 'A' then concat('#if ', a, ' || ', b) else concat('#ifndef ', a) end txt from li
   union all select file_id, seq, 2, 'code();' from li
   union all select file_id, seq, 3, concat('#elif ', b) from li where rf = 'A'
   union all select file_id, seq, 4, 'code();' from li where rf = 'A'
@@ -210,15 +212,22 @@ union all select config_id, arch, symbol || '_MODULE', true from c where type =
 union all select config_id, arch, symbol, false from c where type = 'tristate' and value = 'n'
 union all select config_id, arch, symbol || '_MODULE', false from c where type = 'tristate' and value = 'n'""")
 
+view("v_plain", r"""
+select *, regexp_replace(regexp_replace(regexp_replace(replace(expr, ' ', ''), '(^|[|(!&])\((\w+)\)', '\1\2', 'g'), '(^|[|(!&])\((\w+)\)', '\1\2', 'g'),
+  '^!\((\w+)\|\|(\w+)\)$', '!\1&&!\2') plain from v_block""")
+
+view("v_unsupported", r"select file_id, block_no, chain_no from v_plain where regexp_matches(plain, '^\(.*&&.*\)\|\|')")
+
 view("v_lit", r"""
-with g as (select file_id, block_no, unnest(string_split(regexp_replace(expr, '[()\s]', '', 'g'), '&&')) part,
-  generate_subscripts(string_split(regexp_replace(expr, '[()\s]', '', 'g'), '&&'), 1) - 1 grp from v_block where expr <> '')
+with g as (select file_id, block_no, unnest(string_split(regexp_replace(plain, '[()]', '', 'g'), '&&')) part,
+  generate_subscripts(string_split(regexp_replace(plain, '[()]', '', 'g'), '&&'), 1) - 1 grp from v_plain
+  where plain not in ('', '1') and (file_id, block_no) not in (select (file_id, block_no) from v_unsupported))
 select file_id, block_no, grp, ltrim(lit, '!') symbol, lit not like '!%' positive
 from (select file_id, block_no, grp, unnest(string_split(part, '||')) lit from g)""")
 
 view("v_own", """
-select b.file_id, u.config_id, b.block_no, b.chain_no, b.parent_no, b.expr = '' or g.ok own
-from v_block b join v_build u using (file_id) left join (
+select b.file_id, u.config_id, b.block_no, b.chain_no, b.parent_no, b.expr in ('', '1') or g.ok own
+from (select * from v_block where (file_id, block_no) not in (select (file_id, block_no) from v_unsupported)) b join v_build u using (file_id) left join (
   select file_id, config_id, block_no, bool_and(ok) ok from (
     select l.file_id, u.config_id, l.block_no, l.grp, bool_or((t.var is not null) = l.positive) ok
     from v_lit l join v_build u using (file_id) left join (select config_id, var from v_assignment where val) t
@@ -235,7 +244,8 @@ union all select w.file_id, w.config_id, w.block_no from v_enabled e join v_won
   on w.file_id = e.file_id and w.config_id = e.config_id and w.parent_no = e.block_no""")
 
 view("v_all_block", """
-select file_id, block_no from v_block union all select distinct file_id, -1 from v_source_line""")
+select file_id, block_no from v_block where (file_id, block_no) not in (select (file_id, block_no) from v_unsupported)
+union all select distinct file_id, -1 from v_source_line""")
 
 view("v_line_inside", """
 select l.file_id, l.line_no, l.txt, coalesce(max_by(b.block_no, b.start_line), -1) block_no
@@ -285,7 +295,8 @@ select file_id, block_no, case when max(n) = 1 then null else 1 end many, list(g
 view("v_block_clause", """
 with b as (select b.*, 'B' || b.block_no bv, 'B' || b.parent_no pv,
     case when b.prev_no is null then null when b.prev_no = b.chain_no then 'B' || b.prev_no else 'T' || b.prev_no end tv,
-    exists (select 1 from v_block n where n.file_id = b.file_id and n.prev_no = b.block_no) followed from v_block b),
+    exists (select 1 from v_block n where n.file_id = b.file_id and n.prev_no = b.block_no) followed from v_block b
+    where (b.file_id, b.block_no) not in (select (file_id, block_no) from v_unsupported)),
 flat as (select b.file_id, b.block_no, b.bv, b.pv, b.tv, list(l.ls) filter (where l.ls is not null) gs
   from b left join v_group l on l.file_id = b.file_id and l.block_no = b.block_no group by all),
 neg as (select file_id, block_no, bv, pv, tv, case when gs is null then [''] when len(gs) = 1 then gs[1] else [array_to_string(flatten(gs), ' ')] end ways from flat)
@@ -334,7 +345,7 @@ view("v_observed", """
 with n as (select file_id, block_no, count(*) n from v_enabled group by all)
 select b.file_id, b.block_no, case when n.n is null then 'never' when n.n = p.n then 'always' end state
 from v_block b left join n using (file_id, block_no) left join n p on p.file_id = b.file_id and p.block_no = coalesce(b.parent_no, -1)
-where n.n is null or n.n = p.n""")
+where (n.n is null or n.n = p.n) and (b.file_id, b.block_no) not in (select (file_id, block_no) from v_unsupported)""")
 
 view("v_defect", """
 select o.file_id, o.block_no, case o.state when 'never' then 'dead' else 'undead' end suffix, a.arch, a.specific_arch is not null is_global,

@@ -114,31 +114,73 @@ def config_like(symbol: Column) -> Column:
     return F.when(symbol.rlike("^CONFIG_.+"), "CONFIG_LIKE").otherwise("NOT_CONFIG_LIKE")
 
 
-# Shapes of expressions that become literal rows exactly; anything else is counted
+# Shapes of plain conditions that become literal rows exactly; anything else is counted
 # as unsupported.
-_LIT = r"!?\s*[A-Za-z_][A-Za-z0-9_]*[.]*"
-_OR = rf"{_LIT}(\s*\|\|\s*{_LIT})*"
-_AND = rf"{_LIT}(\s*&&\s*{_LIT})*"
-_GROUP = rf"\(\s*{_OR}\s*\)"
-SHAPE_OR = rf"^\s*{_OR}\s*$"
-SHAPE_AND = rf"^\s*({_LIT}|{_GROUP})(\s*&&\s*({_LIT}|{_GROUP}))*\s*$"
+_LIT = r"!?(?:[A-Za-z_][A-Za-z0-9_]*[.]*|[01])"
+_OR = rf"{_LIT}(\|\|{_LIT})*"
+_AND = rf"{_LIT}(&&{_LIT})*"
+_GROUP = rf"\({_OR}\)"
+SHAPE_OR = rf"^{_OR}$"
+SHAPE_AND = rf"^({_LIT}|{_GROUP})(&&({_LIT}|{_GROUP}))*$"
+_CLOSED = r"(?<![A-Za-z0-9_.])"  # a bracket that is no macro's
+
+
+def _loose_brackets(expr: Column) -> Column:
+    """Drop brackets around one literal or group of one sort, and double negations."""
+    for _ in range(3):
+        expr = F.regexp_replace(expr, rf"{_CLOSED}\(({_LIT}|\([^()]*\))\)", "$1")
+        expr = F.replace(expr, F.lit("!!"), F.lit(""))
+    return F.regexp_replace(expr, r"^\(([^()]*)\)$", "$1")
+
+
+def _turned(group: Column) -> Column:
+    """A negated flat group with the negation taken inside; others as they are."""
+    inner = F.regexp_extract(group, r"^!\((.*)\)$", 1)
+    turn = lambda sep, joint: F.array_join(F.transform(
+        F.split(inner, sep), lambda l: F.when(l.startswith("!"), F.substring(l, 2, 1 << 20)).otherwise(F.concat(F.lit("!"), l))), joint)
+    return (
+        F.when(~F.contains(inner, F.lit("&&")), turn(r"\|\|", "&&"))
+        .when(~F.contains(inner, F.lit("||")), F.concat(F.lit("("), turn("&&", "||"), F.lit(")"))).otherwise(group)
+    )
+
+
+def plain_condition(expr: Column) -> Column:
+    """A condition without needless blanks and brackets, negations only at literals.
+
+    Brackets of a macro call stay, and so does what mixes ``&&`` and ``||`` in a group.
+    """
+    bare = _loose_brackets(F.trim(F.regexp_replace(expr, r"\s*(\(|\)|!|&&|\|\|)\s*", "$1")))
+    negated = F.regexp_extract_all(bare, F.lit(r"(!\([^()]*\))"), F.lit(1))
+    moved = _loose_brackets(F.aggregate(negated, bare, lambda done, g: F.replace(done, g, _turned(g))))
+    call = moved.rlike(r"[A-Za-z0-9_.]\(") | F.contains(moved, F.lit("!("))
+    one_sort = ~call & (~F.contains(moved, F.lit("&&")) | ~F.contains(moved, F.lit("||")))
+    return F.when(one_sort, F.regexp_replace(moved, "[()]", "")).otherwise(moved)
 
 
 def literal_groups(expr: Column) -> Column:
-    """array<array<struct<symbol, positive>>>: a conjunction of disjunctions, or null."""
-    bare = F.regexp_replace(expr, r"[()\s]", "")
+    """array<array<struct<symbol, positive>>>: a conjunction of disjunctions, or null.
+
+    Constants are worked in: a condition that always holds has no groups, one that never does an empty one.
+    """
+    plain = plain_condition(expr)
 
     def literal(text):
-        return F.struct(
-            F.regexp_replace(text, "^!", "").alias("symbol"), (~text.startswith("!")).alias("positive")
-        )
+        return F.struct(F.regexp_replace(text, "^!", "").alias("symbol"), (~text.startswith("!")).alias("positive"))
 
-    groups = F.transform(F.split(bare, "&&"), lambda g: F.transform(F.split(g, r"\|\|"), literal))
-    return F.when(expr.rlike(SHAPE_OR) | expr.rlike(SHAPE_AND), groups)
+    def constant(l, value):
+        return ((l["symbol"] == "1") & (l["positive"] == value)) | ((l["symbol"] == "0") & (l["positive"] != value))
+
+    groups = F.transform(F.split(F.regexp_replace(plain, "[()]", ""), "&&"), lambda g: F.transform(F.split(g, r"\|\|"), literal))
+    left = F.filter(groups, lambda g: ~F.exists(g, lambda l: constant(l, True)))
+    left = F.transform(left, lambda g: F.filter(g, lambda l: ~constant(l, False)))
+    return F.when(plain.rlike(SHAPE_OR) | plain.rlike(SHAPE_AND), left)
 
 
 def expr_literals(exprs: DataFrame, column: str = "expr") -> DataFrame:
-    """Literal rows (grp, symbol, positive, supported); one null row when unsupported."""
+    """Literal rows (grp, symbol, positive, supported); one null row when unsupported.
+
+    A condition that always holds has one supported row without group; one that never does, rows without symbol.
+    """
     keep = [c for c in exprs.columns if c != column]
     parsed = exprs.withColumn("_groups", literal_groups(F.col(column)))
     return (

@@ -170,7 +170,7 @@ def ancestors(blocks: DataFrame) -> DataFrame:
     deepest = blocks.agg(F.max("depth")).first()[0] or 1
     out, step = rows, rows
     for level in range(1, int(deepest)):
-        step = lookup(step, parents, ["file_id", "anc_no"], spread=["block_no"], how="inner").select(
+        step = lookup(step, parents, ["file_id", "anc_no"], how="inner").select(
             *BLOCK_KEY, F.col("_up").alias("anc_no"), F.lit(level).alias("level")
         )
         out = out.unionByName(step)
@@ -182,7 +182,7 @@ def config_blocks(blocks: DataFrame) -> DataFrame:
     hits = blocks.filter(F.col("expr").contains("CONFIG_")).select(*BLOCK_KEY)
     up = ancestors(blocks).join(hits, BLOCK_KEY).select("file_id", F.col("anc_no").alias("block_no")).distinct()
     chains = blocks.join(up, BLOCK_KEY).select("file_id", "chain_no").distinct()
-    return lookup(blocks, chains, ["file_id", "chain_no"], spread=["block_no"], how="inner")
+    return lookup(blocks, chains, ["file_id", "chain_no"], how="inner")
 
 
 def structure_listing(lines: DataFrame, tree: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def include_edges(lines: DataFrame, files: DataFrame) -> DataFrame:
         F.col("file_id").alias("src"), target.alias("path"), "line_no"
     )
     known = files.select("path", F.col("file_id").alias("dst"))
-    return lookup(asked, known, ["path"], spread=["src", "line_no"], how="inner").select("src", "dst").distinct()
+    return lookup(asked, known, ["path"], how="inner").select("src", "dst").distinct()
 
 
 def include_closure(files: DataFrame, edges: DataFrame) -> DataFrame:

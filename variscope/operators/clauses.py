@@ -47,17 +47,17 @@ def clause_violations(clauses: DataFrame, config: DataFrame, configs: DataFrame,
     added for ``'false'``.
     """
     shape = clauses.groupBy("arch", "clause").agg(F.count(F.lit(1)).alias("_n"), F.count_if(~F.col("positive")).alias("_neg"))
-    met = lookup(config, clauses, ["arch", "var"], spread=["config_id", "var"], how="inner")
+    met = lookup(config, clauses, ["arch", "var"], how="inner")
     per = met.groupBy("config_id", "arch", "clause").agg(
         F.bool_or(F.col("val") == F.col("positive")).alias("ok"), F.count(F.lit(1)).alias("m"), F.count_if(~F.col("positive")).alias("mneg")
     )
-    per = lookup(per, shape, ["arch", "clause"], spread=["config_id"], how="inner")
+    per = lookup(per, shape, ["arch", "clause"], how="inner")
     place = ["config_id", "arch", "clause"]
     if unmentioned == "free":
         return per.filter(~F.col("ok") & (F.col("m") == F.col("_n"))).select(*place)
     broken = per.filter(~F.col("ok") & (F.col("mneg") == F.col("_neg"))).select(*place)
     positive = shape.filter(F.col("_neg") == 0).select("arch", "clause")
-    untouched = lookup(configs, positive, ["arch"], spread=["config_id"], how="inner").select(*place)
+    untouched = lookup(configs, positive, ["arch"], how="inner").select(*place)
     return broken.unionByName(untouched.join(per.select(*place), place, "left_anti"))
 
 
@@ -71,7 +71,7 @@ def config_valid(configs: DataFrame, violations: DataFrame) -> DataFrame:
 
 def failed_symbols(clauses: DataFrame, config: DataFrame, violations: DataFrame) -> DataFrame:
     """(config_id, var): stated variables occurring in broken clauses."""
-    named = lookup(violations, clauses.select("arch", "clause", "var"), ["arch", "clause"], spread=["config_id"], how="inner")
+    named = lookup(violations, clauses.select("arch", "clause", "var"), ["arch", "clause"], how="inner")
     return named.select("config_id", "arch", "var").distinct().join(config.select("config_id", "arch", "var"), ["config_id", "arch", "var"], "left_semi").select("config_id", "var")
 
 
@@ -93,7 +93,7 @@ def forced_literals(slices: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
         facts.append(fact.select("sid", "var", "val"))
         conflicts.append(fact.filter("clash").select("sid"))
         known = fact.groupBy("sid").agg(F.map_from_entries(F.collect_list(F.struct("var", "val"))).alias("m"), F.bool_or("clash").alias("clash"))
-        joined = lookup(active, known, ["sid"], spread=["lits"])
+        joined = lookup(active, known, ["sid"])
         rest = F.filter("lits", lambda l: F.col("m")[l["var"]].isNull())
         holds = F.exists("lits", lambda l: F.col("m")[l["var"]] == l["positive"])
         step = cut(
@@ -121,7 +121,7 @@ def drop_pure(clauses: DataFrame) -> DataFrame:
             F.min("l.positive").alias("lo"), F.max("l.positive").alias("hi")
         )
         pure = seen.filter(F.col("lo") == F.col("hi")).groupBy("sid").agg(F.collect_set("var").alias("p"))
-        marked = lookup(rows, pure, ["sid"], spread=["lits"])
+        marked = lookup(rows, pure, ["sid"])
         gone = F.coalesce(F.exists("lits", lambda l: F.array_contains("p", l["var"])), F.lit(False))
         marked = cut(marked.select("sid", "lits", gone.alias("gone")))
         if marked.filter("gone").isEmpty():
@@ -143,7 +143,7 @@ def masks(clauses: DataFrame, k: int = WORD) -> tuple[DataFrame, DataFrame]:
     n = cut(variables.groupBy("sid").agg(F.count(F.lit(1)).alias("n")))
     small = n.filter(F.col("n") <= k).select("sid")
     names = variables.join(small, "sid", "left_semi").groupBy("sid").agg(F.array_sort(F.collect_set("var")).alias("vars"))
-    rows = lookup(clauses, names, ["sid"], spread=["lits"], how="inner")
+    rows = lookup(clauses, names, ["sid"], how="inner")
 
     def mask(positive):
         held = F.array_distinct(F.filter("lits", lambda l: l["positive"] == F.lit(positive)))
@@ -280,7 +280,7 @@ def numbered(clauses: DataFrame, limit: int | None = None) -> tuple[DataFrame, D
     names = variables.join(n.filter(F.col("n") <= limit).select("sid"), "sid", "left_semi").groupBy("sid").agg(
         F.array_sort(F.collect_set("var")).alias("vars")
     )
-    rows = lookup(clauses, names, ["sid"], spread=["lits"], how="inner")
+    rows = lookup(clauses, names, ["sid"], how="inner")
     number = F.transform(
         "lits", lambda l: F.array_position("vars", l["var"]).cast("int") * F.when(l["positive"], 1).otherwise(-1)
     )
@@ -463,7 +463,7 @@ def merge_clause_models(var_a: DataFrame, lit_a: DataFrame, var_b: DataFrame, li
     fresh = fresh.join(top, F.lit(True)).select("name", (F.coalesce("_top", F.lit(0)) + F.col("_n")).alias("id"))
     variables = cut(var_a.select("name", "id").unionByName(fresh))
     renumber = var_b.select("name", F.col("id").alias("var")).join(variables, "name")
-    moved = lookup(lit_b, renumber.select("var", "id"), ["var"], spread=["clause_id"], how="inner").join(last, F.lit(True)).select(
+    moved = lookup(lit_b, renumber.select("var", "id"), ["var"], how="inner").join(last, F.lit(True)).select(
         (F.col("clause_id") + F.coalesce("_last", F.lit(0))).alias("clause_id"), F.col("id").alias("var"), "positive"
     )
     return variables, lit_a.select("clause_id", "var", "positive").unionByName(moved)

@@ -16,7 +16,7 @@ def config_literals(config: DataFrame, types: DataFrame) -> DataFrame:
     Symbols without a boolean or tristate type state nothing. ``config`` has arch.
     """
     ids = [c for c in config.columns if c not in ("symbol", "value")]
-    typed = lookup(config, types.select("arch", "symbol", "type"), ["arch", "symbol"], spread=["config_id"], how="inner")
+    typed = lookup(config, types.select("arch", "symbol", "type"), ["arch", "symbol"], how="inner")
     lit = lambda var, val: F.struct(var.alias("var"), val.alias("val"))
     base, mod, v = F.col("symbol"), F.concat("symbol", F.lit("_MODULE")), F.col("value")
     tri = (
@@ -99,9 +99,8 @@ def fold_tristate(rows: DataFrame, missing: DataFrame, ids: list[str]) -> DataFr
     base = F.regexp_replace("var", "_MODULE$", "")
     gone = missing.select(*ids, F.col("symbol").alias("_s")).distinct()
     marked = rows.filter(~var.rlike(r"^B\d+$")).withColumn("_base", base)
-    spread = ["var"]
-    marked = lookup(marked, gone.withColumnRenamed("_s", "var").withColumn("_m1", F.lit(True)), [*ids, "var"], spread=spread)
-    marked = lookup(marked, gone.withColumnRenamed("_s", "_base").withColumn("_m2", F.lit(True)), [*ids, "_base"], spread=spread)
+    marked = lookup(marked, gone.withColumnRenamed("_s", "var").withColumn("_m1", F.lit(True)), [*ids, "var"])
+    marked = lookup(marked, gone.withColumnRenamed("_s", "_base").withColumn("_m2", F.lit(True)), [*ids, "_base"])
     module = val & var.rlike("^CONFIG_.*_MODULE$")
     absent = F.col("_m1").isNotNull()
     plain = var.rlike("^CONFIG_.*[^.]$") & ~var.rlike("^CONFIG_CHOICE_")

@@ -87,7 +87,7 @@ def base_condition(
     forced symbols on or off. ``models`` is (file_id, arch).
     """
     off = missing.join(complete.filter("complete").select("arch"), "arch", "left_semi")
-    every = lookup(models, forced, ["arch"], spread=["file_id"], how="inner")
+    every = lookup(models, forced, ["arch"], how="inner")
     negate = lambda cond: F.concat(F.when(cond, "").otherwise("!"), "symbol").alias("text")
     return (
         condition.select("file_id", F.lit("code").alias("part"), "text")
@@ -112,9 +112,9 @@ def closure_edges(blocks: DataFrame, defines: DataFrame | None) -> DataFrame:
     uses = uses.join(inner.select("file_id", "symbol").distinct(), ["file_id", "symbol"], "left_semi")
     first = uses.groupBy("file_id", "chain_no", "symbol").agg(F.min("block_no").alias("_from"))
     prefix = lookup(
-        blocks.select("file_id", "chain_no", F.col("block_no").alias("src")), first, ["file_id", "chain_no"], spread=["src"], how="inner"
+        blocks.select("file_id", "chain_no", F.col("block_no").alias("src")), first, ["file_id", "chain_no"], how="inner"
     ).filter(F.col("src") >= F.col("_from"))
-    over = lookup(prefix.select("file_id", "symbol", "src"), inner, ["file_id", "symbol"], spread=["src"], how="inner")
+    over = lookup(prefix.select("file_id", "symbol", "src"), inner, ["file_id", "symbol"], how="inner")
     return up.unionByName(over.filter(F.col("dst") != F.col("src")).select("file_id", "src", "dst")).distinct()
 
 
@@ -127,7 +127,7 @@ def constraint_closure(blocks: DataFrame, defines: DataFrame | None = None) -> D
     starts = blocks.select("file_id", "block_no", F.col("block_no").alias("node"))
     rows = reach(starts, cut(closure_edges(blocks, defines)), ["file_id"], "node")
     chains = blocks.select("file_id", F.col("block_no").alias("node"), "chain_no")
-    return lookup(rows, chains, ["file_id", "node"], spread=["block_no"], how="inner").groupBy("file_id", "block_no", "chain_no").agg(
+    return lookup(rows, chains, ["file_id", "node"], how="inner").groupBy("file_id", "block_no", "chain_no").agg(
         F.max("node").alias("upto_no")
     )
 
@@ -135,7 +135,7 @@ def constraint_closure(blocks: DataFrame, defines: DataFrame | None = None) -> D
 def members(closure: DataFrame, blocks: DataFrame) -> DataFrame:
     """(file_id, block_no, member_no) of ``constraint_closure``."""
     chain = blocks.select("file_id", "chain_no", F.col("block_no").alias("member_no"))
-    return lookup(closure, chain, ["file_id", "chain_no"], spread=["block_no"], how="inner").filter(
+    return lookup(closure, chain, ["file_id", "chain_no"], how="inner").filter(
         F.col("member_no") <= F.col("upto_no")
     ).select("file_id", "block_no", "member_no")
 
@@ -205,7 +205,7 @@ def closure_symbols(member_rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """(file_id, block_no, symbol): plain symbols of the conditions a block depends on."""
     uses = blocks.select("file_id", F.col("block_no").alias("member_no"), F.explode(L.symbols_of(F.col("expr"))).alias("s"))
     named = uses.select("file_id", "member_no", F.regexp_replace("s", "[.]+$", "").alias("symbol")).distinct()
-    return lookup(member_rows, named, ["file_id", "member_no"], spread=["block_no"], how="inner").select("file_id", "block_no", "symbol").distinct()
+    return lookup(member_rows, named, ["file_id", "member_no"], how="inner").select("file_id", "block_no", "symbol").distinct()
 
 
 def block_slices(blocks: DataFrame, rewritten: DataFrame, defines: DataFrame | None) -> DataFrame:
@@ -216,11 +216,11 @@ def block_slices(blocks: DataFrame, rewritten: DataFrame, defines: DataFrame | N
     """
     member_rows = cut(members(constraint_closure(blocks, defines), blocks))
     own = block_clauses(rewritten).withColumnRenamed("block_no", "member_no")
-    code = lookup(own, member_rows, ["file_id", "member_no"], spread=["lits"], how="inner").select("file_id", "block_no", "lits")
+    code = lookup(own, member_rows, ["file_id", "member_no"], how="inner").select("file_id", "block_no", "lits")
     if defines is None:
         return code
     used = closure_symbols(member_rows, rewritten)
-    defs = lookup(define_clauses(defines), used, ["file_id", "symbol"], spread=["lits"], how="inner").select("file_id", "block_no", "lits")
+    defs = lookup(define_clauses(defines), used, ["file_id", "symbol"], how="inner").select("file_id", "block_no", "lits")
     return code.unionByName(defs)
 
 
@@ -237,10 +237,10 @@ def block_precondition(
     member_rows = cut(members(constraint_closure(blocks, defines), blocks))
     used = cut(closure_symbols(member_rows, blocks))
     texts = block_constraint(blocks).withColumnRenamed("block_no", "member_no")
-    code = lookup(texts, member_rows, ["file_id", "member_no"], spread=["text"], how="inner").select(
+    code = lookup(texts, member_rows, ["file_id", "member_no"], how="inner").select(
         "file_id", "block_no", F.lit("code").alias("part"), "text")
     define_text = define_constraints(defines).select("file_id", "symbol", "text")
-    defs = lookup(define_text, used, ["file_id", "symbol"], spread=["text"], how="inner").select(
+    defs = lookup(define_text, used, ["file_id", "symbol"], how="inner").select(
         "file_id", "block_no", F.lit("define").alias("part"), "text").distinct()
     linked = blocks.select("file_id", "block_no", "name").join(files.select("file_id", "path"), "file_id")
     fixed = linked.select("file_id", "block_no", F.explode(F.array(
@@ -249,7 +249,7 @@ def block_precondition(
         F.struct(F.lit("file").alias("part"), F.concat(F.lit("( B00 <-> "), L.file_variable(F.col("path")), F.lit(" )")).alias("text")),
     )).alias("x")).select("file_id", "block_no", "x.part", "x.text")
     ids = ["file_id", "block_no", "arch"]
-    starts = lookup(used, file_models, ["file_id"], spread=["block_no", "symbol"], how="inner").select(*ids, "symbol")
+    starts = lookup(used, file_models, ["file_id"], how="inner").select(*ids, "symbol")
     reached = cut(M.slice_symbols(starts, related))
     slices = M.model_slice(reached, model, forced, ids).select("file_id", "block_no", F.lit("slice").alias("part"), "text")
     gone = M.missing_symbols(reached, model, spaces, ids, defines).join(complete.filter("complete").select("arch"), "arch", "left_semi")

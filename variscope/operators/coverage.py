@@ -18,6 +18,26 @@ def unsupported_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.filter((F.col("expr") != "") & L.literal_groups(F.col("expr")).isNull()).select("file_id", "block_no", "chain_no")
 
 
+def undecided_blocks(blocks: DataFrame) -> DataFrame:
+    """(file_id, block_no): members of chains with an unsupported condition, and all blocks inside of these.
+
+    Nothing is known of their activity, so reports of coverage leave them out.
+    """
+    shape = blocks.select("file_id", "block_no", "chain_no", "depth", "parent_no")
+    level = cut(shape.join(unsupported_blocks(blocks).select("file_id", "chain_no").distinct(), ["file_id", "chain_no"], "left_semi").select("file_id", "block_no"))
+    out = level
+    while not level.isEmpty():
+        above = level.withColumnRenamed("block_no", "parent_no")
+        level = cut(shape.join(above, ["file_id", "parent_no"], "left_semi").select("file_id", "block_no"))
+        out = out.unionByName(level)
+    return out.distinct()
+
+
+def decided(rows: DataFrame, undecided: DataFrame) -> DataFrame:
+    """Rows of blocks whose activity is known."""
+    return rows.join(undecided, ["file_id", "block_no"], "left_anti")
+
+
 def enabled_blocks(blocks: DataFrame, builds: DataFrame, assignment: DataFrame) -> DataFrame:
     """(file_id, config_id, block_no): blocks active when a file is built under a configuration.
 
@@ -30,21 +50,23 @@ def enabled_blocks(blocks: DataFrame, builds: DataFrame, assignment: DataFrame)
     blocks times configurations of the same file, never all times all.
     """
     usable = blocks.join(unsupported_blocks(blocks).select("file_id", "chain_no").distinct(), ["file_id", "chain_no"], "left_anti")
-    usable = cut(usable.select("file_id", "block_no", "chain_no", "depth", "parent_no", "expr"))
+    groups = F.when(F.col("expr") == "", F.array().cast("array<array<struct<symbol:string,positive:boolean>>>")).otherwise(L.literal_groups(F.col("expr")))
+    usable = cut(usable.select("file_id", "block_no", "chain_no", "depth", "parent_no", groups.alias("_g")))
     true_vars = assignment.filter("val").select("config_id", F.col("var").alias("symbol"), F.lit(True).alias("_on"))
     place = ["file_id", "config_id", "block_no"]
 
-    literals = L.expr_literals(usable.filter(F.col("expr") != "").select("file_id", "block_no", "expr"))
-    literals = lookup(literals.drop("supported"), builds, ["file_id"], spread=["block_no", "grp", "symbol"], how="inner")
-    valued = lookup(literals, true_vars, ["config_id", "symbol"], spread=["file_id", "block_no"])
+    open_ = usable.filter(~F.exists("_g", lambda g: F.size(g) == 0)).select("file_id", "block_no", F.posexplode("_g").alias("grp", "_l"))
+    literals = open_.select("file_id", "block_no", "grp", F.explode("_l").alias("_l")).select("file_id", "block_no", "grp", "_l.*")
+    literals = lookup(literals, builds, ["file_id"], how="inner")
+    valued = lookup(literals, true_vars, ["config_id", "symbol"])
     holds = F.col("_on").isNotNull() == F.col("positive")
     groups = valued.groupBy(*place, "grp").agg(F.bool_or(holds).alias("g"))
     own = groups.groupBy(*place).agg(F.bool_and("g").alias("own")).filter("own").select(*place)
-    free = usable.filter(F.col("expr") == "").select("file_id", "block_no")
-    own = own.unionByName(lookup(free, builds, ["file_id"], spread=["block_no"], how="inner").select(*place))
+    free = usable.filter(F.size("_g") == 0).select("file_id", "block_no")
+    own = own.unionByName(lookup(free, builds, ["file_id"], how="inner").select(*place))
 
     shape = usable.select("file_id", "block_no", "chain_no", "depth", "parent_no")
-    won = lookup(own, shape, ["file_id", "block_no"], spread=["config_id"], how="inner")
+    won = lookup(own, shape, ["file_id", "block_no"], how="inner")
     won = won.groupBy("file_id", "config_id", "chain_no").agg(F.min(F.struct("block_no", "depth", "parent_no")).alias("w"))
     won = cut(won.select("file_id", "config_id", "w.block_no", "w.depth", "w.parent_no"))
 
@@ -157,7 +179,7 @@ def top_variable_files(solutions: DataFrame, files: DataFrame, n: int = 50) -> D
 def baseline_coverage(enabled: DataFrame, base_configs: DataFrame) -> DataFrame:
     """Blocks reached by standard configurations, by the others, and only by one side."""
     base = base_configs.select("config_id", F.lit(True).alias("_b"))
-    marked = lookup(enabled, base, ["config_id"], spread=["file_id", "block_no"])
+    marked = lookup(enabled, base, ["config_id"])
     per = marked.groupBy("file_id", "block_no").agg(
         F.bool_or(F.col("_b").isNotNull()).alias("b"), F.bool_or(F.col("_b").isNull()).alias("o")
     )
@@ -185,7 +207,7 @@ def masked_source(lines: DataFrame, tree: DataFrame, enabled: DataFrame) -> Data
     conditional = kind.isin(*L.CONDITIONAL)
     plain = lines.filter(~conditional)
     on = enabled.select("file_id", F.col("block_no").alias("inside_no"), F.lit(True).alias("_on"))
-    placed = lookup(innermost(plain, tree), on, ["file_id", "inside_no"], spread=["line_no"])
+    placed = lookup(innermost(plain, tree), on, ["file_id", "inside_no"])
     shown = placed.select("file_id", "line_no", F.concat(F.when(F.col("_on").isNull(), "// ").otherwise(""), "txt").alias("txt"))
     marked = skip.filter(conditional).select("file_id", "line_no", F.concat(F.lit("// "), "txt").alias("txt"))
     return shown.unionByName(marked)
@@ -218,7 +240,7 @@ def coverage_report(enabled: DataFrame, unmet: DataFrame, selected: DataFrame, s
     covered = enabled.groupBy("file_id", "config_id").agg(F.count(F.lit(1)).alias("n_covered"))
     wrong = unmet.groupBy("config_id").agg(F.count(F.lit(1)).alias("n_mismatches"))
     per_config = selected.join(wrong, "config_id", "left").join(severities, "config_id", "left")
-    return lookup(covered, per_config, ["config_id"], spread=["file_id"]).select(
+    return lookup(covered, per_config, ["config_id"]).select(
         "file_id", "config_id", "n_covered", *[zero(c) for c in ("n_mismatches", "n_selected", "n_warnings", "n_errors")]
     )
 
@@ -226,6 +248,6 @@ def coverage_report(enabled: DataFrame, unmet: DataFrame, selected: DataFrame, s
 def file_solutions(file_uses: DataFrame, builds: DataFrame, assignment: DataFrame) -> DataFrame:
     """(file_id, config_id, symbol, val): values a file's symbols have in each of its builds."""
     true_vars = assignment.filter("val").select("config_id", F.col("var").alias("symbol"), F.lit(True).alias("_on"))
-    rows = lookup(file_uses.select("file_id", "symbol"), builds, ["file_id"], spread=["symbol"], how="inner")
-    valued = lookup(rows, true_vars, ["config_id", "symbol"], spread=["file_id"])
+    rows = lookup(file_uses.select("file_id", "symbol"), builds, ["file_id"], how="inner")
+    valued = lookup(rows, true_vars, ["config_id", "symbol"])
     return valued.select("file_id", "config_id", "symbol", F.col("_on").isNotNull().alias("val"))

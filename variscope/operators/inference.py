@@ -25,12 +25,12 @@ def fileset_diff(sets: DataFrame, base: DataFrame, width: int = SEGMENT) -> Data
     ids = cut(sets.select("selection_id").distinct().withColumn("_all", F.lit(0)))
     ids = cut(scan(ids, ["_all"], "selection_id", [Run("idx", "sum", F.lit(1).cast("bigint"))], width=width).drop("_all"))
     end = ids.agg((F.max("idx") + 1).alias("idx"))
-    have = lookup(sets.join(base_files, "file", "left_semi"), ids, ["selection_id"], spread=["file"], how="inner")
+    have = lookup(sets.join(base_files, "file", "left_semi"), ids, ["selection_id"], how="inner")
     marks = have.select("file", "idx").distinct().unionByName(base_files.join(end, F.lit(True)).select("file", "idx"))
     steps = scan(cut(marks), ["file"], "idx", [Run("_prev", "lag", F.col("idx"))], width=width)
     low = F.coalesce("_prev", F.lit(0)) + 1
     gaps = steps.filter(low < F.col("idx")).select("file", F.explode(F.sequence(low, F.col("idx") - 1)).alias("idx"))
-    gone = lookup(gaps, ids, ["idx"], spread=["file"], how="inner").select("selection_id", "file", F.lit("removed").alias("change"))
+    gone = lookup(gaps, ids, ["idx"], how="inner").select("selection_id", "file", F.lit("removed").alias("change"))
     return added.select("selection_id", "file", "change").unionByName(gone)
 
 
@@ -72,7 +72,7 @@ def variations(base: DataFrame, visits: DataFrame, groups: DataFrame, domains: D
         )
         done = done.unionByName(current.join(size.filter(F.col("last") == pos), "grp", "left_semi"))
     have = base.groupBy("selection_id").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "value"))).alias("_have"))
-    rows = lookup(visits.distinct(), done, ["grp"], spread=["selection_id"], how="inner").join(have, "selection_id")
+    rows = lookup(visits.distinct(), done, ["grp"], how="inner").join(have, "selection_id")
     against = F.exists("lits", lambda l: F.col("_have")[l["symbol"]].isNotNull() & (F.col("_have")[l["symbol"]] != l["value"]))
     left = F.filter("lits", lambda l: F.col("_have")[l["symbol"]].isNull())
     text = F.concat_ws(" && ", F.transform(left, lambda l: F.concat(l["symbol"], F.lit("="), l["value"])))
@@ -88,10 +88,10 @@ def subsumed_selections(rows: DataFrame) -> DataFrame:
     rows = cut(rows.select("file", "conj").distinct())
     terms = rows.select("file", "conj", F.explode("conj").alias("t"))
     often = terms.groupBy("file", "t").agg(F.count(F.lit(1)).alias("n"))
-    anchor = lookup(terms, often, ["file", "t"], spread=["conj"], how="inner").groupBy("file", "conj").agg(
+    anchor = lookup(terms, often, ["file", "t"], how="inner").groupBy("file", "conj").agg(
         F.min(F.struct("n", "t")).alias("a")
     ).select("file", F.col("conj").alias("small"), F.col("a.t").alias("t"))
-    met = lookup(terms, anchor, ["file", "t"], spread=["conj"], how="inner", salts=4)
+    met = lookup(terms, anchor, ["file", "t"], how="inner")
     inside = (F.size("small") < F.size("conj")) & (F.size(F.array_except("small", "conj")) == 0)
     beaten = met.filter(inside).select("file", "conj").distinct()
     empty = rows.filter(F.size("conj") == 0).select("file")
@@ -154,7 +154,7 @@ def file_rules(sel: DataFrame, files: DataFrame, base: DataFrame) -> DataFrame:
     ``base`` are the files compiled with nothing selected; they need no condition.
     """
     added = fileset_diff(files, base).filter(F.col("change") == "added").select("selection_id", "file")
-    rows = lookup(added, sel, ["selection_id"], spread=["file"], how="inner").select("file", "conj")
+    rows = lookup(added, sel, ["selection_id"], how="inner").select("file", "conj")
     kept = merge_selections(subsumed_selections(rows))
     one = kept.select("file", conjunction_text(F.col("conj")).alias("t"))
     all_text = one.groupBy("file").agg(F.array_sort(F.collect_set("t")).alias("ts"))
@@ -191,8 +191,8 @@ def file_state(asked: DataFrame, built: DataFrame) -> DataFrame:
 def built_files(builds: DataFrame, rules: DataFrame, assignment: DataFrame) -> DataFrame:
     """(file_id, config_id): files whose literals all hold under a configuration."""
     on = assignment.filter("val").select("config_id", F.col("var").alias("symbol"), F.lit(True).alias("_on"))
-    asked = lookup(rules, builds, ["file_id"], spread=["symbol"], how="inner")
-    valued = lookup(asked, on, ["config_id", "symbol"], spread=["file_id"])
+    asked = lookup(rules, builds, ["file_id"], how="inner")
+    valued = lookup(asked, on, ["config_id", "symbol"])
     return valued.groupBy("file_id", "config_id").agg(
         F.bool_and(F.col("_on").isNotNull() == F.col("positive")).alias("ok")
     ).filter("ok").select("file_id", "config_id")

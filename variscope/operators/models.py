@@ -55,7 +55,7 @@ def related_listing(related: DataFrame, model: DataFrame) -> DataFrame:
     One text per start; its length is bounded by the number of symbols of one model.
     """
     known = model.select("arch", "symbol", F.lit(True).alias("known"))
-    shown = lookup(related, known, ["arch", "symbol"], spread=["start"])
+    shown = lookup(related, known, ["arch", "symbol"])
     others = shown.filter(F.col("start") != F.col("symbol")).groupBy("arch", "start").agg(
         F.array_sort(F.collect_list(F.struct("symbol", F.col("known").isNull().alias("m")))).alias("s")
     )
@@ -86,7 +86,7 @@ def slice_symbols(starts: DataFrame, related: DataFrame) -> DataFrame:
     """Symbols reached from the symbols of each slice: ``starts`` has slice columns, arch, symbol."""
     ids = [c for c in starts.columns if c != "symbol"]
     hops = related.select("arch", F.col("start").alias("symbol"), F.col("symbol").alias("_to"))
-    return lookup(starts, hops, ["arch", "symbol"], spread=ids, how="inner").select(*ids, F.col("_to").alias("symbol")).distinct()
+    return lookup(starts, hops, ["arch", "symbol"], how="inner").select(*ids, F.col("_to").alias("symbol")).distinct()
 
 
 def model_slice(reached: DataFrame, model: DataFrame, forced: DataFrame, ids: list[str]) -> DataFrame:
@@ -97,12 +97,12 @@ def model_slice(reached: DataFrame, model: DataFrame, forced: DataFrame, ids: li
     """
     extra = reached.select(*ids).distinct().join(forced.select("arch", "symbol"), "arch")
     symbols = reached.select(*ids, "symbol").unionByName(extra.select(*ids, "symbol")).distinct()
-    found = lookup(symbols, model.select("arch", "symbol", "formula"), ["arch", "symbol"], spread=ids, how="inner")
+    found = lookup(symbols, model.select("arch", "symbol", "formula"), ["arch", "symbol"], how="inner")
     implied = found.filter(F.col("formula") != "").select(
         *ids, "symbol", F.lit("implication").alias("part"),
         F.concat(F.lit("("), "symbol", F.lit(" -> ("), "formula", F.lit("))")).alias("text"),
     )
-    units = lookup(found.select(*ids, "symbol"), forced, ["arch", "symbol"], spread=ids, how="inner").select(
+    units = lookup(found.select(*ids, "symbol"), forced, ["arch", "symbol"], how="inner").select(
         *ids, "symbol", F.when(F.col("on"), "on").otherwise("off").alias("part"),
         F.concat(F.when(F.col("on"), "").otherwise("!"), "symbol").alias("text"),
     )
@@ -120,7 +120,7 @@ def space_regex(archs: DataFrame, meta: DataFrame) -> DataFrame:
 def in_space(symbols: DataFrame, spaces: DataFrame) -> DataFrame:
     """Add ``in_space`` to rows with arch and symbol."""
     ids = [c for c in symbols.columns if c != "arch"]
-    return lookup(symbols, spaces, ["arch"], spread=ids).withColumn(
+    return lookup(symbols, spaces, ["arch"]).withColumn(
         "in_space", F.expr("symbol rlike concat('^(?:', space, ')$')")
     ).drop("space")
 
@@ -173,7 +173,7 @@ def symbol_types(symbols: DataFrame, types: DataFrame) -> DataFrame:
     asked = symbols.withColumn("_plain", F.regexp_replace("symbol", "_MODULE$", ""))
     known = types.select("arch", F.col("symbol").alias("_plain"), F.upper("type").alias("_t"))
     spread = [c for c in symbols.columns]
-    out = lookup(asked, known, ["arch", "_plain"], spread=spread)
+    out = lookup(asked, known, ["arch", "_plain"])
     kind = F.when(~F.col("symbol").rlike(shape), "#ERROR").otherwise(F.coalesce("_t", F.lit("MISSING")))
     return out.select(*spread, kind.alias("type"), kind.isin("BOOLEAN", "TRISTATE").alias("is_bool_tristate"))
 
@@ -222,7 +222,7 @@ def file_arch(files: DataFrame, archs: DataFrame) -> DataFrame:
     """Add ``specific_arch``: the model named by the path, where such a model is loaded."""
     known = archs.select("arch").distinct().select(F.lower("arch").alias("_dir"), F.col("arch").alias("specific_arch"))
     asked = files.withColumn("_dir", F.lower(L.arch_of(F.col("path"))))
-    return lookup(asked, known, ["_dir"], spread=["file_id"]).drop("_dir")
+    return lookup(asked, known, ["_dir"]).drop("_dir")
 
 
 def subarch(arch: Column, prefer_32bit: bool = False) -> Column:

@@ -21,17 +21,21 @@ def write_reports(rows: DataFrame, path: str) -> None:
     rows.write.partitionBy("kind", "suffix").mode("overwrite").parquet(path)
 
 
-def model_text(model: DataFrame, always_on: DataFrame) -> DataFrame:
-    """(arch, section, symbol, line): header, ALWAYS_ON lines, then one line per symbol."""
+def model_text(model: DataFrame, always_on: DataFrame, keyword: str) -> DataFrame:
+    """(arch, section, symbol, line): header, ALWAYS_ON lines, then one line per symbol.
+
+    ``keyword`` starts lines of meta data; readers take the same one.
+    """
+    # The header lines of the format.
     blank = F.lit("")
     count = model.groupBy("arch").agg(F.count(F.lit(1)).alias("n"))
     head = count.select("arch", F.posexplode(F.array(
         F.concat(F.lit("I: Items-Count: "), F.col("n").cast("string")), F.lit("I: Format: <variable> [presence condition]"),
-        F.lit("UNDERTAKER_SET SCHEMA_VERSION 1.1"),
+        F.lit(f"{keyword} SCHEMA_VERSION 1.1"),
     )).alias("section", "line")).select("arch", "section", blank.alias("symbol"), "line")
     on = always_on.groupBy("arch").agg(F.array_sort(F.collect_set("symbol")).alias("s")).select(
         "arch", F.lit(3).alias("section"), blank.alias("symbol"),
-        F.concat(F.lit('UNDERTAKER_SET ALWAYS_ON "'), F.concat_ws('" "', "s"), F.lit('"')).alias("line"))
+        F.concat(F.lit(f'{keyword} ALWAYS_ON "'), F.concat_ws('" "', "s"), F.lit('"')).alias("line"))
     body = model.select("arch", F.lit(4).alias("section"), "symbol",
                         F.when(F.col("formula") == "", F.col("symbol")).otherwise(F.concat("symbol", F.lit(' "'), "formula", F.lit('"'))).alias("line"))
     return head.unionByName(on).unionByName(body)

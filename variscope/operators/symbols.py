@@ -24,12 +24,12 @@ def symbol_stats(rewritten: DataFrame, file_models: DataFrame, types: DataFrame)
     ))
     place = F.struct("block_no", "symbol")
     first = seen.groupBy("file_id", "item").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("n_refs"))
-    later = lookup(seen, first.select("file_id", "item", "_first"), ["file_id", "item"], spread=["block_no", "symbol"], how="inner")
+    later = lookup(seen, first.select("file_id", "item", "_first"), ["file_id", "item"], how="inner")
     later = later.filter(place != F.col("_first")).groupBy("file_id", "item").agg(F.max("rewrites").alias("rewrites"))
     stats = first.select("file_id", "item", "n_refs").join(later, ["file_id", "item"], "left")
     stats = stats.join(file_models, "file_id", "left")
     known = types.select("arch", F.col("symbol").alias("item"), F.upper("type").alias("_type"))
-    stats = lookup(stats, known, ["arch", "item"], spread=["file_id"])
+    stats = lookup(stats, known, ["arch", "item"])
     present = F.col("_type").isNotNull()
     state = F.when(F.col("arch").isNull(), "NO_MODEL").when(present, "PRESENT").otherwise("MISSING")
     return stats.select(
@@ -60,7 +60,7 @@ def build_symbols_by_dir(lines: DataFrame, model: DataFrame) -> DataFrame:
     ).select("dir", F.concat(F.lit("CONFIG_"), "s").alias("symbol")).distinct()
     modules = model.select(F.col("symbol").alias("_m")).filter(F.col("_m").endswith("_MODULE")).distinct()
     modules = modules.select(F.regexp_replace("_m", "_MODULE$", "").alias("symbol"), "_m")
-    extra = lookup(named, modules, ["symbol"], spread=["dir"], how="inner").select("dir", F.col("_m").alias("symbol"))
+    extra = lookup(named, modules, ["symbol"], how="inner").select("dir", F.col("_m").alias("symbol"))
     return named.unionByName(extra).distinct()
 
 

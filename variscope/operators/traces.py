@@ -38,7 +38,7 @@ def module_offsets(addresses: DataFrame, modules: DataFrame, bits: int = 16) ->
     spans = spans.withColumn("_first", piece("base")).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), n))).select(
         "name", "base", "_end", (F.col("_first") + F.col("_k")).cast("decimal(20,0)").alias("_piece")
     )
-    hit = lookup(asked, spans, ["_piece"], spread=["addr"], how="inner").filter(F.col("addr").between(F.col("base"), F.col("_end")))
+    hit = lookup(asked, spans, ["_piece"], how="inner").filter(F.col("addr").between(F.col("base"), F.col("_end")))
     best = hit.groupBy("addr").agg(F.min(F.struct("base", "name")).alias("m"))
     return asked.select("addr").join(best, "addr", "left").select(
         "addr", F.col("m.name").alias("module"), (F.col("addr") - F.col("m.base")).alias("module_off")
@@ -143,6 +143,6 @@ def late_events(events: DataFrame, delay: str = "10 minutes", bucket: str = "1 m
     inside = Window.partitionBy("_seg").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
     tops = rows.groupBy("_seg").agg(F.max("ts").alias("_t")).withColumn("_all", F.lit(0))
     carry = tops.withColumn("_c", F.max("_t").over(Window.partitionBy("_all").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)))
-    seen = lookup(rows.withColumn("_m", F.max("ts").over(inside)), carry.select("_seg", "_c"), ["_seg"], spread=["event_id"])
+    seen = lookup(rows.withColumn("_m", F.max("ts").over(inside)), carry.select("_seg", "_c"), ["_seg"])
     mark = F.greatest("_m", "_c") - F.expr(f"interval {delay}")
     return seen.filter(F.col("ts") < mark).select("event_id", "ts")

@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-SALTS = 16
 
+def lookup(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join ``big`` with the per-key table ``small``.
 
-def lookup(
-    big: DataFrame,
-    small: DataFrame,
-    on: list[str],
-    spread: list[str],
-    how: str = "left",
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join ``big`` with a per-key table ``small``, spreading hot keys of ``big``.
-
-    Rows of ``big`` get a salt from a hash of the columns ``spread`` (stable when a
-    task is run again) and ``small`` is repeated once per salt. No size hint is
-    given: Spark broadcasts ``small`` by itself where its size allows.
+    ``big`` stands on the left, where adaptive execution cuts the partitions of a hot key into
+    tasks of their own and repeats only the matching part of ``small``. Nothing is
+    repeated for keys that are not hot, and Spark broadcasts ``small`` where its size allows.
     """
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return big.join(small, on, how)

@@ -28,9 +28,15 @@ def source_line(spark: SparkSession, sf: str) -> DataFrame:
         _p(F.col("l_partkey") % 40).alias("a"),
         _p(F.col("l_suppkey") % 40).alias("b"),
     )
-    cat = F.concat
+    cat, a, b = F.concat, F.concat(F.lit("defined("), "a", F.lit(")")), F.concat(F.lit("defined("), "b", F.lit(")"))
+    form = F.col("l_suppkey") % 6
+    header = (
+        F.when(form == 0, cat(F.lit("#if !"), a)).when(form == 1, cat(F.lit("#if "), a, F.lit(" || "), b)).when(form == 2, F.lit("#if 1"))
+        .when(form == 3, cat(F.lit("#if !("), a, F.lit(" || "), b, F.lit(")")))
+        .when(form == 4, cat(F.lit("#if ("), a, F.lit(" && "), b, F.lit(") || "), a)).otherwise(cat(F.lit("#ifdef "), "a"))
+    )
     lines = (
-        F.when(F.col("rf") == "N", F.array(cat(F.lit("#ifdef "), "a"), F.lit("code();"), F.lit("#endif")))
+        F.when(F.col("rf") == "N", F.array(header, F.lit("code();"), F.lit("#endif")))
         .when(
             F.col("rf") == "A",
             F.array(

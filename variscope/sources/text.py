@@ -30,7 +30,7 @@ def numbered_lines(spark: SparkSession, path, glob: str | None = None) -> DataFr
     # One row per split; a file's splits are few compared with its lines.
     splits = raw.groupBy("path", "_at").agg(F.min("_id").alias("_low"), F.count(F.lit(1)).alias("_n"))
     splits = scan(cut(splits), ["path"], "_at", [Run("_upto", "sum", F.col("_n"))], width=1 << 40)
-    placed = lookup(raw, splits, ["path", "_at"], spread=["_id"], how="inner")
+    placed = lookup(raw, splits, ["path", "_at"], how="inner")
     return placed.select(
         F.regexp_replace("path", "^file:/*", "/").alias("path"),
         (F.col("_upto") - F.col("_n") + F.col("_id") - F.col("_low") + 1).alias("line_no"), "txt",
@@ -59,12 +59,12 @@ def _text(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
     )
 
 
-# Fixed value: model files start lines of meta data with the word UNDERTAKER_SET.
+def read_model(spark: SparkSession, path, keyword: str) -> DataFrame:
+    """(arch, symbol, formula): ``SYMBOL "formula"`` lines, the first line of a symbol wins.
 
-
-def read_model(spark: SparkSession, path) -> DataFrame:
-    """(arch, symbol, formula): ``SYMBOL "formula"`` lines, the first line of a symbol wins."""
-    rows = _text(spark, path, "*.model").filter(~F.col("line").rlike(r"^(UNDERTAKER_SET|I:|\s*$|#)"))
+    ``keyword`` is the word with which the files start lines of meta data.
+    """
+    rows = _text(spark, path, "*.model").filter(~F.col("line").rlike(r"^(I:|\s*$|#)") & ~F.col("line").startswith(keyword))
     parsed = rows.select(
         F.col("stem").alias("arch"), F.regexp_extract("line", r"^(\S+)", 1).alias("symbol"),
         F.regexp_extract("line", r'^\S+\s+"(.*)"\s*$', 1).alias("formula"), "at", "id",
@@ -72,12 +72,12 @@ def read_model(spark: SparkSession, path) -> DataFrame:
     return parsed.groupBy("arch", "symbol").agg(F.min_by("formula", F.struct("at", "id")).alias("formula"))
 
 
-def read_model_meta(spark: SparkSession, path) -> DataFrame:
-    """(arch, key, value): every value of ``UNDERTAKER_SET key values...``, once per key."""
-    rows = _text(spark, path, "*.model").filter(F.col("line").startswith("UNDERTAKER_SET "))
+def read_model_meta(spark: SparkSession, path, keyword: str) -> DataFrame:
+    """(arch, key, value): every value of ``<keyword> key values...``, once per key."""
+    rows = _text(spark, path, "*.model").filter(F.col("line").startswith(f"{keyword} "))
     words = F.split(F.trim("line"), r"\s+")
     return rows.select(
-        F.col("stem").alias("arch"), F.get(words, F.lit(1)).alias("key"), F.explode(F.slice(words, 3, 1 << 20)).alias("value")
+        F.col("stem").alias("arch"), F.get(words, F.lit(1)).alias("key"), F.explode(F.slice(words, F.lit(3), F.size(words))).alias("value")
     ).select("arch", "key", F.regexp_replace("value", '^"|"$', "").alias("value")).distinct()
 
 
@@ -90,7 +90,7 @@ def relations(rows: DataFrame) -> DataFrame:
     fields = F.regexp_extract_all("line", F.lit(r'("(?:[^"]*)"|\S+)'), F.lit(1))
     bare = F.transform(fields, lambda f: F.regexp_replace(f, '^"|"$', ""))
     return rows.withColumn("f", bare).filter(F.get("f", F.lit(0)).isin(*RELATIONS)).select(
-        "arch", F.get("f", F.lit(0)).alias("relation"), F.get("f", F.lit(1)).alias("item"), F.slice("f", 3, 1 << 20).alias("args")
+        "arch", F.get("f", F.lit(0)).alias("relation"), F.get("f", F.lit(1)).alias("item"), F.slice("f", F.lit(3), F.size("f")).alias("args")
     )
 
 
@@ -121,7 +121,7 @@ def read_clauses(spark: SparkSession, path) -> dict[str, DataFrame]:
     sym = notes.filter(F.get("w", F.lit(1)) == "sym").select(
         "model", F.get("w", F.lit(2)).alias("name"), F.get("w", F.lit(3)).cast("int").alias("type_code"))
     meta = notes.filter(F.get("w", F.lit(1)) == "meta_value").select(
-        "model", F.get("w", F.lit(2)).alias("key"), F.explode(F.slice("w", 4, 1 << 20)).alias("value"))
+        "model", F.get("w", F.lit(2)).alias("key"), F.explode(F.slice("w", F.lit(4), F.size("w"))).alias("value"))
     numbers = lines.filter(~F.col("txt").rlike(r"^\s*([cp]\b|$)")).select(
         "model", "line_no", F.posexplode(words).alias("i", "n")
     ).select("model", "line_no", "i", F.col("n").cast("bigint").alias("n"))
@@ -215,13 +215,13 @@ def read_tool_messages(spark: SparkSession, path) -> DataFrame:
     return rows.select(F.regexp_extract("path", STEM, 1).alias("config_id"), F.col("line_no").alias("seq"), F.col("txt").alias("line"))
 
 
-def read_model_dir(spark: SparkSession, path) -> dict[str, DataFrame]:
+def read_model_dir(spark: SparkSession, path, keyword: str) -> dict[str, DataFrame]:
     """All models of a folder: architecture is the file stem, a ``.model`` beats a ``.cnf``."""
-    model = read_model(spark, path)
+    model = read_model(spark, path, keyword)
     clauses = read_clauses(spark, path)
     archs = model.select(F.col("arch").alias("model")).distinct()
     return {
-        "model": model, "meta": read_model_meta(spark, path),
+        "model": model, "meta": read_model_meta(spark, path, keyword),
         **{name: df.join(archs, "model", "left_anti") for name, df in clauses.items()},
     }
 
