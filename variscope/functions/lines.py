@@ -153,7 +153,8 @@ def plain_condition(expr: Column) -> Column:
     negated = F.regexp_extract_all(bare, F.lit(r"(!\([^()]*\))"), F.lit(1))
     moved = _loose_brackets(F.aggregate(negated, bare, lambda done, g: F.replace(done, g, _turned(g))))
     call = moved.rlike(r"[A-Za-z0-9_.]\(") | F.contains(moved, F.lit("!("))
-    one_sort = ~call & (~F.contains(moved, F.lit("&&")) | ~F.contains(moved, F.lit("||")))
+    paired = F.length(F.replace(moved, F.lit("("), F.lit(""))) == F.length(F.replace(moved, F.lit(")"), F.lit("")))
+    one_sort = paired & ~call & (~F.contains(moved, F.lit("&&")) | ~F.contains(moved, F.lit("||")))
     return F.when(one_sort, F.regexp_replace(moved, "[()]", "")).otherwise(moved)
 
 
