@@ -4,7 +4,7 @@ Every shingle flips one bit of a sketch, so the Hamming distance of two sketches
 symmetric difference of their sets. Sets whose likeness is at least ``least`` per cent differ in at most
 ``d`` shingles, and ``d`` follows from the sizes. For each band of sizes the sketch is laid out in more than
 ``d`` words of 64 bits: each difference spoils one word at most, so linked documents agree on a word. Documents that
-agree on one meet in a bucket; pairs whose 1024-bit sketches are near enough are verified
+agree on one meet in a bucket; pairs whose 4096-bit sketches are near enough are verified
 on their whole sets.
 
 No bucket is expanded into its pairs. Equal sets are one class. Buckets with the same members count
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from variscope.llm.common import carried, map_column
 from variscope.llm.components import components
@@ -30,8 +30,8 @@ from variscope.session import cut
 
 SHINGLE = 4
 LEAST = 85
-#: Words of 64 bits in the sketch that pairs are filtered with.
-SKETCH = 16
+#: Words of 64 bits in the sketch that pairs are filtered with, and in its folded form.
+SKETCH, FOLDED = 64, 16
 #: Entries of a task's memory of word hashes; it is emptied when full.
 MEMORY = 400_000
 
@@ -120,29 +120,38 @@ class Bands:
 def parity_sketch(shingles: np.ndarray) -> np.ndarray:
     sketch = np.zeros(SKETCH, dtype=np.uint64)
     h = _mix(shingles ^ np.uint64(0xA0761D6478BD642F))
-    np.bitwise_xor.at(sketch, (h >> np.uint64(58)).astype(np.int64) % SKETCH, np.uint64(1) << (h & np.uint64(63)))
+    np.bitwise_xor.at(sketch, (h >> np.uint64(58)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
     return sketch.view(np.int64)
 
 
-def signatures(docs: DataFrame, least: int, shingle: int) -> DataFrame:
-    """doc_id, n, digest of the set (two longs), bucket keys and sketch of each document."""
-    added = pa.schema([("n", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+def signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, n, digest of the set (two longs) and sketch of each document."""
+    added = pa.schema([("n", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
     def make():
-        words, bands = _Words(), Bands(least)
+        words = _Words()
 
         def work(texts):
             sets = [shingle_set(t, words, shingle) for t in texts]
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             high, low = (pa.array([int.from_bytes(d[i : i + 8], "big", signed=True) for d in digests], pa.int64()) for i in (0, 8))
-            return {"n": pa.array([len(s) for s in sets], pa.int64()), "high": high, "low": low,
-                    "keys": pa.array([bands.keys(s) for s in sets], pa.list_(pa.int64())), "sketch": pa.array([parity_sketch(s) for s in sets], pa.list_(pa.int64()))}
+            return {"n": pa.array([len(s) for s in sets], pa.int64()), "high": high, "low": low, "sketch": pa.array([parity_sketch(s) for s in sets], pa.list_(pa.int64()))}
 
         return work
 
     return map_column(docs, "text", make, added).drop("text")
 
 
+def bucket_keys(docs: DataFrame, least: int, shingle: int) -> DataFrame:
+    """(rep, key): a row for each bucket of each document."""
+
+    def make():
+        words, bands = _Words(), Bands(least)
+        return lambda texts: {"keys": pa.array([bands.keys(shingle_set(t, words, shingle)) for t in texts], pa.list_(pa.int64()))}
+
+    return map_column(docs, "text", make, pa.schema([("keys", pa.list_(pa.int64()))])).select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
+
+
 def _with_sets(docs: DataFrame, shingle: int) -> DataFrame:
     def make():
         words = _Words()
@@ -151,22 +160,28 @@ def _with_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return map_column(docs, "text", make, pa.schema([("shingles", pa.list_(pa.int64()))])).drop("text")
 
 
-def _could_link(least: int) -> Column:
+def _could_link(least: int, width: int) -> Column:
     """Sizes near enough, and sketches no farther apart than linked sets can be; ``x`` and ``y`` are the sides."""
     total = F.col("x.n") + F.col("y.n")
-    apart = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
+    apart = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, width)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
     near = F.lit(100) * F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n")
     return near & (apart * (100 + least) <= total * (100 - least))
 
 
+def _folded(facts: DataFrame) -> DataFrame:
+    """Sketches of a quarter of the width: parities of parities are parities."""
+    fold = [F.col(f"s{i}").bitwiseXOR(F.col(f"s{i + FOLDED}")).bitwiseXOR(F.col(f"s{i + 2 * FOLDED}")).bitwiseXOR(F.col(f"s{i + 3 * FOLDED}")).alias(f"s{i}") for i in range(FOLDED)]
+    return facts.select("rep", "n", *fold)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, least: int, shingle: int) -> DataFrame:
     """Pairs (a, b) whose whole sets are linked."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut(_with_sets(docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), shingle).dropDuplicates(["doc_id"]))
+    sets = cut(_with_sets(docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), shingle))
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - shared
-    return pairs.join(left, "a").join(right, "b").where(shared * 100 >= union * least).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(shared * 100 >= union * least).select("a", "b").distinct()
 
 
 def linked_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, shingle: int = SHINGLE) -> DataFrame:
@@ -178,38 +193,40 @@ def linked_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     tell documents apart.
     """
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    signed = cut(signatures(plain, least, shingle))
-    classes = cut(
-        signed.where("n > 0 and doc_id is not null").groupBy("high", "low")
-        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
-    keyed = classes.select("rep", F.explode("keys").alias("key"))
-    facts = classes.select("rep", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
-    buckets = cut(
-        keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("a"), F.max("rep").alias("b"), F.bit_xor(F.xxhash64("rep")).alias("x"))
-        .where("a < b").groupBy("m", "a", "b", "x").agg(F.min("key").alias("key")))
-    twos = buckets.where("m = 2").select("a", "b")
-    larger = buckets.where("m > 2").select("key", "a")
-    members = cut(keyed.join(larger, "key").select("key", "a", "rep"))
+    signed = cut(signatures(plain, shingle))
+    classes = cut(signed.where("n > 0 and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("rep")))
+    others = signed.join(classes, ["high", "low"]).where("doc_id <> rep").select("doc_id").distinct()
+
+    # Buckets of two documents and more, by one shuffle of (bucket, document).
+    keyed = bucket_keys(plain.where("doc_id is not null").join(others, "doc_id", "left_anti"), least, shingle)
+    bucket = Window.partitionBy("key")
+    met = cut(keyed.withColumns({"low": F.min("rep").over(bucket), "high": F.max("rep").over(bucket)}).where("low < high").select("key", "rep").distinct())
+    buckets = (
+        met.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("a"), F.max("rep").alias("b"), F.bit_xor(F.xxhash64("rep")).alias("x"))
+        .groupBy("m", "a", "b", "x").agg(F.min("key").alias("key")))
+    members = cut(met.join(buckets.select("key", "a"), "key").select("key", "a", "rep"))
+    reps = members.select("rep").distinct()
+    facts = cut(signed.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(
+        F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("rep", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]))
 
     def near(pairs: DataFrame) -> DataFrame:
         x, y = (facts.select(F.col("rep").alias(f"{c}_"), F.struct(*facts.columns[1:]).alias(s)) for c, s in (("a", "x"), ("b", "y")))
         joined = pairs.join(x, F.col("a") == F.col("a_")).join(y, F.col("b") == F.col("b_"))
-        return joined.where(_could_link(least)).select("a", "b")
+        return joined.where(_could_link(least, SKETCH)).select("a", "b")
 
-    stars = members.where("a < rep").select("a", F.col("rep").alias("b"))
-    first = cut(near(twos.unionByName(stars).distinct()))
+    first = cut(near(members.where("a < rep").select("a", F.col("rep").alias("b")).distinct()))
     links = cut(_verified(first, plain, least, shingle))
     joined = components(links)
 
     placed = members.join(joined, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    apart = cut(placed.join(split, "key", "left_semi").join(facts, "rep"))
+    split = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high and m > 2").select("key")
+    apart = placed.join(split, "key", "left_semi").join(_folded(facts), "rep")
     x, y = apart.alias("x"), apart.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _could_link(least))
-    second = cut(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _could_link(least, FOLDED))
+    second = cut(near(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")))
     joined = components(links.unionByName(_verified(second, plain, least, shingle)))
 
-    per_class = classes.select("high", "low", "rep").join(joined, F.col("rep") == F.col("id"), "left").select(
+    per_class = classes.join(joined, F.col("rep") == F.col("id"), "left").select(
         F.col("high").alias("h"), F.col("low").alias("l"), F.coalesce("component", "rep").alias("component"))
     found = signed.select("doc_id", "n", "high", "low").join(per_class, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")), "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
