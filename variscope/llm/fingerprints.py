@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from variscope.session import cut
+
 #: Hashes kept; the standard error of a resemblance r is about sqrt(r (1 - r) / K).
 K = 128
 SHINGLE = 5
@@ -91,26 +93,24 @@ def with_next(docs: DataFrame, rows: int = 512) -> DataFrame:
     """doc_id, text, fingerprint of each document, and next_text, next_fingerprint of the next by descending doc_id.
 
     After the last comes the first; null ids come last and rows of equal ids in the order of a digest.
-    Documents are dealt into ranges of ids: within one, the next document is a window away, and
-    the first document of each range, one row, goes to the range before it.
+    Documents are dealt into ranges of ids, in one shuffle of the texts; within a range the
+    next document is a window away.
     """
-    base = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    dealt = base.withColumn("slot", _slots(docs, rows)).repartition("slot")
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc()]
-    own = Window.partitionBy("slot").orderBy(*order)
-    here = with_fingerprint(dealt).select(
-        "*", F.lead("text").over(own).alias("_text"), F.lead("fingerprint").over(own).alias("_print"))
-    heads = dealt.groupBy("slot").agg(F.max_by("text", F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))), F.xxhash64("text"))).alias("head"))
-    heads = with_fingerprint(heads, "head", "head_print")
-    # Numbers of ranges only: a row for each.
-    slots = dealt.select("slot").distinct()
-    every = Window.partitionBy(F.lit(0))
-    following = slots.select(
-        F.col("slot").alias("before"),
-        F.coalesce(F.lag("slot").over(Window.orderBy("slot")), F.max("slot").over(every)).alias("slot"))
-    ends = heads.join(following, "slot").select(F.col("before").alias("slot"), "head", "head_print")
-    return here.join(ends, "slot", "left").select(
-        "doc_id", "text", "fingerprint", F.coalesce("_text", "head").alias("next_text"), F.coalesce("_print", "head_print").alias("next_fingerprint"))
+    digest = F.xxhash64("text")
+    base = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("slot", _slots(docs, rows))
+    # A row of three numbers for each range: its first document, by id and digest.
+    heads = base.groupBy("slot").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), digest.alias("digest"))).alias("first"))
+    order = Window.orderBy("slot")
+    before = F.coalesce(F.lead("slot").over(order), F.min("slot").over(Window.partitionBy(F.lit(0))))
+    heads = cut(heads.select("slot", before.alias("before"), "first.*"))
+    # The first document of each range also stands at the end of the range before, as a copy.
+    found = base.join(heads.select(F.col("slot").alias("_slot"), "before", "id", "digest"), (F.col("slot") == F.col("_slot")) & (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("id")) & (digest == F.col("digest")))
+    copies = found.groupBy("before").agg(F.first("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("before").alias("slot"), F.lit(True).alias("copy"))
+    dealt = base.withColumn("copy", F.lit(False)).unionByName(copies).repartition("slot")
+    own = Window.partitionBy("slot").orderBy("copy", F.col("doc_id").desc_nulls_last(), digest.desc())
+    here = with_fingerprint(dealt)
+    return here.select("doc_id", "text", "fingerprint", "copy", F.lead("text").over(own).alias("next_text"), F.lead("fingerprint").over(own).alias("next_fingerprint")).where(
+        ~F.col("copy")).drop("copy")
 
 
 def edited(text: Column, next_text: Column) -> Column:
