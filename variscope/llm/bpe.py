@@ -24,7 +24,9 @@ import re
 from array import array
 from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
@@ -34,8 +36,10 @@ from variscope.llm.common import map_column
 MEMORY = 300_000
 #: White space between chunks that are encoded apart (ASCII; part of no token).
 GAP = re.compile("[\t-\r ]+")
-#: The file's own pattern for lower-case printable ASCII, where byte-level symbols are the characters (fixed value).
-PLAIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Texts of ASCII and the Latin letters from U+00C0 to U+00FF: composed, and lower-cased letter by letter.
+LATIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
+#: The file's own pattern for such a text in lower case (fixed value).
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n\r a-z0-9ß-öø-ÿ]+")
 
 
 class _States(dict):
@@ -183,6 +187,40 @@ class TokenAutomaton:
         return out
 
 
+class Memory(dict):
+    """Packed ids by text, kept in two generations: what was not asked for again goes first."""
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, text: str) -> bytes:
+        if len(self) >= MEMORY:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(text)
+        if ids is None:
+            ids = array("i", self.encode(text)).tobytes()
+        self[text] = ids
+        return ids
+
+
+class Packer:
+    """Packed ids of whole texts, by words where a text is Latin and by chunks elsewhere.
+
+    ``word`` encodes a lower-case pre-split word, ``chunk`` a text without ASCII white space, across which
+    no normalization and no word reaches.
+    """
+
+    def __init__(self, word, chunk, special: list[str]) -> None:
+        self.words, self.chunks, self.special = Memory(word), Memory(chunk), special
+
+    def __call__(self, text: str) -> bytes:
+        if LATIN.fullmatch(text) and not any(s in text for s in self.special):
+            return b"".join(map(self.words.__getitem__, WORDS.findall(text.lower())))
+        return b"".join(map(self.chunks.__getitem__, filter(None, GAP.split(text))))
+
+
 class Encoder:
     """The automaton of a tokenizer file with that file's normalizer, pre-tokenizer and special tokens."""
 
@@ -197,7 +235,13 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         self.normalize, self.presplit = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
         self.labels = self.automaton.labels | {i: t for t, i in self.special.items()}
-        self.words: dict[str, list[int]] = {}
+        self.pack = Packer(self.word, self.chunk, list(self.special))
+
+    def word(self, word: str) -> list[int]:
+        """Tokens of a lower-case word; its symbols are its characters in ASCII, else its bytes'."""
+        if word.isascii():
+            return self.automaton.encode(word)
+        return [i for w, _ in self.presplit(word) for i in self.automaton.encode(w)]
 
     def chunk(self, chunk: str) -> list[int]:
         """Tokens of a text without ASCII white space."""
@@ -206,40 +250,10 @@ class Encoder:
             if piece in self.special:
                 out.append(self.special[piece])
             elif piece:
-                if piece.isascii() and piece.isprintable():  # the same words, found without the library's bookkeeping
-                    words = PLAIN.findall(piece.lower())
-                else:
-                    words = [w for w, _ in self.presplit(self.normalize(piece))]
-                for word in words:
-                    ids = self.words.get(word)
-                    if ids is None:
-                        if len(self.words) >= MEMORY:
-                            self.words.clear()
-                        ids = self.words[word] = self.automaton.encode(word)
-                    out.extend(ids)
+                for word, _ in self.presplit(self.normalize(piece)):
+                    out.extend(self.automaton.encode(word))
         return out
 
-    def encode(self, text: str) -> list[int]:
-        return [i for chunk in GAP.split(text) if chunk for i in self.chunk(chunk)]
-
-
-class Chunks(dict):
-    """Packed ids of each chunk, kept in two generations: what was not asked for again goes first."""
-
-    def __init__(self, encode) -> None:
-        super().__init__()
-        self.encode, self.older = encode, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.older = dict(self)
-            self.clear()
-        ids = self.older.get(chunk)
-        if ids is None:
-            ids = array("i", self.encode(chunk)).tobytes()
-        self[chunk] = ids
-        return ids
-
 
 _encoders: dict[str, Encoder] = {}
 
@@ -258,15 +272,12 @@ def encode_bpe(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -
     """
 
     def make():
-        chunks = Chunks(encoder_of(path).chunk)
+        pack = encoder_of(path).pack
 
         def work(texts):
-            offsets, packed = [0], []
-            for t in texts:
-                doc = b"".join(map(chunks.__getitem__, filter(None, GAP.split(t or ""))))
-                packed.append(doc)
-                offsets.append(offsets[-1] + len(doc) // 4)
-            values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(packed))])
+            packed = [pack(t or "") for t in texts]
+            offsets = np.cumsum([0, *map(len, packed)]) // 4
+            values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(packed))])
             return {ids: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)}
 
         return work
@@ -278,11 +289,14 @@ def decode_bpe(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decod
     """``df`` with the labels of the arcs in ``ids``, joined by one space; null ids give an empty text."""
 
     def make():
-        labels = encoder_of(path).labels
+        by_id = encoder_of(path).labels
+        labels = pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.string())
 
-        def work(rows):
-            return {decoded: pa.array([" ".join(map(labels.__getitem__, r or ())) for r in rows], pa.string())}
+        def work(rows: pa.ListArray):
+            whole = pc.fill_null(rows, [])
+            emitted = pa.ListArray.from_arrays(pc.subtract(whole.offsets, whole.offsets[0]), labels.take(whole.flatten()))
+            return {decoded: pc.binary_join(emitted, " ")}
 
         return work
 
-    return map_column(df, ids, make, pa.schema([(decoded, pa.string())]))
+    return map_column(df, ids, make, pa.schema([(decoded, pa.string())]), as_arrow=True)

@@ -53,11 +53,11 @@ def carried(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(n) for n, c in columns.items()])
 
 
-def map_column(df: DataFrame, column: str, make: Callable[[], Callable[[list], dict[str, pa.Array]]], added: pa.Schema, rows: int = 64) -> DataFrame:
+def map_column(df: DataFrame, column: str, make: Callable[[], Callable[[list], dict[str, pa.Array]]], added: pa.Schema, rows: int = 64, as_arrow: bool = False) -> DataFrame:
     """Add columns computed from one column, Arrow batch by Arrow batch.
 
     ``make`` runs once in each task and returns a function from a list of values to the new
-    columns. Batches are worked off ``rows`` at a time, so memory stays bounded when texts are long.
+    columns (``as_arrow``: from an Arrow array). Batches are worked off ``rows`` at a time, so memory stays bounded when texts are long.
     """
     schema = StructType([*df.schema.fields, *from_arrow_schema(added).fields])
 
@@ -67,7 +67,7 @@ def map_column(df: DataFrame, column: str, make: Callable[[], Callable[[list], d
             at = batch.schema.get_field_index(column)
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
-                new = work(part.column(at).to_pylist())
+                new = work(part.column(at) if as_arrow else part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, *[new[f.name].cast(f.type) for f in added]], [*part.schema.names, *added.names])
 
     return df.mapInArrow(run, schema)

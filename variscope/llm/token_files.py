@@ -1,7 +1,7 @@
 """Token ids in Arrow IPC files of equal-length sequences.
 
-Each file is an Arrow IPC file whose record batches have two fixed-size-list columns, ``ids``
-(uint32) and ``mask`` (uint8: 1 where an id is real). Documents follow one another without
+Each file is an Arrow IPC file whose record batches have two fixed-size-list columns, ``ids`` (uint16
+where the vocabulary fits, else uint32) and ``mask`` (boolean, a bit each: set where an id is real). Documents follow one another without
 gaps and are cut into sequences of ``length`` ids; only a file's last sequence is
 padded. Lists of a fixed size need no offsets, so sequence ``i`` is a slice of the mapped
 file and is read without copying. An index file beside each file gives the documents:
@@ -26,78 +26,67 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from variscope.llm.bpe import GAP, PLAIN, Chunks
+from variscope.llm.bpe import Packer
 from variscope.session import cut, scratch_dir
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def sequences(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def sequences(length: int, kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+
+
+def id_type(path: str) -> pa.DataType:
+    """The narrowest type that holds all ids of a tokenizer file."""
+    return pa.uint16() if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else pa.uint32()
 
 
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
-def library_chunks(path: str) -> Chunks:
-    """Memory of chunks encoded by the tokenizers library.
-
-    A chunk has no ASCII white space, across which neither the file's normalizer nor its
-    pattern reaches. Words of printable ASCII go to the library's merges directly.
-    """
+def library_packer(path: str) -> Packer:
+    """Packed ids by the tokenizers library; words of ASCII go to its merges directly."""
     tokenizer = Tokenizer.from_file(path)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     merges = tokenizer.model.tokenize
-    words: dict[str, list[int]] = {}
-
-    def encode(chunk: str) -> list[int]:
-        if not (chunk.isascii() and chunk.isprintable()) or any(s in chunk for s in special):
-            return tokenizer.encode(chunk, add_special_tokens=False).ids
-        out: list[int] = []
-        for word in PLAIN.findall(chunk.lower()):
-            ids = words.get(word)
-            if ids is None:
-                if len(words) >= 200_000:
-                    words.clear()
-                ids = words[word] = [t.id for t in merges(word)]
-            out += ids
-        return out
-
-    return Chunks(encode)
+    whole = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    return Packer(lambda word: [t.id for t in merges(word)] if word.isascii() else whole(word), whole, special)
 
 
 class _File:
     """Writer of one file and its index."""
 
-    def __init__(self, folder: str, number: int, length: int, batch: int) -> None:
+    def __init__(self, folder: str, number: int, length: int, batch: int, kind: pa.DataType) -> None:
         self.fs, self.root = _store(folder)
+        self.kind, self.schema, self.size = kind, sequences(length, kind), kind.bit_width // 8
         self.length, self.batch, self.name = length, batch, f"{self.root}/part-{number:06d}"
         self.draft = f"{self.name}.{uuid.uuid4().hex}.draft"
         self.out = self.fs.open_output_stream(f"{self.draft}.arrow")
-        self.writer = pa.ipc.new_file(self.out, sequences(length))
+        self.writer = pa.ipc.new_file(self.out, self.schema)
         self.index: list[tuple[int | None, int, int]] = []
         self.rest, self.written = bytearray(), 0
 
     def _put(self, data: bytes, real: int) -> None:
-        n = len(data) // 4
-        ids = pa.FixedSizeListArray.from_arrays(pa.Array.from_buffers(pa.uint32(), n, [None, pa.py_buffer(data)]), self.length)
-        mask = pa.FixedSizeListArray.from_arrays(pa.array((np.arange(n) < real).astype(np.uint8)), self.length)
-        self.writer.write_batch(pa.RecordBatch.from_arrays([ids, mask], schema=sequences(self.length)))
-
-    def add(self, doc_id: int | None, data: bytes) -> None:
-        self.index.append((doc_id, self.written, len(data) // 4))
-        self.written += len(data) // 4
-        self.rest += data
-        whole = len(self.rest) // (4 * self.length * self.batch) * 4 * self.length * self.batch
+        n = len(data) // self.size
+        ids = pa.FixedSizeListArray.from_arrays(pa.Array.from_buffers(self.kind, n, [None, pa.py_buffer(data)]), self.length)
+        mask = pa.FixedSizeListArray.from_arrays(pa.array(np.arange(n) < real), self.length)
+        self.writer.write_batch(pa.RecordBatch.from_arrays([ids, mask], schema=self.schema))
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.index.append((doc_id, self.written, len(ids)))
+        self.written += len(ids)
+        self.rest += ids.astype(self.kind.to_pandas_dtype()).tobytes()
+        step = self.size * self.length * self.batch
+        whole = len(self.rest) // step * step
         if whole:
-            self._put(bytes(self.rest[:whole]), whole // 4)
+            self._put(bytes(self.rest[:whole]), whole // self.size)
             del self.rest[:whole]
 
     def close(self) -> None:
-        real = len(self.rest) // 4
+        real = len(self.rest) // self.size
         if real:
-            self._put(bytes(self.rest) + bytes(-len(self.rest) % (4 * self.length)), real)
+            self._put(bytes(self.rest) + bytes(-len(self.rest) % (self.size * self.length)), real)
         self.writer.close()
         self.out.close()
         with self.fs.open_output_stream(f"{self.draft}.index") as out, pa.ipc.new_file(out, INDEX) as writer:
@@ -121,13 +110,12 @@ def write_token_files(docs: DataFrame, folder: str, path: str, *, doc_id: str =
     ordered = rows.repartitionByRange("doc_id", "_digest").sortWithinPartitions("doc_id", "_digest").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, file, tail = library_chunks(path), None, array("i", [end]).tobytes()
+        pack, file, tail, kind = library_packer(path), None, array("i", [end]).tobytes(), id_type(path)
         number = TaskContext.get().partitionId()
         for b in batches:
             for i in range(b.num_rows):
-                file = file or _File(folder, number, length, batch)
-                data = b"".join(map(chunks.__getitem__, filter(None, GAP.split(b.column(1)[i].as_py()))))
-                file.add(b.column(0)[i].as_py(), data + tail)
+                file = file or _File(folder, number, length, batch, kind)
+                file.add(b.column(0)[i].as_py(), np.frombuffer(pack(b.column(1)[i].as_py()) + tail, np.int32))
         if file:
             file.close()
             yield pa.RecordBatch.from_pydict({"file": [number], "n_docs": [len(file.index)], "n_tokens": [file.written]}, pa.schema([("file", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
@@ -151,14 +139,15 @@ def open_token_file(folder: str, number: int) -> tuple[pa.ipc.RecordBatchFileRea
 
 
 def sequence(reader: pa.ipc.RecordBatchFileReader, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of one sequence: views of the file, found without reading others.
+    """Ids and mask of one sequence, found without reading others; the ids are a view of the file.
 
     All batches but the last have as many rows as the first.
     """
     size = reader.get_batch(0).num_rows
     b, row = reader.get_batch(number // size), number % size
     length = b.schema.field(0).type.list_size
-    return tuple(b.column(c).flatten().slice(0).to_numpy(zero_copy_only=True)[row * length : (row + 1) * length] for c in (0, 1))
+    ids, mask = (b.column(c).flatten().slice(row * length, length) for c in (0, 1))
+    return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
@@ -177,8 +166,8 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                     while n:
                         if not have:
                             part = reader.get_batch(batch)
-                            ids, mask = (part.column(c).flatten().to_numpy(zero_copy_only=True) for c in (0, 1))
-                            have, batch = memoryview(ids[mask == 1]).cast("B"), batch + 1
+                            ids = part.column(0).flatten().to_numpy(zero_copy_only=True)[: part.column(1).flatten().true_count]
+                            have, batch = memoryview(ids.astype("<u4")).cast("B"), batch + 1
                         take = min(n * 4, len(have))
                         crc, have, n, at = zlib.crc32(have[:take], crc), have[take:], n - take // 4, at + take // 4
                     sums.append(crc)
