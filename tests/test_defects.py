@@ -141,21 +141,33 @@ def test_model_defects(spark, texts):
     assert undead == {(i, b) for i, (_, u) in enumerate(want) for b in u}
 
 
-@pytest.mark.parametrize("batched", [2048, 8])
-def test_large_slices_take_the_relational_way(spark, monkeypatch, batched):
-    """A chain of implications, decided in a batch and by relational rounds."""
-    monkeypatch.setattr(E, "BATCHED", batched)
+CLAUSES = "sid string, lits array<struct<var:string,positive:boolean>>"
+
+
+def test_long_chain_of_implications(spark):
     n = 70
     clause = lambda *ls: [(v, p) for v, p in ls]
     rows = [("yes", clause((f"V{i}", False), (f"V{i + 1}", True))) for i in range(n)] + [("yes", clause(("V0", True)))]
     rows += [("no", c) for _, c in rows] + [("no", clause((f"V{n}", False)))]
-    df = spark.createDataFrame(rows, "sid string, lits array<struct<var:string,positive:boolean>>")
-    # Closing a chain link by link takes a round each, so start it from both ends.
-    got = {r.sid: r.verdict for r in E.satisfiable_slices(df.unionByName(spark.createDataFrame(
-        [(s, clause((f"V{i}", True))) for s in ("yes", "no") for i in range(n)], df.schema))).collect()}
+    got = {r.sid: r.verdict for r in E.satisfiable_slices(spark.createDataFrame(rows, CLAUSES)).collect()}
     assert got == {"yes": "yes", "no": "no"}
 
 
+def test_verdicts_equal_brute_force(spark):
+    """Small random slices by trying all values, and two with 30 open symbols."""
+    rng, rows, want = random.Random(9), [], {}
+    for i in range(60):
+        n = rng.randint(2, 7)
+        clauses = [[(f"V{rng.randrange(n)}", rng.random() < 0.5) for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(1, 4 * n))]
+        rows += [(f"r{i}", c) for c in clauses]
+        want[f"r{i}"] = any(all(any(bool(m >> int(v[1:]) & 1) == p for v, p in c) for c in clauses) for m in range(1 << n))
+    ring = [[(f"V{i}", True), (f"V{(i + 1) % 30}", True)] for i in range(30)] + [[(f"V{i}", False), (f"V{(i + 1) % 30}", False)] for i in range(30)]
+    rows += [("even", c) for c in ring] + [("odd", c) for c in [*ring, [("V0", True), ("V2", False)], [("V0", False), ("V2", True)], [("V1", True), ("V4", True)], [("V1", False), ("V4", False)], [("V0", True), ("V4", False)], [("V1", True), ("V4", False)], [("V1", False), ("V4", True)]]]
+    want |= {"even": True, "odd": False}
+    got = {r.sid: r.verdict == "yes" for r in E.satisfiable_slices(spark.createDataFrame(rows, CLAUSES)).collect()}
+    assert got == want
+
+
 def test_scope(spark):
     rows = [
         (1, "x", "kconfig", True), (1, "a", "kconfig", False), (1, "b", "kconfig", False),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from variscope.functions import lines as L
 from variscope.operators import blocks as B, configs as C, coverage as V, messages as X, models as M, traces as R
-from variscope.session import shared
+from variscope.session import shared, version
 from variscope.sources import projections as P
 
 QUERIES: dict[str, Callable[["Tables"], DataFrame]] = {}
@@ -33,8 +33,15 @@ class Tables:
             raise AttributeError(name)
         return make(self.spark, self.sf)
 
+    @cached_property
+    def version(self) -> str:
+        return version(self.spark, self.sf)
+
     def _keep(self, name: str, build) -> DataFrame:
-        return shared(self.spark, f"{self.sf}:{name}", build)
+        return shared(self.spark, self.key(name), build)
+
+    def key(self, name: str) -> str:
+        return f"{self.sf}:{self.version}:{name}"
 
     @cached_property
     def lines(self) -> DataFrame:

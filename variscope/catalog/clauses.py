@@ -326,7 +326,7 @@ def _(t):
 
 @query("defect_scope")
 def _(t):
-    told = defects(t).filter((F.col("kind") != "unknown") & (F.col("block_no") >= 0))
+    told = defects(t).filter(F.col("block_no") >= 0)
     nk = D.no_kconfig_blocks(told, t.rewritten, t.file_models, t.spaces)
     specific = M.file_arch(t.source_file, t.archs).filter(F.col("specific_arch").isNotNull()).select("file_id")
     wide = told.filter(F.col("kind").isin("kconfig", "missing")).join(specific, "file_id", "left_anti").select(*D.IDS)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from variscope.catalog.base import query, view
 from variscope.operators import clauses as E, relations as T, sinks as K, symbols as Y, traces as R
+from variscope.session import shared_table
 from variscope.sources import projections as P
 from variscope.streaming import traces as ST
 
@@ -114,23 +115,36 @@ def _(t):
     return K.model_text(t.model, t.forced.filter("on"), "META")
 
 
-def clause_tables(t, arch):
-    """Variables and literals of one architecture's clauses, numbered by symbol."""
+def clause_tables(t):
+    """Variables and literals of every architecture's clauses, numbered by symbol."""
     number = F.regexp_extract("symbol", r"(\d+)$", 1).cast("bigint")
-    var = t.model_symbol.filter(F.col("arch") == arch).select(F.col("symbol").alias("name"), (number + 1).alias("id"))
-    lit = t.model_literal.filter(F.col("arch") == arch)
-    head = lit.select("symbol", "clause_no", F.col("symbol").alias("name"), F.lit(False).alias("positive"))
-    both = lit.select("symbol", "clause_no", F.col("lit_symbol").alias("name"), "positive").unionByName(head).distinct()
-    return var, both.join(var, "name").select((number * 2 + F.col("clause_no") - 1).alias("clause_id"), F.col("id").alias("var"), "positive")
+    var = t.model_symbol.select(F.col("arch").alias("model"), F.col("symbol").alias("name"), (number + 1).alias("id"))
+    lit = t.model_literal.withColumnRenamed("arch", "model")
+    head = lit.select("model", "symbol", "clause_no", F.col("symbol").alias("name"), F.lit(False).alias("positive"))
+    both = lit.select("model", "symbol", "clause_no", F.col("lit_symbol").alias("name"), "positive").unionByName(head).distinct()
+    return var, both.join(var, ["model", "name"]).select("model", (number * 2 + F.col("clause_no") - 1).alias("clause_id"), F.col("id").alias("var"), "positive")
 
 
-@query("clause_text")
+def of_arch(tables, arch):
+    return [df.filter(F.col("model") == arch).drop("model") for df in tables]
+
+
+@query("clause_text", r"""
+with va as (select arch, symbol as name, cast(regexp_extract(symbol, '(\d+)$', 1) as bigint) + 1 id, type from v_model_symbol),
+l as (select arch, symbol, clause_no, lit_symbol as name, positive from v_model_literal union select arch, symbol, clause_no, symbol, false from v_model_literal),
+n as (select l.arch, cast(regexp_extract(l.symbol, '(\d+)$', 1) as bigint) * 2 + l.clause_no - 1 cid, case when positive then v.id else -v.id end num
+  from l join va v on v.arch = l.arch and v.name = l.name)
+select arch as model, 0 section, 'c meta_value ' || key || ' ' || value line from v_model_meta
+union all select arch, 1, 'c sym ' || name || ' ' || case when type = 'tristate' then 2 else 1 end from va
+union all select arch, 2, 'c var ' || name || ' ' || id from va
+union all select v.arch, 3, 'p cnf ' || v.m || ' ' || coalesce(c.c, 0) from (select arch, max(id) m from va group by arch) v
+  left join (select arch, count(distinct cid) c from n group by arch) c using (arch)
+union all select arch, 4, string_agg(num::varchar, ' ' order by num) || ' 0' from n group by arch, cid""")
 def _(t):
-    var, lit = clause_tables(t, "ASIA")
-    tag = lambda df: df.withColumn("model", F.lit("ASIA"))
-    sym = t.model_symbol.filter("arch = 'ASIA'").select(F.col("symbol").alias("name"), F.when(F.col("type") == "tristate", 2).otherwise(1).alias("type_code"))
-    meta = t.model_meta.filter("arch = 'ASIA'").select("key", "value")
-    return K.clause_text(tag(var), tag(sym), tag(meta), tag(lit)).drop("pos")
+    var, lit = clause_tables(t)
+    sym = t.model_symbol.select(F.col("arch").alias("model"), F.col("symbol").alias("name"), F.when(F.col("type") == "tristate", 2).otherwise(1).alias("type_code"))
+    meta = t.model_meta.select(F.col("arch").alias("model"), "key", "value")
+    return K.clause_text(var, sym, meta, lit).drop("pos")
 
 
 @query("merge_clause_models", """
@@ -139,8 +153,8 @@ va as (select symbol as name, i + 1 id from v where arch = 'ASIA'),
 vb as (select case when type = 'tristate' then symbol || '_MODULE' else symbol end as name, i + 1 id from v where arch = 'EUROPE')
 select name, id from va union all select name, (select max(id) from va) + row_number() over (order by id) from vb where name not in (select name from va)""")
 def _(t):
-    va, la = clause_tables(t, "ASIA")
-    vb, lb = clause_tables(t, "EUROPE")
+    tables = clause_tables(t)
+    (va, la), (vb, lb) = of_arch(tables, "ASIA"), of_arch(tables, "EUROPE")
     tri = t.model_symbol.filter("arch = 'EUROPE' and type = 'tristate'").select(F.col("symbol").alias("name"), F.lit("_MODULE").alias("_s"))
     vb = vb.join(tri, "name", "left").select(F.concat("name", F.coalesce("_s", F.lit(""))).alias("name"), "id")
     return E.merge_clause_models(va, la, vb, lb)[0]
@@ -154,11 +168,8 @@ def _(t):
 
 def stream_of(t):
     """The events file as a stream of trace events."""
-    folder = t._keep("trace_files", lambda: t.trace_event.repartitionByRange(4, "event_id"))
-    from variscope.session import _shared
-
-    path = _shared[(t.spark.sparkContext.applicationId, f"{t.sf}:trace_files")][0]
-    return ST.event_stream(t.spark, path, folder.schema)
+    path, schema = shared_table(t.spark, t.key("trace_files"), lambda: t.trace_event.repartitionByRange(4, "event_id"))
+    return ST.event_stream(t.spark, path, schema)
 
 
 @query("trace_growth_stream")

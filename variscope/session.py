@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _local_scratch: dict[str, str] = {}
 _shared: dict[tuple[str, str], tuple[str, object]] = {}
@@ -60,13 +62,29 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shared(spark: SparkSession, key: str, build) -> DataFrame:
-    """Materialise ``build()`` once per application and reuse the written table."""
+def version(spark: SparkSession, folder: str) -> str:
+    """Names, sizes and times of what a folder holds, as one short text.
+
+    Tables kept for a folder are kept under its version, so changed inputs are read again.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    facts = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found)
+    return hashlib.sha256(repr(facts).encode()).hexdigest()[:16]
+
+
+def shared_table(spark: SparkSession, key: str, build) -> tuple[str, StructType]:
+    """Path and schema of ``build()``, written once per application and key."""
     slot = (spark.sparkContext.applicationId, key)
     if slot not in _shared:
         df = build()
         path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         _shared[slot] = (path, df.schema)
-    path, schema = _shared[slot]
+    return _shared[slot]
+
+
+def shared(spark: SparkSession, key: str, build) -> DataFrame:
+    """Materialise ``build()`` once per application and reuse the written table."""
+    path, schema = shared_table(spark, key, build)
     return spark.read.schema(schema).parquet(path)
