@@ -241,6 +241,12 @@ def test_mix(spark, odd, odd_rows, none):
     assert {k: v for k, v in Counter(r["doc_id"] for r in rows.collect()).items() if k not in (None, 5)} == want
 
 
+def test_mix_of_many_sources(spark, odd, monkeypatch):
+    want = sorted(map(str, mixing.mix(odd).collect()))
+    monkeypatch.setattr(mixing, "SENT", 0)
+    assert sorted(map(str, mixing.mix(odd).collect())) == want
+
+
 def test_keys_prefer_quality(spark):
     df = spark.range(4000).selectExpr("id as doc_id", "if(id % 2 = 0, 'plain words only here', '### $$$ %%% &&& ***') as text", "if(id < 3000, 'a', 'b') as source")
     got = mixing.mix(df).where("source = 'a'")

@@ -20,6 +20,8 @@ from variscope.session import cut
 
 #: Slices of the key; a slice holds about this fraction of a source.
 BUCKETS = 1 << 14
+#: Sources whose plan is broadcast, and keys of a source beyond.
+SENT, SALTS = 10_000, 64
 
 
 def size_of(text: Column) -> Column:
@@ -91,10 +93,9 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     edge = ends.groupBy("p.source").agg(
         F.min(F.when(F.col("_sum") >= F.col("rest"), F.col("slice"))).alias("edge"),
         F.max(F.when(F.col("_sum") < F.col("rest"), F.struct("slice", "_sum"))).alias("_last"))
-    # A source's row of the plan: few numbers for each source, so Spark broadcasts it by size on its own or splits hot keys.
     plan = plan.alias("p").join(edge.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")), "left").select(
         F.col("p.source").alias("_source"), "source_size", "target", "epochs", "rest", "edge", F.coalesce(F.col("_last._sum"), F.lit(0)).alias("_base"))
-    joined = facts.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    joined = _with_plan(facts, cut(plan))
     at_edge = joined.where(F.col("slice") == F.col("edge"))
     before = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_base") + F.coalesce(F.sum("size").over(before), F.lit(0))
@@ -106,6 +107,21 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"), "key")
 
 
+def _with_plan(facts: DataFrame, plan: DataFrame) -> DataFrame:
+    """Each document with its source's row of the plan.
+
+    The plan has a row of seven numbers for each source: with SENT rows at most it is sent to every
+    task. Beyond that, sources are spread over ``SALTS`` keys each, so that a hot one isn't one task.
+    """
+    if plan.count() <= SENT:
+        joined = facts.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source")))
+    else:
+        salted = facts.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+        copies = plan.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(copies, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_salt") == F.col("_copy"))).drop("_salt", "_copy")
+    return joined.drop("_source")
+
+
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with all columns of ``docs``.
 
