@@ -45,13 +45,22 @@ def _store(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
+_packers: dict[str, Packer] = {}
+
+
 def library_packer(path: str) -> Packer:
-    """Packed ids by the tokenizers library; words of ASCII go to its merges directly."""
+    """Packed ids by the tokenizers library, one memory for each Python worker.
+
+    Words of ASCII go to the library's merges directly.
+    """
+    if path in _packers:
+        return _packers[path]
     tokenizer = Tokenizer.from_file(path)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     merges = tokenizer.model.tokenize
     whole = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-    return Packer(lambda word: [t.id for t in merges(word)] if word.isascii() else whole(word), whole, special)
+    _packers[path] = Packer(lambda word: [t.id for t in merges(word)] if word.isascii() else whole(word), whole, special)
+    return _packers[path]
 
 
 class _File:
@@ -174,8 +183,9 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                 starts = pa.array(np.asarray(index["first"]) + base, pa.int64())
                 yield pa.RecordBatch.from_arrays([index["doc_id"].combine_chunks(), starts, index["n_tokens"].combine_chunks(), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # A file for each task: the order of the files is of no matter here.
-    return files.select("file", "start").repartition(F.col("file")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # Rows of the list are small, but what they stand for is not: about a task for each file.
+    tasks = max(1, files.count())
+    return files.select("file", "start").repartition(tasks, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_folder(docs: DataFrame) -> str:
