@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, functions as F
 
 from variscope.operators.constraints import lit, no, yes
 from variscope.plans.scan import Run, scan
@@ -244,47 +245,123 @@ def _all_masks(n):
     return F.sequence(F.lit(0).cast("bigint"), _bit(n) - 1)
 
 
-def satisfiable_slices(slices: DataFrame) -> DataFrame:
-    """(sid, verdict): yes or no, for slices of any size.
+BATCHED = 2048  # variables up to which a slice is decided inside a batch
 
-    Variables are eliminated by joins: the clauses that hold a variable give way to what every two of them,
-    one with it and one with its negation, leave when both are met. A slice that comes to an empty
-    clause can't be met, one that runs out of clauses can. A round takes, in all slices
-    at once, every variable that is the cheapest one in each of its clauses; no two of
-    these share a clause, so the rounds are few.
+
+def satisfiable_slices(slices: DataFrame, k: int = MAX_VARS) -> DataFrame:
+    """(sid, verdict): yes, no, or unknown.
+
+    Slices of up to ``BATCHED`` variables are decided in Arrow batches with bit
+    operations: a conflict of unit consequences says no, an assignment that meets every
+    clause says yes, and all values of up to k undecided symbols settle the rest.
+    Larger slices take the relational rounds first and come back when they got smaller.
+    """
+    coded, large = numbered(slices)
+    small = _decided(coded, k)
+    big = cut(slices.join(large, "sid", "left_semi"))
+    if big.isEmpty():
+        return small
+    open_clauses, _, bad = forced_literals(big)
+    recoded, huge = numbered(drop_pure(open_clauses))
+    told = _decided(recoded, k).unionByName(bad.withColumn("verdict", F.lit("no"))).unionByName(huge.withColumn("verdict", F.lit("unknown")))
+    rest = large.join(told, "sid", "left").select("sid", F.coalesce("verdict", F.lit("yes")).alias("verdict"))
+    return small.unionByName(rest)
+
+
+def numbered(clauses: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """((sid, vars, clauses) up to ``limit`` variables, sids of larger slices).
+
+    A clause is a list of numbers: the position of a variable in ``vars`` from 1, negative
+    for a negated literal.
+    """
+    limit = BATCHED if limit is None else limit
+    variables = clauses.select("sid", F.explode("lits").alias("l")).select("sid", F.col("l.var").alias("var")).distinct()
+    n = cut(variables.groupBy("sid").agg(F.count(F.lit(1)).alias("n")))
+    names = variables.join(n.filter(F.col("n") <= limit).select("sid"), "sid", "left_semi").groupBy("sid").agg(
+        F.array_sort(F.collect_set("var")).alias("vars")
+    )
+    rows = lookup(clauses, names, ["sid"], how="inner")
+    number = F.transform(
+        "lits", lambda l: F.array_position("vars", l["var"]).cast("int") * F.when(l["positive"], 1).otherwise(-1)
+    )
+    coded = rows.select("sid", "vars", number.alias("c")).distinct().groupBy("sid", "vars").agg(F.collect_list("c").alias("clauses"))
+    return coded, n.filter(F.col("n") > limit).select("sid")
+
+
+def _decided(coded: DataFrame, k: int) -> DataFrame:
+    parts = 4 * int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plain = F.transform("vars", lambda v: ~(v.rlike(r"^[BT]\d+$") | v.endswith(".")))
+
+    def batches(frames):
+        for pdf in frames:
+            pdf["verdict"] = [verdict(c, p, k) for c, p in zip(pdf["clauses"], pdf["plain"])]
+            yield pdf[["sid", "verdict"]]
+
+    rows = coded.select("sid", "clauses", plain.alias("plain")).repartition(parts, "sid")
+    return rows.mapInPandas(batches, "sid string, verdict string")
+
+
+def verdict(clauses, plain, k: int) -> str:
+    """Decide numbered clauses; Spark has dealt out and merged equal slices.
+
+    ``plain`` marks the variables that are symbols. The others (blocks, versions of a
+    symbol) follow from them, so trying all values of up to k symbols is exhaustive.
     """
-    side = lambda sign: F.array_sort(F.array_distinct(F.transform(F.filter("lits", lambda l: l["positive"] == F.lit(sign)), lambda l: l["var"])))
-    rows = slices.select("sid", side(True).alias("pos"), side(False).alias("neg")).filter(~F.arrays_overlap("pos", "neg"))
-    rows, refuted = cut(rows.distinct()), []
-    empty = (F.size("pos") == 0) & (F.size("neg") == 0)
-    while (n := rows.agg(F.count("*").alias("all"), F.count_if(empty).alias("empty")).first())["all"]:
-        if n["empty"]:
-            refuted.append(cut(rows.filter(empty).select("sid").distinct()))
-            rows = rows.join(refuted[-1], "sid", "left_anti")
-        rows = cut(_eliminated(rows))
-    out = slices.select("sid").distinct()
-    if not refuted:
-        return out.withColumn("verdict", F.lit("yes"))
-    no_ = reduce(DataFrame.unionByName, refuted).withColumn("_no", F.lit(True))
-    return out.join(no_, "sid", "left").select("sid", F.when(F.col("_no"), "no").otherwise("yes").alias("verdict"))
-
-
-def _eliminated(rows: DataFrame) -> DataFrame:
-    """Clauses (sid, pos, neg) after a round; both arrays are sorted and share nothing."""
-    of = lambda column, sign: F.transform(column, lambda v: F.struct(v.alias("var"), F.lit(sign).alias("p")))
-    here = rows.repartition("sid").select("sid", "pos", "neg", F.explode(F.concat(of("pos", 1), of("neg", 0))).alias("l")).select("sid", "pos", "neg", "l.*")
-    same, clause = Window.partitionBy("sid", "var"), Window.partitionBy("sid", "pos", "neg")
-    n = F.sum("p").over(same)
-    m = F.count("*").over(same) - n
-    costed = here.withColumn("cost", n * m - n - m).withColumn("least", F.min(F.struct("cost", F.xxhash64("var").alias("h"), "var")).over(clause)["var"])
-    marked = costed.withColumn("taken", F.min((F.col("least") == F.col("var")).cast("int")).over(same))
-    rest = marked.groupBy("sid", "pos", "neg").agg(F.max("taken").alias("t")).filter("t = 0").select("sid", "pos", "neg")
-    taken = marked.filter("taken = 1")
-    left = taken.filter("p = 1").select("sid", "var", F.array_remove("pos", F.col("var")).alias("p1"), F.col("neg").alias("n1"))
-    right = taken.filter("p = 0").select("sid", "var", F.col("pos").alias("p2"), F.array_remove("neg", F.col("var")).alias("n2"))
-    joint = lambda a, b: F.array_sort(F.array_union(a, b))
-    both = left.join(right, ["sid", "var"]).select("sid", joint("p1", "p2").alias("pos"), joint("n1", "n2").alias("neg"))
-    return rest.unionByName(both.filter(~F.arrays_overlap("pos", "neg"))).distinct()
+    one, words = np.uint64(1), len(plain) // 64 + 1
+    pos, neg = np.zeros((len(clauses), words), "uint64"), np.zeros((len(clauses), words), "uint64")
+    for row, clause in enumerate(clauses):
+        for x in clause:
+            side, i = (pos, x - 1) if x > 0 else (neg, -x - 1)
+            side[row, i >> 6] |= one << np.uint64(i & 63)
+
+    def closed(t, f):
+        """Unit consequences: (true bits, false bits, open positives, open negatives)."""
+        while True:
+            left = ~((pos & t) | (neg & f)).any(axis=1)
+            p, n = pos[left] & ~(t | f), neg[left] & ~(t | f)
+            size = np.bitwise_count(p).sum(axis=1) + np.bitwise_count(n).sum(axis=1)
+            if (size == 0).any():
+                return None
+            unit = size == 1
+            if not unit.any():
+                return t, f, p, n
+            t, f = t | np.bitwise_or.reduce(p[unit], axis=0), f | np.bitwise_or.reduce(n[unit], axis=0)
+            if (t & f).any():
+                return None
+
+    def lowest(bits):
+        out = np.zeros(words, "uint64")
+        at = int(np.flatnonzero(bits)[0])
+        out[at] = bits[at] & (~bits[at] + one)
+        return out
+
+    zero = np.zeros(words, "uint64")
+    base = closed(zero, zero)
+    if base is None:
+        return "no"
+    for prefer_true in (False, True):
+        state = base
+        while state is not None and len(state[2]):
+            t, f, p, n = state
+            up = p[0].any() if prefer_true else not n[0].any()
+            state = closed(t | lowest(p[0]), f) if up else closed(t, f | lowest(n[0]))
+        if state is not None:
+            return "yes"
+    used = np.bitwise_or.reduce(base[2] | base[3], axis=0)
+    bits = [i for i in range(len(plain)) if int(used[i >> 6]) >> (i & 63) & 1]
+    free = bits if len(bits) <= k else [i for i in bits if plain[i]]
+    if len(free) > k:
+        return "unknown"
+    unclear = False
+    for mask in range(1 << len(free)):
+        t, f = base[0].copy(), base[1].copy()
+        for j, i in enumerate(free):
+            (t if mask >> j & 1 else f)[i >> 6] |= one << np.uint64(i & 63)
+        state = closed(t, f)
+        if state is not None and not len(state[2]):
+            return "yes"
+        unclear |= state is not None
+    return "unknown" if unclear else "no"
 
 
 def extreme_assignment(slices: DataFrame, most: bool = False, k: int = MAX_VARS) -> DataFrame:
@@ -354,17 +431,19 @@ def named_apart(slices: DataFrame, ids: list[str]) -> DataFrame:
     return rows.select(*ids, F.array_sort(F.transform("lits", rename)).alias("lits"))
 
 
-def merge_equal(slices: DataFrame, ids: list[str]) -> tuple[DataFrame, DataFrame]:
+def merge_equal(slices: DataFrame, ids: list[str], limit: int = 4096) -> tuple[DataFrame, DataFrame]:
     """((ids, sid), (sid, lits)): equal slices share one ``sid``.
 
-    The ``sid`` is made of the number of a slice's distinct clauses and two sums of their hashes, so
-    a slice of any size is compared without being collected.
+    A slice of up to ``limit`` clauses gets a hash of its sorted clauses; a larger one
+    keeps a ``sid`` of its own, so it is decided without being collected.
     """
     text = F.concat_ws("|", F.transform("lits", lambda l: F.concat(F.when(l["positive"], "").otherwise("!"), l["var"])))
     rows = cut(named_apart(slices, ids).withColumn("_t", text).distinct())
-    total = lambda h: F.sum(h.cast("decimal(38,0)")).cast("string")
-    parts = [F.count("*").cast("string"), total(F.xxhash64("_t")), total(F.xxhash64(F.reverse("_t"), F.lit(1)))]
-    keys = cut(rows.groupBy(*ids).agg(F.concat_ws(":", *parts).alias("sid")))
+    n = rows.groupBy(*ids).agg(F.count(F.lit(1)).alias("_n"))
+    own = F.concat_ws(":", *[F.col(c).cast("string") for c in ids])
+    small = rows.join(n.filter(F.col("_n") <= limit).select(*ids), ids, "left_semi")
+    hashed = small.groupBy(*ids).agg(F.sha2(F.concat_ws(";", F.array_sort(F.collect_set("_t"))), 256).alias("sid"))
+    keys = cut(hashed.unionByName(n.filter(F.col("_n") > limit).select(*ids, own.alias("sid"))))
     shown = keys.groupBy("sid").agg(F.min(F.struct(*ids)).alias("k")).select("sid", *[F.col("k")[c].alias(c) for c in ids])
     return keys, cut(rows.join(shown, ids).select("sid", "lits"))
 
