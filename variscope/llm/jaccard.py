@@ -2,9 +2,10 @@
 
 Every shingle flips one bit of a sketch, so the Hamming distance of two sketches is at most the
 symmetric difference of their sets. Sets whose likeness is at least ``least`` per cent differ in at most
-``d`` shingles, and ``d`` follows from the sizes. For each band of sizes the sketch is laid out in more than
-``d`` words of 64 bits: each difference spoils one word at most, so linked documents agree on a word. Documents that
-agree on one meet in a bucket; pairs whose 4096-bit sketches are near enough are verified
+``d`` shingles, and ``d`` follows from the sizes. For each band of sizes a wide sketch is laid out in more than
+``d`` parts: each difference spoils one part at most, so linked documents agree on a part. A part
+is kept as the XOR of hashes of its bits, 64 bits wide: equal parts have equal words, and parts with
+few shingles don't meet by chance. Documents that agree on one meet in a bucket; pairs whose 4096-bit sketches are near enough are verified
 on their whole sets.
 
 No bucket is expanded into its pairs. Equal sets are one class. Buckets with the same members count
@@ -109,7 +110,7 @@ class Bands:
             h = _mix(shingles + np.uint64((band + 1) * 0xD1B54A32D192ED03 % 2**64))
             part = ((h >> np.uint64(32)) * np.uint64(words)) >> np.uint64(32)
             sketch = np.zeros(words, dtype=np.uint64)
-            np.bitwise_xor.at(sketch, part.astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+            np.bitwise_xor.at(sketch, part.astype(np.int64), _mix(h ^ np.uint64(0x8CB92BA72F3D8DD7)))
             place = np.arange(words, dtype=np.uint64) + np.uint64(band << 40)
             key = _mix(sketch ^ _mix(place + np.uint64(0x2545F4914F6CDD1D)))
             zero = sketch == 0
