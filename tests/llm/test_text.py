@@ -121,6 +121,46 @@ def test_licences(spark, odd, none):
     assert licences.scan_licences(odd).count() == 12 and licences.scan_licences(none).count() == 0
 
 
+NOTICES = {
+    1: ("""/*
+ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ */""", ["GPLTerms"], ["GPL"]),
+    2: ("""# This library is free software; you can redistribute it and/or
+# modify it under the terms of the GNU Lesser General Public
+# License as published by the Free Software Foundation.""", ["LGPLRef"], ["LGPL"]),
+    3: ("""// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/.""", ["MPL2Ref"], ["MPL-2.0"]),
+    4: ("""Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:\r
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the documentation.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products.""", ["BSDSource", "BSDBinary", "BSDName"], ["BSD-3-Clause"]),
+    5: ("Released into the public-domain.", ["PublicDomain"], ["Public-Domain"]),
+    6: ("all-rights\nreserved", ["AllRights"], ["Proprietary"]),
+    7: ("dnl licensed\ndnl under the\ndnl MIT license", ["MITRef"], ["MIT"]),
+    8: ("\n".join(licences.SENTENCES[9][1].split()), ["GPLTerms"], ["GPL"]),
+    9: ("all rights reserved\nreleased under the MIT license\nall rights reserved, all rights reserved", ["AllRights", "MITRef", "AllRights"], ["MIT", "Proprietary"]),
+    10: ("is licensed under the\n\nMIT license", [], []), 11: ("is licensed under the. MIT license", [], []), 12: ("a licensed\n *\n * under the MIT license", [], []),
+}
+
+
+def test_wrapped_notices(spark):
+    df = spark.createDataFrame([(i, text) for i, (text, *_) in NOTICES.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["licence_ids"], r["licences"]) for r in licences.scan_licences(df).collect()}
+    assert got == {i: (ids, names) for i, (_, ids, names) in NOTICES.items()}
+    assert all(re.search(licences.TELLING, words) for _, words in licences.SENTENCES)
+
+
 def sketch_of(text, k=fingerprints.K):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
 

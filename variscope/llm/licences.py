@@ -1,7 +1,8 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, which are normalised to words. Sentences that hold a known
-licence sentence get its identifier; the identifiers of a document, in order, are
+A text is normalised to words and cut into sentences: at sentence ends and at lines without a word, not
+at single line breaks, so that sentences wrapped at any width or set in comments are whole. Sentences that
+hold a known licence sentence get its identifier; the identifiers of a document, in order, are
 matched against ordered rules. A rule that matches takes its identifiers away, so a
 later, shorter rule can't claim them again. All of it is one projection: no shuffle.
 """
@@ -59,22 +60,45 @@ RULES = [
 #: Words of which each known sentence has one; other sentences are not looked at closer.
 TELLING = "licen|copyright|rights reserved|permission|redistribut|warranty|public domain|basis|neither"
 
+#: A word of each alternative of TELLING; a text without any of them has no known sentence.
+HINTS = "|".join(words.split()[-1] for words in TELLING.split("|"))
+#: Ends of sentences, but for the points of abbreviations.
+ENDS = r"(?<!\b(?:v|ver|vers|cf|co|inc|ltd|corp|e\.g|i\.e))[.!?][ \t\r\n]+"
+#: Words that begin a line of comment; marks such as ``*``, ``#`` and ``//`` go with all others.
+LEADERS = r"(?m)^ ?(?:dnl|rem|c)(?= |$) ?"
+
 
 def identifiers(text: Column) -> Column:
-    """Identifiers of a text's licence sentences, in order; empty for null or empty texts."""
+    """Identifiers of a text's licence sentences, in order; empty for null or empty texts.
+
+    A known sentence counts for the line in which it begins, there once.
+    """
     plain = F.lower(F.coalesce(text, F.lit("")))
-    cut = F.split(F.regexp_replace(plain, r"([.!?])[ \t\r]+", "$1\n"), "\n")
-    telling = F.filter(cut, lambda s: s.rlike(TELLING))
-    normal = F.transform(telling, lambda s: F.concat(F.lit(" "), F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")), F.lit(" ")))
-    known = lambda s: F.filter(F.array(*[F.when(F.contains(s, F.lit(f" {words} ")), F.lit(i)) for i, words in SENTENCES]), lambda i: i.isNotNull())
-    return F.flatten(F.transform(normal, known))
+    words = F.regexp_replace(F.regexp_replace(plain, ENDS, "\n\n"), "[^a-z0-9\n]+", " ")
+    # Two readings of equal length: line breaks kept, and as spaces.
+    lines = F.transform(F.split(words, r"\n[ \n]*\n"), lambda s: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(s, LEADERS, ""), " ?\n ?", "\n")), F.lit(" ")))
+    both = F.filter(F.transform(lines, lambda s: F.struct(s.alias("lines"), F.translate(s, "\n", " ").alias("words"))), lambda s: s["words"].rlike(TELLING))
+
+    def places(s: Column, i: str, known: str, n: int) -> Column:
+        """(line, n, identifier) of each line of ``s`` in which the known sentence begins."""
+        gaps = F.split(s["words"], f"(?<= ){known}(?= )", -1)
+        before = F.transform(F.slice(gaps, 1, F.size(gaps) - 1), lambda _, k: F.aggregate(F.slice(gaps, 1, k + 1), F.lit(0), lambda a, g: a + F.length(g)) + k * len(known))
+        breaks = lambda at: at - F.length(F.translate(F.left(s["lines"], at), "\n", ""))
+        found = F.transform(before, lambda at: F.struct(breaks(at).alias("line"), F.lit(n).alias("n"), F.lit(i).alias("id")))
+        return F.when(F.contains(s["words"], F.lit(f" {known} ")), found)
+
+    def known(s: Column) -> Column:
+        found = F.filter(F.array(*[places(s, i, w, n) for n, (i, w) in enumerate(SENTENCES)]), lambda x: x.isNotNull())
+        return F.transform(F.array_sort(F.array_distinct(F.flatten(found))), lambda x: x["id"])
+
+    return F.when(plain.rlike(HINTS), F.flatten(F.transform(both, known))).otherwise(F.array().cast("array<string>"))
 
 
 def scan_licences(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``licence_ids`` and ``licences``, both arrays.
 
-    ``licences`` lists each rule that matched once, in the order of the rules. A sentence that holds several known
-    ones gives them in the order of the list.
+    ``licences`` lists each rule that matched once, in the order of the rules. A line in which several known
+    sentences begin gives them in the order of the list.
     """
     left = F.concat(F.lit(","), F.array_join("licence_ids", ",,"), F.lit(","))
     found = []
@@ -87,7 +111,7 @@ def scan_licences(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def licence_sql() -> str:
-    """The same scan of ``documents`` as a DuckDB statement."""
+    """The scan of ``documents`` as a DuckDB statement, which cuts at every line break: equal where no known sentence is wrapped."""
     known = ", ".join(f"case when contains(s, ' {words} ') then '{i}' end" for i, words in SENTENCES)
     left, cases, steps = "seq0", [], []
     for n, (name, ids) in enumerate(RULES):
