@@ -156,6 +156,53 @@ def test_large_slices_take_the_relational_way(spark, monkeypatch, batched):
     assert got == {"yes": "yes", "no": "no"}
 
 
+def parity(names, helper, odd):
+    """Clauses of the sum of ``names`` being odd, or even; partial sums are named after ``helper``."""
+    out, last = [], names[0]
+    for i, n in enumerate(names[1:]):
+        total = f"{helper}{i}"
+        out += [
+            [(last, False), (n, False), (total, False)], [(last, True), (n, True), (total, False)],
+            [(last, True), (n, False), (total, True)], [(last, False), (n, True), (total, True)],
+        ]
+        last = total
+    return out + [[(last, odd)]]
+
+
+@pytest.mark.parametrize("batched", [2048, 8])
+def test_slices_with_many_open_symbols(spark, monkeypatch, batched):
+    """The sum of 16 symbols can't be odd and even; more than 12 of them stay open until the search."""
+    monkeypatch.setattr(E, "BATCHED", batched)
+    names = [f"CONFIG_{i:02}" for i in range(16)]
+    one, other = parity(names, "X.", True), parity(names[::-1], "Y.", False)
+    apart = [[(f"Z{v}", p) for v, p in c] for c in one]
+    slices = {"no": one + other, "yes": one, "part": apart + one + other, "both": apart + one}
+    df = spark.createDataFrame([(k, c) for k, cs in slices.items() for c in cs], "sid string, lits array<struct<var:string,positive:boolean>>")
+    assert {r.sid: r.verdict for r in E.satisfiable_slices(df).collect()} == {"no": "no", "yes": "yes", "part": "no", "both": "yes"}
+
+
+def test_extreme_assignments_of_many_open_symbols(spark):
+    """Fourteen open symbols, and 70 in five parts, against all masks; a slice without a solution gives no rows."""
+    rng, slices = random.Random(3), {}
+    for k in range(4):
+        slices[f"s{k}"] = [[(f"V{v:02}", rng.random() < 0.6) for v in rng.sample(range(14), 3)] for _ in range(34)]
+    slices["wide"] = [[(f"P{part}{v}", p) for v, p in c] for part in range(5) for c in slices["s0"]]
+    slices["none"] = slices["s0"] + parity([f"V{i:02}" for i in range(14)], "X.", True) + parity([f"V{i:02}" for i in range(14)][::-1], "Y.", False)
+    df = spark.createDataFrame([(k, c) for k, cs in slices.items() for c in cs], "sid string, lits array<struct<var:string,positive:boolean>>")
+    for most in (False, True):
+        got = {}
+        for r in E.extreme_assignment(df, most).collect():
+            got.setdefault(r.sid, {})[r.var] = r.val
+        want = {}
+        for k in ("s0", "s1", "s2", "s3"):
+            names = sorted({v for c in slices[k] for v, _ in c})
+            fits = (m for m in range(1 << len(names)) if all(any((m >> names.index(v) & 1 == 1) == p for v, p in c) for c in slices[k]))
+            best = (max if most else min)(fits, key=lambda m: (m.bit_count(), m))
+            want[k] = {n: best >> i & 1 == 1 for i, n in enumerate(names)}
+        want["wide"] = {f"P{part}{v}": x for part in range(5) for v, x in want["s0"].items()}
+        assert got == want
+
+
 def test_scope(spark):
     rows = [
         (1, "x", "kconfig", True), (1, "a", "kconfig", False), (1, "b", "kconfig", False),

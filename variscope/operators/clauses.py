@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from variscope.operators import search
 from variscope.operators.constraints import lit, no, yes
+from variscope.plans.components import components
 from variscope.plans.scan import Run, scan
 from variscope.plans.skew import lookup
 from variscope.session import cut
@@ -245,36 +247,48 @@ def _all_masks(n):
     return F.sequence(F.lit(0).cast("bigint"), _bit(n) - 1)
 
 
-BATCHED = 2048  # variables up to which a slice is decided inside a batch
+BATCHED = 2048  # variables up to which a slice is decided without relational rounds first
 
 
-def satisfiable_slices(slices: DataFrame, k: int = MAX_VARS) -> DataFrame:
-    """(sid, verdict): yes, no, or unknown.
+def satisfiable_slices(slices: DataFrame) -> DataFrame:
+    """(sid, verdict): yes or no.
 
-    Slices of up to ``BATCHED`` variables are decided in Arrow batches with bit
-    operations: a conflict of unit consequences says no, an assignment that meets every
-    clause says yes, and all values of up to k undecided symbols settle the rest.
-    Larger slices take the relational rounds first and come back when they got smaller.
+    Slices of up to ``BATCHED`` variables are decided in Arrow batches by an exact search.
+    Larger slices take the relational rounds first; what is left is split into parts
+    that share no variable, and a slice says yes when all its parts do.
     """
     coded, large = numbered(slices)
-    small = _decided(coded, k)
+    small = _decided(coded)
     big = cut(slices.join(large, "sid", "left_semi"))
     if big.isEmpty():
         return small
     open_clauses, _, bad = forced_literals(big)
-    recoded, huge = numbered(drop_pure(open_clauses))
-    told = _decided(recoded, k).unionByName(bad.withColumn("verdict", F.lit("no"))).unionByName(huge.withColumn("verdict", F.lit("unknown")))
-    rest = large.join(told, "sid", "left").select("sid", F.coalesce("verdict", F.lit("yes")).alias("verdict"))
+    parts = cut(independent_parts(drop_pure(open_clauses)))
+    told = _decided(numbered(parts.select(F.col("part").alias("sid"), "lits"), None)[0]).withColumnRenamed("sid", "part")
+    failed = parts.select("sid", "part").distinct().join(told.filter("verdict = 'no'"), "part", "left_semi").select("sid")
+    stuck = bad.unionByName(failed).distinct().withColumn("verdict", F.lit("no"))
+    rest = large.join(stuck, "sid", "left").select("sid", F.coalesce("verdict", F.lit("yes")).alias("verdict"))
     return small.unionByName(rest)
 
 
-def numbered(clauses: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+def independent_parts(clauses: DataFrame) -> DataFrame:
+    """(sid, part, lits): parts of a slice share no variable."""
+    node = lambda l: F.to_json(F.struct("sid", l["var"].alias("var")))
+    links = clauses.select(F.explode(F.transform("lits", lambda l: F.struct(node(l).alias("a"), node(F.col("lits")[0]).alias("b")))).alias("l"))
+    groups = components(links.select("l.*").distinct())
+    first = clauses.select("sid", "lits", node(F.col("lits")[0]).alias("id"))
+    return lookup(first, groups, ["id"], how="inner").select("sid", F.col("component").alias("part"), "lits")
+
+
+def numbered(clauses: DataFrame, limit: int | None = 0) -> tuple[DataFrame, DataFrame]:
     """((sid, vars, clauses) up to ``limit`` variables, sids of larger slices).
 
+    The limit is ``BATCHED`` unless given; None is none.
+
     A clause is a list of numbers: the position of a variable in ``vars`` from 1, negative
     for a negated literal.
     """
-    limit = BATCHED if limit is None else limit
+    limit = BATCHED if limit == 0 else 2**62 if limit is None else limit
     variables = clauses.select("sid", F.explode("lits").alias("l")).select("sid", F.col("l.var").alias("var")).distinct()
     n = cut(variables.groupBy("sid").agg(F.count(F.lit(1)).alias("n")))
     names = variables.join(n.filter(F.col("n") <= limit).select("sid"), "sid", "left_semi").groupBy("sid").agg(
@@ -288,105 +302,56 @@ def numbered(clauses: DataFrame, limit: int | None = None) -> tuple[DataFrame, D
     return coded, n.filter(F.col("n") > limit).select("sid")
 
 
-def _decided(coded: DataFrame, k: int) -> DataFrame:
+def _decided(coded: DataFrame) -> DataFrame:
     parts = 4 * int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    plain = F.transform("vars", lambda v: ~(v.rlike(r"^[BT]\d+$") | v.endswith(".")))
 
     def batches(frames):
         for pdf in frames:
-            pdf["verdict"] = [verdict(c, p, k) for c, p in zip(pdf["clauses"], pdf["plain"])]
+            pdf["verdict"] = ["yes" if search.satisfiable(c) else "no" for c in pdf["clauses"]]
             yield pdf[["sid", "verdict"]]
 
-    rows = coded.select("sid", "clauses", plain.alias("plain")).repartition(parts, "sid")
-    return rows.mapInPandas(batches, "sid string, verdict string")
-
-
-def verdict(clauses, plain, k: int) -> str:
-    """Decide numbered clauses; Spark has dealt out and merged equal slices.
-
-    ``plain`` marks the variables that are symbols. The others (blocks, versions of a
-    symbol) follow from them, so trying all values of up to k symbols is exhaustive.
-    """
-    one, words = np.uint64(1), len(plain) // 64 + 1
-    pos, neg = np.zeros((len(clauses), words), "uint64"), np.zeros((len(clauses), words), "uint64")
-    for row, clause in enumerate(clauses):
-        for x in clause:
-            side, i = (pos, x - 1) if x > 0 else (neg, -x - 1)
-            side[row, i >> 6] |= one << np.uint64(i & 63)
-
-    def closed(t, f):
-        """Unit consequences: (true bits, false bits, open positives, open negatives)."""
-        while True:
-            left = ~((pos & t) | (neg & f)).any(axis=1)
-            p, n = pos[left] & ~(t | f), neg[left] & ~(t | f)
-            size = np.bitwise_count(p).sum(axis=1) + np.bitwise_count(n).sum(axis=1)
-            if (size == 0).any():
-                return None
-            unit = size == 1
-            if not unit.any():
-                return t, f, p, n
-            t, f = t | np.bitwise_or.reduce(p[unit], axis=0), f | np.bitwise_or.reduce(n[unit], axis=0)
-            if (t & f).any():
-                return None
-
-    def lowest(bits):
-        out = np.zeros(words, "uint64")
-        at = int(np.flatnonzero(bits)[0])
-        out[at] = bits[at] & (~bits[at] + one)
-        return out
-
-    zero = np.zeros(words, "uint64")
-    base = closed(zero, zero)
-    if base is None:
-        return "no"
-    for prefer_true in (False, True):
-        state = base
-        while state is not None and len(state[2]):
-            t, f, p, n = state
-            up = p[0].any() if prefer_true else not n[0].any()
-            state = closed(t | lowest(p[0]), f) if up else closed(t, f | lowest(n[0]))
-        if state is not None:
-            return "yes"
-    used = np.bitwise_or.reduce(base[2] | base[3], axis=0)
-    bits = [i for i in range(len(plain)) if int(used[i >> 6]) >> (i & 63) & 1]
-    free = bits if len(bits) <= k else [i for i in bits if plain[i]]
-    if len(free) > k:
-        return "unknown"
-    unclear = False
-    for mask in range(1 << len(free)):
-        t, f = base[0].copy(), base[1].copy()
-        for j, i in enumerate(free):
-            (t if mask >> j & 1 else f)[i >> 6] |= one << np.uint64(i & 63)
-        state = closed(t, f)
-        if state is not None and not len(state[2]):
-            return "yes"
-        unclear |= state is not None
-    return "unknown" if unclear else "no"
+    return coded.select("sid", "clauses").repartition(parts, "sid").mapInPandas(batches, "sid string, verdict string")
 
 
 def extreme_assignment(slices: DataFrame, most: bool = False, k: int = MAX_VARS) -> DataFrame:
     """(sid, var, val): the satisfying assignment with fewest (or most) true variables.
 
     Ties go to the smaller (larger) mask over the sorted variables. Variables in no open
-    clause take the wanted value. Slices with more than k undecided variables, and those
-    without a solution, give no rows.
+    clause take the wanted value. Slices without a solution give no rows. Up to k undecided
+    variables all masks are tried, beyond that an exact search finds the same assignment.
     """
     names = slices.select("sid", F.explode("lits").alias("l")).select("sid", F.col("l.var").alias("var")).distinct()
     coded, large = masks(slices, WORD)
-    rows = _extreme(with_open(consequences(coded).filter(~F.col("s.bad"))), most, k)
+    known = cut(with_open(consequences(coded).filter(~F.col("s.bad"))))
+    rows = _extreme(known, most, k)
+    large = cut(large.unionByName(known.filter(F.size("bits") > k).select("sid")))
     big = cut(slices.join(large, "sid", "left_semi"))
     if big.isEmpty():
         return rows
     open_clauses, facts, bad = forced_literals(big)
-    recoded, huge = masks(open_clauses, WORD)
-    found = _extreme(with_open(consequences(recoded)), most, k)
-    stuck = bad.unionByName(huge).unionByName(recoded.select("sid").join(found.select("sid").distinct(), "sid", "left_anti"))
+    recoded, _ = numbered(open_clauses, None)
+    found = cut(_searched(recoded, most))
+    stuck = bad.unionByName(recoded.select("sid").join(found.select("sid").distinct(), "sid", "left_anti"))
     wide = names.join(large, "sid", "left_semi").join(stuck, "sid", "left_anti").join(facts, ["sid", "var"], "left").join(
         found.withColumnRenamed("val", "chosen"), ["sid", "var"], "left"
     )
     return rows.unionByName(wide.select("sid", "var", F.coalesce("val", "chosen", F.lit(most)).alias("val")))
 
 
+def _searched(coded: DataFrame, most: bool) -> DataFrame:
+    """(sid, var, val) of the variables in numbered clauses; no rows without a solution."""
+    parts = 4 * int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def batches(frames):
+        for pdf in frames:
+            for sid, names, clauses in zip(pdf["sid"], pdf["vars"], pdf["clauses"], strict=True):
+                on = search.fewest_true(clauses, most)
+                if on is not None:
+                    yield pd.DataFrame({"sid": sid, "var": list(names), "val": [i + 1 in on for i in range(len(names))]})
+
+    return coded.repartition(parts, "sid").mapInPandas(batches, "sid string, var string, val boolean")
+
+
 def _extreme(known: DataFrame, most: bool, k: int) -> DataFrame:
     small = known.filter(F.size("bits") <= k)
     fits = F.filter(_all_masks(F.size("bits")), lambda a: F.forall("open", _holds_under(a)))
