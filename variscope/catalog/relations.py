@@ -94,6 +94,16 @@ def _(t):
     return T.select_rules(relation(t), symbols(t))
 
 
+@query("unsupported_rules")
+def _(t):
+    return T.unsupported_rules(relation(t), symbols(t))
+
+
+@query("unsupported_rule_counts")
+def _(t):
+    return T.unsupported_counts(T.unsupported_rules(relation(t), symbols(t)))
+
+
 @query("assemble_model")
 def _(t):
     return T.assemble_model(relation(t))

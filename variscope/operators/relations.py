@@ -1,13 +1,16 @@
 """Translation of a configuration dump into model formulas.
 
 Tables: relation (arch, relation, item, args). Expressions are rewritten when they are one
-level of ``&&`` over ``||`` groups or the other way round; others give a null text.
+level of ``&&`` over ``||`` groups or the other way round; others, and those with a term that has no
+translation, give a null text. Rules with such an expression are left out and listed by ``unsupported_rules``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from variscope.session import cut
+
 # Type words of a dump and their codes.
 TYPE_CODES = {"boolean": 1, "tristate": 2, "integer": 3, "hex": 4, "string": 5}
 OPTION_TYPES = tuple(TYPE_CODES)
@@ -57,23 +60,30 @@ def drop_choice_terms(terms: Column) -> Column:
     return F.filter(terms, lambda x: ~F.regexp_replace(x, "^!", "").startswith("CHOICE_"))
 
 
-def literal_text(name: Column, op: Column, value: Column, tristate: Column, module: Column) -> Column:
-    """A term over X and X_MODULE.
+def literal_text(name: Column, op: Column, value: Column, tristate: Column, module: Column, options: Column) -> Column:
+    """A term over X and X_MODULE; null for comparisons of anything but ``options`` with y, m, n or each other.
 
     ``module`` is the reading: true where "built as a module" also counts. A plain
     tristate term means "not n" then, and "y" otherwise; ``m`` alone is free, or false.
     """
     y = F.concat(F.lit("CONFIG_"), name)
     m = F.concat(y, F.lit("_MODULE"))
+    y2 = F.concat(F.lit("CONFIG_"), value)
+    m2 = F.concat(y2, F.lit("_MODULE"))
+    both = lambda a, b: F.concat(F.lit("("), a, F.lit(" && "), b, F.lit(")"))
+    any_group = lambda *parts: F.concat(F.lit("("), F.concat_ws(" || ", *parts), F.lit(")"))
     no = lambda c: F.concat(F.lit("!"), c)
     any_of = F.concat(F.lit("("), m, F.lit(" || "), y, F.lit(")"))
     none_of = F.concat(F.lit("("), no(m), F.lit(" && "), no(y), F.lit(")"))
     return (
-        F.when((name == "m") & (op == ""), F.when(module, "__FREE__").otherwise("(__FREE__ && !__FREE__)"))
+        F.when((op != "") & (op != "!") & name.isin("y", "m", "n"), F.lit(None))
+        .when((name == "m") & (op == ""), F.when(module, "__FREE__").otherwise("(__FREE__ && !__FREE__)"))
         .when((op == "") & tristate & module, any_of).when(op == "", y)
         .when((op == "!") & tristate & ~module, none_of).when(op == "!", no(y))
         .when((op == "=") & (value == "y"), y).when((op == "=") & (value == "m"), m).when((op == "=") & (value == "n"), none_of)
         .when((op == "!=") & (value == "y"), no(y)).when((op == "!=") & (value == "m"), no(m)).when((op == "!=") & (value == "n"), any_of)
+        .when((op == "=") & options, any_group(both(y, y2), both(m, m2), both(both(no(y), no(y2)), both(no(m), no(m2)))))
+        .when((op == "!=") & options, any_group(both(y, no(y2)), both(m, no(m2)), both(no(y), y2), both(no(m), m2)))
     )
 
 
@@ -93,24 +103,41 @@ def literal_values(exprs: DataFrame, symbols: DataFrame) -> DataFrame:
     part = lambda i: F.regexp_extract("t", shape, i)
     tri = symbols.filter("tristate").select("arch", F.col("option").alias("name"), F.lit(True).alias("_tri")).distinct()
     named = terms.withColumn("name", part(2)).withColumn("op", F.concat(part(1), part(3))).withColumn("value", part(4))
+    # y, m and n may stand on the left of a comparison as well.
+    turned = F.col("name").isin("y", "m", "n") & (F.col("value") != "")
+    named = named.withColumn("_turned", turned).withColumn("_name", F.col("name")).withColumn("name", F.when(F.col("_turned"), F.col("value")).otherwise(F.col("name")))
+    named = named.withColumn("value", F.when(F.col("_turned"), F.col("_name")).otherwise(F.col("value"))).drop("_turned", "_name")
+    known = symbols.filter("kind = 'option'").select("arch", F.col("option"), F.lit(True).alias("_known")).distinct()
     named = named.join(tri, ["arch", "name"], "left")
-    text = literal_text(F.col("name"), F.col("op"), F.col("value"), F.col("_tri").isNotNull(), F.col("module"))
-    glue = lambda parts, op: F.when(F.size(parts) == 1, parts[0]).otherwise(F.concat(F.lit("("), F.concat_ws(op, parts), F.lit(")")))
+    for side in ("name", "value"):
+        named = named.join(known.select("arch", F.col("option").alias(side), F.col("_known").alias(f"_{side}")), ["arch", side], "left")
+    options = F.col("_name").isNotNull() & F.col("_value").isNotNull()
+    text = literal_text(F.col("name"), F.col("op"), F.col("value"), F.col("_tri").isNotNull(), F.col("module"), options)
+    # concat_ws leaves nulls out, so one null makes the whole null first.
+    told = lambda parts, x: F.when(F.forall(parts, lambda p: p.isNotNull()), x)
+    glue = lambda parts, op: told(parts, F.when(F.size(parts) == 1, parts[0]).otherwise(F.concat(F.lit("("), F.concat_ws(op, parts), F.lit(")"))))
     ordered = lambda key: F.transform(F.array_sort(F.collect_list(F.struct(key, "x"))), lambda s: s["x"])
     grouped = named.withColumn("x", text).groupBy(*ids, "module", "_and", "grp").agg(ordered("pos").alias("xs")).select(
         *ids, "module", "_and", "grp", F.when(F.col("_and"), glue(F.col("xs"), " || ")).otherwise(glue(F.col("xs"), " && ")).alias("x"))
     done = grouped.groupBy(*ids, "module", "_and").agg(ordered("grp").alias("xs")).select(
         *ids, "module", F.when(F.col("_and"), glue(F.col("xs"), " && ")).otherwise(glue(F.col("xs"), " || ")).alias("text"))
-    return parsed.select(*ids, "module", F.when(F.col("_g").isNotNull(), "").alias("_ok")).join(done, [*ids, "module"], "left").select(
+    # Without any term but those of choices the text is empty, which means true.
+    return parsed.select(*ids, "module", F.when(F.size("_g") == 0, "").alias("_ok")).join(done, [*ids, "module"], "left").select(
         *ids, "module", F.coalesce("text", "_ok").alias("text"))
 
 
-def dependency_rules(rel: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(arch, symbol, rank, text): the dependency of an option, for both of its symbols."""
+def _dependencies(rel: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(arch, symbol, expr, text) of every dependency; text is null without a translation."""
     deps = option_dependencies(rel).join(symbols, ["arch", "option"]).filter(F.col("kind") != "meta")
     module = F.col("symbol").endswith("_MODULE") | ~F.col("tristate")
-    rows = literal_values(deps.select("arch", "symbol", "expr", module.alias("module")), symbols)
-    return rows.filter(F.coalesce("text", F.lit("")) != "").select("arch", "symbol", F.lit(0).alias("rank"), "text")
+    asked = deps.select("arch", "symbol", "expr", module.alias("module"))
+    return asked.select("arch", "symbol", "expr").join(literal_values(asked, symbols).drop("module"), ["arch", "symbol"])
+
+
+def dependency_rules(rel: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(arch, symbol, rank, text): the dependency of an option, for both of its symbols."""
+    rows = _dependencies(rel, symbols).filter(F.coalesce("text", F.lit("")) != "")
+    return rows.select("arch", "symbol", F.lit(0).alias("rank"), "text")
 
 
 def choice_rules(rel: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -148,8 +175,8 @@ def _prompts(rel: DataFrame) -> DataFrame:
         F.max(F.get("args", F.lit(0)).cast("int")).alias("prompts"))
 
 
-def default_rules(rel: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(arch, symbol, text, always_on): what may switch on an option without a prompt."""
+def _defaults(rel: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(arch, symbol, expr, text, always_on) of every default; text is null without a translation."""
     plain = symbols.filter("kind = 'option' and not tristate").select("arch", "option", "symbol")
     hidden = plain.join(_prompts(rel).filter("prompts = 0"), ["arch", "option"]).select("arch", "option", "symbol")
     needs = option_dependencies(rel).select("arch", "option", F.lit(True).alias("dep"))
@@ -162,14 +189,19 @@ def default_rules(rel: DataFrame, symbols: DataFrame) -> DataFrame:
         F.when(F.col("state") == "y", F.col("cond")).when(F.col("cond") == "y", F.col("state"))
         .when((F.length("state") > 1) & (F.length("cond") > 1), F.concat(F.lit("("), "state", F.lit(") && ("), "cond", F.lit(")")))
     )
-    always = rows.filter(free).select("arch", "symbol", F.lit("__FREE__").alias("text"), F.lit(True).alias("always_on"))
-    asked = rows.filter(~free).select("arch", "symbol", expr.alias("expr"), F.lit(True).alias("module")).filter("expr is not null")
-    told = literal_values(asked.distinct(), symbols).filter("text is not null").select("arch", "symbol", "text", F.lit(False).alias("always_on"))
+    always = rows.filter(free).select("arch", "symbol", F.lit("y").alias("expr"), F.lit("__FREE__").alias("text"), F.lit(True).alias("always_on"))
+    asked = rows.filter(~free).select("arch", "symbol", expr.alias("expr"), expr.alias("key"), F.lit(True).alias("module")).filter("expr is not null")
+    told = literal_values(asked.distinct(), symbols).select("arch", "symbol", F.col("key").alias("expr"), "text", F.lit(False).alias("always_on"))
     return always.unionByName(told).distinct()
 
 
-def select_rules(rel: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(arch, symbol, text, part): A selects B: a rule on A, and A as a reason for a hidden B."""
+def default_rules(rel: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(arch, symbol, text, always_on): what may switch on an option without a prompt."""
+    return _defaults(rel, symbols).filter("text is not null").select("arch", "symbol", "text", "always_on").distinct()
+
+
+def _selects(rel: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Selections (arch, symbol, tsym, hidden, cond, when); ``when`` is null for y and without a translation."""
     plain = symbols.filter("kind = 'option' and not tristate").select("arch", F.col("option").alias("target"), F.col("symbol").alias("tsym"))
     who = symbols.filter("kind = 'option'").select("arch", F.col("option"), "symbol")
     hidden = _prompts(rel).filter("prompts = 0").select("arch", F.col("option").alias("target"), F.lit(True).alias("hidden"))
@@ -178,7 +210,13 @@ def select_rules(rel: DataFrame, symbols: DataFrame) -> DataFrame:
     rows = rows.join(plain, ["arch", "target"]).join(who, ["arch", "option"]).join(hidden, ["arch", "target"], "left")
     asked = rows.filter("cond <> 'y'").select("arch", "cond", F.col("cond").alias("expr"), F.lit(True).alias("module")).distinct()
     told = literal_values(asked, symbols).select("arch", "cond", F.col("text").alias("when"))
-    rows = rows.join(told, ["arch", "cond"], "left")
+    return rows.join(told, ["arch", "cond"], "left")
+
+
+def select_rules(rel: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(arch, symbol, text, part): A selects B: a rule on A, and A as a reason for a hidden B."""
+    rows = _selects(rel, symbols)
+    # An empty condition had only terms of choices, which count as true.
     implied = F.when((F.col("cond") == "y") | (F.col("when") == ""), F.col("tsym")).otherwise(
         F.concat(F.lit("(("), "when", F.lit(") -> "), "tsym", F.lit(")")))
     rule = rows.select("arch", "symbol", implied.alias("text"), F.lit("rule").alias("part")).filter("text is not null")
@@ -186,13 +224,34 @@ def select_rules(rel: DataFrame, symbols: DataFrame) -> DataFrame:
     return rule.unionByName(back).distinct()
 
 
+def unsupported_rules(rel: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(arch, symbol, rule, expr): dependencies, defaults and selections that no rule is made of.
+
+    Of a hidden option with such a default, ``assemble_model`` leaves out all reasons: the others alone
+    would say too much.
+    """
+    listed = lambda df, rule, expr: df.select("arch", "symbol", F.lit(rule).alias("rule"), F.col(expr).alias("expr"))
+    return (
+        listed(_dependencies(rel, symbols).filter("text is null"), "dependency", "expr")
+        .unionByName(listed(_defaults(rel, symbols).filter("text is null"), "default", "expr"))
+        .unionByName(listed(_selects(rel, symbols).filter((F.col("cond") != "y") & F.col("when").isNull()), "select", "cond")).distinct()
+    )
+
+
+def unsupported_counts(unsupported: DataFrame) -> DataFrame:
+    """(arch, rule, n)"""
+    return unsupported.groupBy("arch", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
 def assemble_model(rel: DataFrame) -> DataFrame:
     """(arch, symbol, formula): dependency, rules, then the reasons for hidden options."""
-    symbols = option_symbols(rel)
-    selects = select_rules(rel, symbols)
-    reasons = default_rules(rel, symbols).select("arch", "symbol", "text").unionByName(
+    symbols = cut(option_symbols(rel))
+    selects = cut(select_rules(rel, symbols))
+    defaults = cut(_defaults(rel, symbols))
+    reasons = defaults.filter("text is not null").select("arch", "symbol", "text").unionByName(
         selects.filter("part = 'select'").select("arch", "symbol", "text"))
-    reasons = reasons.groupBy("arch", "symbol").agg(F.array_sort(F.collect_set("text")).alias("t")).select(
+    lost = defaults.filter("text is null").select("arch", "symbol")
+    reasons = reasons.join(lost, ["arch", "symbol"], "left_anti").groupBy("arch", "symbol").agg(F.array_sort(F.collect_set("text")).alias("t")).select(
         "arch", "symbol", F.lit(9).alias("rank"), F.concat(F.lit("("), F.concat_ws(" || ", "t"), F.lit(")")).alias("text"))
     parts = (
         dependency_rules(rel, symbols).unionByName(tristate_rules(symbols)).unionByName(choice_rules(rel, symbols))
