@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from variscope.llm.components import components
 from variscope.llm.vectors import near_vectors
@@ -31,6 +32,25 @@ def test_equals_brute_force(spark):
     assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True) for i, _ in odd)
 
 
+@pytest.mark.parametrize("size", [4, 16, 32, 64])
+def test_pairs_at_the_threshold_are_found(spark, size):
+    """Pairs planted at cosines of 0.90 to 0.93, with a common mean, against brute force."""
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=(600, size)) + 0.3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = rng.uniform(0.9, 0.93, (600, 1))
+    x = np.vstack([x, cos * x + np.sqrt(1 - cos**2) * side])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    links = x @ x.T >= 0.9
+    np.fill_diagonal(links, False)
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(df).collect()}
+    assert links.sum() >= 1190 and all(got[i] <= n for i, n in enumerate(links.sum(1)))
+    assert sum(got.values()) >= 0.985 * links.sum(), sum(got.values()) / links.sum()
+
+
 def test_no_vectors(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert near_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).count() == 1

@@ -2,7 +2,9 @@
 
 A rotation is learned that turns centred vectors into balanced binary codes: alternating between the
 signs of the rotated vectors and the orthogonal Procrustes fit to them. Codes are cut into
-substrings, one table for each; vectors that agree on a substring meet in a bucket. Of these,
+substrings, one table for each; vectors that agree on a substring meet in a bucket. Further tables have
+the sides of random planes through the origin: as many as find a pair at the least cosine with the wanted
+chance, whatever the vectors' length, mean and spread. Of the pairs that meet,
 pairs whose codes are near are ranked again by the cosine of the original vectors, in double
 precision. Equal vectors are one vector with a count, and a bucket is worked off in pairs of
 blocks of bounded size, of which only sums and a spanning forest leave the task.
@@ -65,6 +67,12 @@ def fit_quantiser(vectors: DataFrame, *, column: str = "embedding", sample: int
     return Quantiser(mean, tuple(found))
 
 
+def random_tables(least: float, width: int, recall: float) -> int:
+    """Tables of ``width`` random planes in one of which a pair at the cosine ``least`` agrees with chance ``recall``."""
+    agree = (1 - np.arccos(np.clip(least, -1, 1)) / np.pi) ** width
+    return 1 if agree >= 1 else int(np.ceil(np.log(1 - recall) / np.log1p(-agree)))
+
+
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """Vectors that can link: no null or non-finite component, and not zero."""
     v = F.col(column)
@@ -122,11 +130,12 @@ def _compare(ids: np.ndarray, n: np.ndarray, left: np.ndarray, x: np.ndarray, pa
     return ids[linked], copies[linked].astype(np.int64), root[linked]
 
 
-def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", column: str = "embedding", least: float = 0.9, width: int = 12, near: int = 44, **fit) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", column: str = "embedding", least: float = 0.9, width: int = 12, near: int = 44, recall: float = 0.99, **fit) -> DataFrame:
     """One row for each vector: vec_id, n_links, component_id, kept.
 
-    Links pairs found with a cosine of ``least`` or more. ``width`` bits of the codes make a table; codes
-    at a distance over ``near`` aren't ranked again (128 bits: a cosine of 0.9 gives 18 on average).
+    Links pairs found with a cosine of ``least`` or more: of pairs at ``least`` itself a share of ``recall`` at least
+    is expected, of nearer ones more. ``width`` bits make a table; pairs that differ in over ``near`` of 128
+    random planes aren't ranked again (a cosine of 0.9 gives 18 on average).
     A bucket holds about 1 / 2 ** width of all vectors, so give wider tables to larger collections.
     Vectors that are null, zero, or have null or non-finite components link with nothing, vectors of
     different lengths neither. Rows of the same id are one vector each, but share a result.
@@ -139,23 +148,33 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", column: str = "e
     classes = cut(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     size = len(model.mean)
     tables = sum(r.shape[1] for r in model.rotations) // width
-    words = -(-sum(r.shape[1] for r in model.rotations) // 64)
+    more = random_tables(least, width, recall)
+    planes = more * width
+    words = -(-planes // 64)
+    far = near * planes // 128
 
     def make():
+        sides = np.random.default_rng(size).normal(size=(size, planes))
+
         def work(rows):
             code = np.zeros((len(rows), words * 64), dtype=np.uint8)
+            learned = np.zeros((len(rows), tables * width), dtype=np.uint8)
             fits = [i for i, r in enumerate(rows) if len(r) == size]
             if fits:
-                bits = model.codes(np.array([rows[i] for i in fits]))
-                code[fits, : bits.shape[1]] = bits
+                x = np.array([rows[i] for i in fits])
+                code[fits, :planes] = x / np.abs(x).max(axis=1, keepdims=True) @ sides > 0
+                learned[fits] = model.codes(x)[:, : tables * width]
             packed = np.packbits(code, axis=1, bitorder="little").view(np.int64)
-            keys = (code[:, : tables * width].reshape(len(rows), tables, width) @ (1 << np.arange(width))).astype(np.int32)
+            both = np.hstack([learned, code[:, :planes]])
+            keys = (both.reshape(len(rows), tables + more, width) @ (1 << np.arange(width))).astype(np.int32)
             return {"code": pa.array(packed.tolist(), pa.list_(pa.int64())), "parts": pa.array(keys.tolist(), pa.list_(pa.int32()))}
 
         return work
 
     coded = cut(map_column(classes, "v", make, pa.schema([("code", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32()))]), rows=1024))
     keyed = coded.select(F.size("v").alias("len"), F.posexplode("parts").alias("t", "key"), "rep", "n", "v", "code", "parts")
+    # Vectors of other lengths have no codes: all of a length meet, in one table.
+    keyed = keyed.where((F.col("len") == size) | (F.col("t") == 0))
     full = keyed.groupBy("len", "t", "key").agg(F.count("*").alias("m")).where("m > 1").select(F.col("len").alias("l"), F.col("t").alias("u"), F.col("key").alias("k"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     members = keyed.join(full, (F.col("len") == F.col("l")) & (F.col("t") == F.col("u")) & (F.col("key") == F.col("k"))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -169,8 +188,9 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", column: str = "e
             ids, n = part["rep"].to_numpy(), part["n"].to_numpy()
             x, code, parts = (np.array(part[c].combine_chunks().flatten()).reshape(len(ids), -1) for c in ("v", "code", "parts"))
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            code = code.view(np.uint64)  # bits of a negative number are not counted as they stand
             left = np.array(part["left"].to_pylist())
-            found = _compare(ids, n, left, x, parts, t, near, code, least, i == j)
+            found = _compare(ids, n, left, x, parts, t, far, code, least, i == j)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["rep", "copies", "root"])
 
         held: list[pa.RecordBatch] = []
