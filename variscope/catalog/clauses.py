@@ -125,7 +125,8 @@ def _(t):
 def header_sets(t):
     """Distinct symbol sets of block headers as slices."""
     names = F.array_sort(L.symbols_of(F.col("expr")))
-    return t.blocks.filter("expr <> ''").select(names.alias("vars")).distinct().withColumn("sid", F.concat_ws(",", "vars"))
+    sets = t.blocks.filter("expr <> ''").select(names.alias("vars")).filter(F.size("vars") > 0).distinct()
+    return sets.withColumn("sid", F.concat_ws(",", "vars"))
 
 
 @query("enumerate_assignments", """
@@ -347,10 +348,11 @@ union all select file_id, 'slice', sum(n)::bigint from (
 def _(t):
     files = t.source_file.join(t.line_files, "file_id", "left_semi")
     ids = ["file_id", "arch"]
+    own = t.file_models.join(t.line_files, "file_id", "left_semi").select(*ids)
     rows = C.base_condition(
         C.file_condition(t.rewritten, t.defines, files),
-        M.model_slice(t.file_slice, t.model, meta_forced(t), ids),
+        M.model_slice(t.file_slice, t.model, meta_forced(t), ids, own),
         M.missing_symbols(t.file_slice, t.model, t.spaces, ids, t.defines),
-        M.model_complete(t.archs, t.model, t.model_meta), meta_forced(t), t.file_models.join(t.line_files, "file_id", "left_semi"),
+        M.model_complete(t.archs, t.model, t.model_meta), meta_forced(t), own,
     )
     return rows.groupBy("file_id", "part").agg(F.count(F.lit(1)).alias("n"))

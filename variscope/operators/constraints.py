@@ -251,7 +251,8 @@ def block_precondition(
     ids = ["file_id", "block_no", "arch"]
     starts = lookup(used, file_models, ["file_id"], how="inner").select(*ids, "symbol")
     reached = cut(M.slice_symbols(starts, related))
-    slices = M.model_slice(reached, model, forced, ids).select("file_id", "block_no", F.lit("slice").alias("part"), "text")
+    every = lookup(blocks.select("file_id", "block_no"), file_models, ["file_id"], how="inner").select(*ids)
+    slices = M.model_slice(reached, model, forced, ids, every).select("file_id", "block_no", F.lit("slice").alias("part"), "text")
     gone = M.missing_symbols(reached, model, spaces, ids, defines).join(complete.filter("complete").select("arch"), "arch", "left_semi")
     missing = M.missing_constraint(gone, ids).select("file_id", "block_no", F.lit("missing").alias("part"), "text")
     return fixed.unionByName(code).unionByName(defs).unionByName(slices).unionByName(missing)

@@ -89,13 +89,17 @@ def slice_symbols(starts: DataFrame, related: DataFrame) -> DataFrame:
     return lookup(starts, hops, ["arch", "symbol"], how="inner").select(*ids, F.col("_to").alias("symbol")).distinct()
 
 
-def model_slice(reached: DataFrame, model: DataFrame, forced: DataFrame, ids: list[str]) -> DataFrame:
+def model_slice(
+    reached: DataFrame, model: DataFrame, forced: DataFrame, ids: list[str], slices: DataFrame | None = None
+) -> DataFrame:
     """Formula rows of a slice, with ``part``: implication, on, off.
 
     ``reached`` holds the slice columns ``ids`` (with arch) and the symbols reached; forced symbols
-    are part of every slice of their model.
+    are part of every slice of their model. ``slices`` lists all slices, those that reach no symbol included;
+    without it they are the ones in ``reached``.
     """
-    extra = reached.select(*ids).distinct().join(forced.select("arch", "symbol"), "arch")
+    every = reached if slices is None else slices
+    extra = lookup(every.select(*ids).distinct(), forced.select("arch", "symbol"), ["arch"], how="inner")
     symbols = reached.select(*ids, "symbol").unionByName(extra.select(*ids, "symbol")).distinct()
     found = lookup(symbols, model.select("arch", "symbol", "formula"), ["arch", "symbol"], how="inner")
     implied = found.filter(F.col("formula") != "").select(
