@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from variscope.llm import bpe, fingerprints, jaccard, licences, mixing, personal, quality, token_files, toxicity, vectors
+from variscope.llm import bpe, filter_audit, fingerprints, jaccard, licences, mixing, personal, quality, token_files, toxicity, vectors
 from variscope.llm.common import table
 
 #: The public vocabulary that the queries encode with; operators take any path.
@@ -128,3 +128,9 @@ def op10_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
 def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     """Components of documents that share 85 per cent of their shingles."""
     return jaccard.linked_components(table(spark, sf, "documents"))
+
+
+@query(filter_audit.AUDIT_SQL)
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """What each of five filters removes in every order of them, by source."""
+    return filter_audit.audit(filter_audit.mask_counts(table(spark, sf, "documents"), table(spark, sf, "labels")))
