@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from variscope.llm import bpe, filter_audit, fingerprints, jaccard, licences, mixing, personal, quality, token_files, toxicity, vectors
+from variscope.llm import bpe, filter_audit, fingerprints, jaccard, licences, mixing, personal, quality, token_files, toxicity, vectors, warc
 from variscope.llm.common import table
 
 #: The public vocabulary that the queries encode with; operators take any path.
@@ -134,3 +134,10 @@ def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
     """What each of five filters removes in every order of them, by source."""
     return filter_audit.audit(filter_audit.mask_counts(table(spark, sf, "documents"), table(spark, sf, "labels")))
+
+
+@query(warc.WARC_SQL)
+def op13_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages written to web archives and read back by way of their index."""
+    pages = table(spark, sf, "pages")
+    return warc.read_warc(warc.write_warc(pages, warc.warc_folder(pages))).drop("url")
