@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from variscope.llm import bpe, filter_audit, fingerprints, jaccard, licences, mixing, personal, quality, token_files, toxicity, vectors, warc
+from variscope.llm import bpe, conversations, filter_audit, fingerprints, jaccard, licences, mixing, personal, quality, token_files, toxicity, vectors, warc
 from variscope.llm.common import table
 
 #: The public vocabulary that the queries encode with; operators take any path.
@@ -141,3 +141,9 @@ def op13_warc(spark: SparkSession, sf: str) -> DataFrame:
     """Pages written to web archives and read back by way of their index."""
     pages = table(spark, sf, "pages")
     return warc.read_warc(warc.write_warc(pages, warc.warc_folder(pages))).drop("url")
+
+
+@query()
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults of damaged conversations and their cheapest repair."""
+    return conversations.repair_conversations(table(spark, sf, "conversations"))[0]
