@@ -9,20 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from variscope.llm import bpe, jaccard, mixing, personal, toxicity
-from variscope.llm.common import carried, table
+from variscope.llm.common import table
 from variscope.llm.queries import VOCABULARY
 from variscope.session import cut
 
 
-def _same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"_row.`{c}`") for c in like.columns])
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below 0.5; the model is fitted on the labelled rows among ``docs``."""
+    """Documents scored below 0.5; the model is fitted on the labelled rows among ``docs``.
+
+    Columns but the text travel packed, so that a batch holds every text once.
+    """
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_toxicity(carried(docs, text=F.col("text")), model)
-    return _same_columns(scored.where(F.col("tox_score") < 0.5), docs)
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    scored = toxicity.score_toxicity(docs.select(F.struct(*others).alias("_row"), "text"), model)
+    kept = scored.where(F.col("tox_score") < 0.5)
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
