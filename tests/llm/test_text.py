@@ -299,3 +299,29 @@ def test_digest_of_the_queries_matches(spark, odd):
     ids = bpe.encode_bpe(odd.where("doc_id = 7").select("doc_id", "text"), VOCABULARY).select(F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)).first()[0]
     want = Tokenizer.from_file(VOCABULARY).encode("one two", add_special_tokens=False).ids
     assert ids == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("least", [80, 85])
+def test_unrelated_sets_share_no_buckets(least):
+    """Chance meetings don't grow with the square of the rows."""
+    from collections import Counter
+
+    rng, bands = np.random.default_rng(1), jaccard.Bands(least)
+    for size in (20, 100, 400):
+        met = Counter(k for _ in range(400) for k in set(bands.keys(np.unique(rng.integers(0, 2**63, size=size, dtype=np.uint64))).tolist()))
+        assert sum(n * (n - 1) // 2 for n in met.values()) <= 4
+
+
+def test_linked_sets_share_a_bucket():
+    """Sets at the threshold, also small ones with many empty words."""
+    rng = np.random.default_rng(2)
+    for least in (80, 85):
+        bands = jaccard.Bands(least)
+        for size in (8, 13, 30, 100, 333, 900):
+            apart = 2 * size * (100 - least) // (100 + least)
+            for _ in range(60):
+                x = np.unique(rng.integers(0, 2**63, size=size, dtype=np.uint64))
+                y = np.unique(np.concatenate([x[apart // 2 :], rng.integers(0, 2**63, size=apart - apart // 2, dtype=np.uint64)]))
+                both = len(np.intersect1d(x, y))
+                if 100 * both >= least * (len(x) + len(y) - both):
+                    assert set(bands.keys(x).tolist()) & set(bands.keys(y).tolist()) or np.array_equal(x, y)

@@ -33,8 +33,10 @@ SHINGLE = 4
 LEAST = 85
 #: Words of 64 bits in the sketch that pairs are filtered with, and in its folded form.
 SKETCH, FOLDED = 64, 16
+#: Layouts that a set with many empty words is tried in.
+LAYOUTS = 12
 #: Entries of a task's memory of word hashes; it is emptied when full.
-MEMORY = 400_000
+MEMORY = 100_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -96,25 +98,32 @@ class Bands:
             if band >= 0 and (band == own or 100 * n >= self.least * self.starts[band]):
                 top = self.starts[band + 1] - 1
                 d = 2 * top * (100 - self.least) // (100 + self.least)
-                spare = 1 + d // 20
+                spare = 2 + d // 12
                 yield band, d + 1 + spare, spare
 
     def keys(self, shingles: np.ndarray) -> np.ndarray:
         """Bucket keys of a set.
 
-        Linked sets agree on more words than ``spare``. Words that are 0 are left out unless a
-        set has more than ``spare`` of them: if one of two linked sets has not, they agree on another word.
+        Linked sets agree on more words than ``spare``, in any layout. Words that are 0 are equal for sets that have nothing
+        in common, so they are no keys: if one of two linked sets has ``spare`` of them at most, the two agree on another
+        word. A set with more of them is laid out once more by other hashes, and so on: two linked sets go through
+        the same layouts up to the first in which one of them has few, and meet there. In the last of LAYOUTS, which
+        hardly any set reaches, words that are 0 count as well.
         """
         out = []
         for band, words, spare in self.schemes(len(shingles)):
-            h = _mix(shingles + np.uint64((band + 1) * 0xD1B54A32D192ED03 % 2**64))
-            part = ((h >> np.uint64(32)) * np.uint64(words)) >> np.uint64(32)
-            sketch = np.zeros(words, dtype=np.uint64)
-            np.bitwise_xor.at(sketch, part.astype(np.int64), _mix(h ^ np.uint64(0x8CB92BA72F3D8DD7)))
-            place = np.arange(words, dtype=np.uint64) + np.uint64(band << 40)
-            key = _mix(sketch ^ _mix(place + np.uint64(0x2545F4914F6CDD1D)))
-            zero = sketch == 0
-            out.append(key if zero.sum() > spare else key[~zero])
+            for layout in range(LAYOUTS):
+                h = _mix(shingles + np.uint64(((layout << 20) + band + 1) * 0xD1B54A32D192ED03 % 2**64))
+                part = ((h >> np.uint64(32)) * np.uint64(words)) >> np.uint64(32)
+                sketch = np.zeros(words, dtype=np.uint64)
+                np.bitwise_xor.at(sketch, part.astype(np.int64), _mix(h ^ np.uint64(0x8CB92BA72F3D8DD7)))
+                place = np.arange(words, dtype=np.uint64) + np.uint64((band << 40) + (layout << 32))
+                key = _mix(sketch ^ _mix(place + np.uint64(0x2545F4914F6CDD1D)))
+                zero = sketch == 0
+                few = zero.sum() <= spare
+                out.append(key if layout == LAYOUTS - 1 and not few else key[~zero])
+                if few:
+                    break
         return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 

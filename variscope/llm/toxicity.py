@@ -25,7 +25,7 @@ from variscope.llm.common import held_out, labelled_sample, map_column, pool_adj
 from variscope.session import cut
 
 #: Entries of a task's memory of windows already compressed; it is emptied when full.
-MEMORY = 200_000
+MEMORY = 60_000
 
 
 @dataclass(frozen=True)
