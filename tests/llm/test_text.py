@@ -108,6 +108,40 @@ def test_trees_add_spans_like_those_they_know(spark):
     assert got[5000] == "phone:11:25"
 
 
+def test_spelled_out_forms_are_added_and_redacted(spark):
+    """As frequent as the plain forms; broken ones stay out."""
+    rng = np.random.default_rng(6)
+
+    def luhn(digits):
+        total = sum(d if i % 2 else (d * 2 - 9 if d > 4 else d * 2) for i, d in enumerate(digits))
+        return [*digits, -total % 10]
+
+    plain, loose, broken = [], [], []
+    for i in range(200):
+        user, host = f"u{chr(97 + i % 26)}{i}", f"mail{i % 7}.example{i % 5}.org"
+        ip = [int(x) for x in rng.integers(1, 256, 4)]
+        card = "".join(map(str, luhn([4, *(int(x) for x in rng.integers(0, 10, 14))])))
+        wrong = card[:-1] + str((int(card[-1]) + 3) % 10)
+        phone = [str(rng.integers(200, 999)), str(rng.integers(200, 999)), f"{rng.integers(0, 9999):04d}"]
+        dotted = ".".join(map(str, ip))
+        plain += [f"write to {user}@{host} today", f"server ip {dotted} is up", f"paid with card {card} here", "call phone +1 (%s) %s-%s now" % tuple(phone)]
+        at, dot = [("(at)", "."), (" (at) ", " dot "), ("[at]", "[dot]"), (" at ", " dot ")][i % 4]
+        loose += [f"write to {user}{at}{host.replace('.', dot)} today", f"server ip {dotted.replace('.', ['[.]', '(.)'][i % 2])} is up",
+                  f"paid with card {card[:4]}.{card[4:8]}.{card[8:12]}.{card[12:]} here", ["call phone %s-%s-%s now", "call phone (%s) %s-%s now", "call phone %s.%s.%s now"][i % 3] % tuple(phone)]
+        broken += [f"paid with card {wrong[:4]}.{wrong[4:8]}.{wrong[8:12]}.{wrong[12:]} here", f"server ip {900 + i % 90}[.]{ip[1]}[.]{ip[2]}[.]{ip[3]} is up"]
+    rows = [(i, t) for i, t in enumerate(plain + loose + broken)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["spans"] for r in personal.find_personal(df).select("doc_id", personal.written(F.col("spans")).alias("spans")).collect()}
+    first, last = len(plain), len(plain) + len(loose)
+    for kind, name in enumerate(["email", "ip", "card", "phone"]):
+        ids = range(first + kind, last, 4)
+        assert sum(got[i].startswith(name + ":") for i in ids) >= 0.9 * len(ids), name
+    added = [i for i in range(last, len(rows)) if got[i]]
+    assert len(added) <= 0.02 * len(broken)
+    clean = {r["doc_id"]: r["text"] for r in personal.redact(df).collect()}
+    assert sum(any(f"<{k}>" in clean[i] for k in ("EMAIL", "IP", "CARD", "PHONE")) for i in range(first, last)) >= 0.9 * len(loose)
+
+
 def test_licences(spark, odd, none):
     texts = {
         1: "Intro. Licensed under the Apache License, Version 2.0.\nYou may obtain a copy of the License at http.", 2: "All rights reserved.", 3: None,
