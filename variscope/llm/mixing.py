@@ -125,11 +125,15 @@ def _with_plan(facts: DataFrame, plan: DataFrame) -> DataFrame:
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with all columns of ``docs``.
 
-    Documents meet their number of copies by id and sampling key; repeated rows are the same in both, so
-    their copies are averaged up: each of n equal rows comes ceil(total / n) times at most.
+    Documents meet their number of copies by id and sampling key, which rows equal in id and text share: such
+    rows get, together, the copies that the mix takes of them, dealt out evenly.
     """
     columns = docs.columns
-    counted = mix(docs, **options).where("copies > 0").groupBy("doc_id", "key").agg(F.max("copies").alias("copies"))
+    counted = mix(docs, **options).groupBy("doc_id", "key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
     rows = carried(docs, _id=F.col("doc_id"), _key=sampling_key(F.col("doc_id"), F.col("text")))
     joined = rows.join(counted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key")))
-    return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(*[F.col(f"_row.`{c}`") for c in columns])
+    lone = joined.where("rows = 1").select("_row", F.col("copies").alias("_n"))
+    number = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("copies"))
+    even = F.floor(F.col("copies") / F.col("rows")) + (number <= F.col("copies") % F.col("rows")).cast("long")
+    taken = lone.unionByName(joined.where("rows > 1").select("_row", even.alias("_n"))).where("_n > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy")).select(*[F.col(f"_row.`{c}`") for c in columns])
