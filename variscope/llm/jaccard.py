@@ -33,6 +33,8 @@ SHINGLE = 4
 LEAST = 85
 #: Words of 64 bits in the sketch that pairs are filtered with, and in its folded form.
 SKETCH, FOLDED = 64, 16
+#: Shingles up to which the folded sketch tells sets apart.
+LARGE = 900
 #: Layouts that a set with many empty words is tried in.
 LAYOUTS = 12
 #: Entries of a task's memory of word hashes; it is emptied when full.
@@ -230,10 +232,19 @@ def linked_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
 
     placed = members.join(joined, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     split = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high and m > 2").select("key")
-    apart = placed.join(split, "key", "left_semi").join(_folded(facts), "rep")
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _could_link(least, FOLDED))
-    second = cut(near(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")))
+    apart = placed.join(split, "key", "left_semi")
+
+    def unlinked(sketched: DataFrame, width: int, sizes: Column) -> DataFrame:
+        found = apart.join(sketched, "rep")
+        x, y = found.alias("x"), found.alias("y")
+        other = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
+        return x.join(y, other & sizes & _could_link(least, width)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+    # A folded sketch of a large set is half ones whatever the set, and tells nothing: pairs with a large set are told apart by the whole one.
+    larger = F.greatest("x.n", "y.n")
+    rest = unlinked(_folded(facts.where(F.col("n") <= LARGE)), FOLDED, larger <= LARGE).unionByName(
+        unlinked(facts.where(F.col("n") * 100 >= LARGE * least), SKETCH, larger > LARGE))
+    second = cut(near(rest.distinct().join(first, ["a", "b"], "left_anti")))
     joined = components(links.unionByName(_verified(second, plain, least, shingle)))
 
     per_class = classes.join(joined, F.col("rep") == F.col("id"), "left").select(
