@@ -33,7 +33,7 @@ from tokenizers import Tokenizer
 from variscope.llm.common import map_column
 
 #: Entries of a task's memory of chunks already encoded; it is emptied when full.
-MEMORY = 300_000
+MEMORY = 100_000
 #: White space between chunks that are encoded apart (ASCII; part of no token).
 GAP = re.compile("[\t-\r ]+")
 #: Texts of ASCII and the Latin letters from U+00C0 to U+00FF: composed, and lower-cased letter by letter.
@@ -265,6 +265,13 @@ def encoder_of(path: str) -> Encoder:
     return _encoders[path]
 
 
+def arc_labels(path: str) -> dict[int, str]:
+    """What the arc of each token emits, special tokens included."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+
+
 def encode_bpe(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the token ids of each whole text (array<int>); null counts as empty.
 
@@ -286,10 +293,13 @@ def encode_bpe(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -
 
 
 def decode_bpe(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``df`` with the labels of the arcs in ``ids``, joined by one space; null ids give an empty text."""
+    """``df`` with the labels of the arcs in ``ids``, joined by one space; null ids give an empty text.
+
+    Needs the labels of the automaton only, not its tables.
+    """
 
     def make():
-        by_id = encoder_of(path).labels
+        by_id = arc_labels(path)
         labels = pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.string())
 
         def work(rows: pa.ListArray):
