@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from variscope.plans.scan import Run, scan
+from variscope.plans.skew import lookup
+from variscope.session import cut
 
 
 def write_lines(rows: DataFrame, path: str, ids: list[str], order: list[str], column: str = "line") -> None:
@@ -16,6 +20,18 @@ def write_lines(rows: DataFrame, path: str, ids: list[str], order: list[str], co
     ).mode("overwrite").text(path)
 
 
+def placed_lines(rows: DataFrame) -> DataFrame:
+    """(name, line, place) of documents read (name, part, at, line): place counts the lines of a document from 1.
+
+    Lines before a part are summed up from one row for each part, so a long document stays spread.
+    """
+    parts = cut(rows.groupBy("name", "part").agg(F.count(F.lit(1)).alias("_n")))
+    parts = scan(parts, ["name"], "part", [Run("_upto", "sum", F.col("_n"))]).select("name", "part", (F.col("_upto") - F.col("_n")).alias("_before"))
+    ordered = Window.partitionBy("name", "part").orderBy("at")
+    numbered = rows.withColumn("_i", F.row_number().over(ordered).cast("bigint"))
+    return lookup(numbered, parts, ["name", "part"], how="inner").select("name", "line", (F.col("_before") + F.col("_i")).alias("place"))
+
+
 def write_reports(rows: DataFrame, path: str) -> None:
     """Defect reports by kind and suffix."""
     rows.write.partitionBy("kind", "suffix").mode("overwrite").parquet(path)

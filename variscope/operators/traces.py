@@ -71,6 +71,12 @@ def split_by_module(offsets: DataFrame) -> DataFrame:
     return offsets.groupBy(F.coalesce("module", F.lit("unknown")).alias("module")).agg(F.count(F.lit(1)).alias("n_addrs"))
 
 
+def module_lines(offsets: DataFrame) -> DataFrame:
+    """(module, addr, line): what a module's document lists, offsets, or bare addresses for ``unknown``."""
+    shown = F.when(F.col("module").isNull(), F.col("addr")).otherwise(F.col("module_off"))
+    return offsets.select(F.coalesce("module", F.lit("unknown")).alias("module"), "addr", shown.cast("string").alias("line"))
+
+
 def common_prefix(paths: DataFrame, n: int) -> DataFrame:
     """One row: longest directory prefix shared by the first ``n`` paths (by seq).
 

@@ -8,6 +8,7 @@ from variscope.functions import lines as L
 from variscope.plans.scan import SEGMENT, Run, scan
 from variscope.plans.skew import lookup
 from variscope.session import cut
+from variscope.sources.documents import read_documents
 
 STEM = r"([^/]+?)(?:\.[^./]*)?$"
 
@@ -59,12 +60,17 @@ def _text(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
     )
 
 
-def read_model(spark: SparkSession, path, keyword: str) -> DataFrame:
+def _of_archs(spark: SparkSession, path: str, suffix: str, archs: list[str] | None) -> DataFrame:
+    """(stem, line, at, id) of the documents with a suffix; other architectures' files are not opened."""
+    return read_documents(spark, path, suffix, archs).select(F.col("name").alias("stem"), "line", F.col("part").alias("at"), F.col("at").alias("id"))
+
+
+def read_model(spark: SparkSession, path: str, keyword: str, archs: list[str] | None = None) -> DataFrame:
     """(arch, symbol, formula): ``SYMBOL "formula"`` lines, the first line of a symbol wins.
 
-    ``keyword`` is the word with which the files start lines of meta data.
+    ``keyword`` is the word with which the files start lines of meta data; ``archs`` are those to read, else all.
     """
-    rows = _text(spark, path, "*.model").filter(~F.col("line").rlike(r"^(I:|\s*$|#)") & ~F.col("line").startswith(keyword))
+    rows = _of_archs(spark, path, ".model", archs).filter(~F.col("line").rlike(r"^(I:|\s*$|#)") & ~F.col("line").startswith(keyword))
     parsed = rows.select(
         F.col("stem").alias("arch"), F.regexp_extract("line", r"^(\S+)", 1).alias("symbol"),
         F.regexp_extract("line", r'^\S+\s+"(.*)"\s*$', 1).alias("formula"), "at", "id",
@@ -72,9 +78,9 @@ def read_model(spark: SparkSession, path, keyword: str) -> DataFrame:
     return parsed.groupBy("arch", "symbol").agg(F.min_by("formula", F.struct("at", "id")).alias("formula"))
 
 
-def read_model_meta(spark: SparkSession, path, keyword: str) -> DataFrame:
+def read_model_meta(spark: SparkSession, path: str, keyword: str, archs: list[str] | None = None) -> DataFrame:
     """(arch, key, value): every value of ``<keyword> key values...``, once per key."""
-    rows = _text(spark, path, "*.model").filter(F.col("line").startswith(f"{keyword} "))
+    rows = _of_archs(spark, path, ".model", archs).filter(F.col("line").startswith(f"{keyword} "))
     words = F.split(F.trim("line"), r"\s+")
     return rows.select(
         F.col("stem").alias("arch"), F.get(words, F.lit(1)).alias("key"), F.explode(F.slice(words, F.lit(3), F.size(words))).alias("value")
@@ -94,8 +100,9 @@ def relations(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_relations(spark: SparkSession, path) -> DataFrame:
-    return relations(_text(spark, path, "*.{rsf,fm}").select(F.col("stem").alias("arch"), "line"))
+def read_relations(spark: SparkSession, path: str, archs: list[str] | None = None) -> DataFrame:
+    dumps = _of_archs(spark, path, ".rsf", archs).unionByName(_of_archs(spark, path, ".fm", archs))
+    return relations(dumps.select(F.col("stem").alias("arch"), "line"))
 
 
 def symbol_types(rel: DataFrame) -> DataFrame:
@@ -103,17 +110,18 @@ def symbol_types(rel: DataFrame) -> DataFrame:
     return rel.filter(F.col("relation") == "Item").select("arch", F.col("item").alias("symbol"), F.get("args", F.lit(0)).alias("type"))
 
 
-def read_symbol_types(spark: SparkSession, path) -> DataFrame:
-    return symbol_types(read_relations(spark, path))
+def read_symbol_types(spark: SparkSession, path: str, archs: list[str] | None = None) -> DataFrame:
+    return symbol_types(read_relations(spark, path, archs))
 
 
-def read_clauses(spark: SparkSession, path) -> dict[str, DataFrame]:
+def read_clauses(spark: SparkSession, path: str, archs: list[str] | None = None) -> dict[str, DataFrame]:
     """Variables, symbol types, meta values and literals of clause files.
 
     A clause ends at ``0`` wherever that stands; the clause number is the running count
     of zeros before a literal.
     """
-    lines = cut(numbered_lines(spark, path, "*.cnf").withColumn("model", F.regexp_extract("path", STEM, 1)))
+    place = (F.col("at").cast("bigint") * (1 << 40) + F.col("id")).alias("line_no")  # part, then offset
+    lines = cut(_of_archs(spark, path, ".cnf", archs).select(F.col("stem").alias("model"), F.col("line").alias("txt"), place))
     words = F.split(F.trim("txt"), r"\s+")
     notes = lines.filter(F.col("txt").startswith("c ")).select("model", words.alias("w"))
     var = notes.filter(F.get("w", F.lit(1)) == "var").select(
@@ -215,14 +223,14 @@ def read_tool_messages(spark: SparkSession, path) -> DataFrame:
     return rows.select(F.regexp_extract("path", STEM, 1).alias("config_id"), F.col("line_no").alias("seq"), F.col("txt").alias("line"))
 
 
-def read_model_dir(spark: SparkSession, path, keyword: str) -> dict[str, DataFrame]:
+def read_model_dir(spark: SparkSession, path: str, keyword: str, archs: list[str] | None = None) -> dict[str, DataFrame]:
     """All models of a folder: architecture is the file stem, a ``.model`` beats a ``.cnf``."""
-    model = read_model(spark, path, keyword)
-    clauses = read_clauses(spark, path)
-    archs = model.select(F.col("arch").alias("model")).distinct()
+    model = read_model(spark, path, keyword, archs)
+    clauses = read_clauses(spark, path, archs)
+    modelled = model.select(F.col("arch").alias("model")).distinct()
     return {
-        "model": model, "meta": read_model_meta(spark, path, keyword),
-        **{name: df.join(archs, "model", "left_anti") for name, df in clauses.items()},
+        "model": model, "meta": read_model_meta(spark, path, keyword, archs),
+        **{name: df.join(modelled, "model", "left_anti") for name, df in clauses.items()},
     }
 
 
