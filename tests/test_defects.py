@@ -214,3 +214,26 @@ def test_scope(spark):
                                    "file_id long, block_no long, suffix string, arch string, state string, is_main boolean, specific boolean")
     got = {(r.file_id, r.kind, r.arch, r.is_global) for r in D.defect_scope(states).collect()}
     assert got == {(1, "kconfig", "x", True), (2, "kconfig", "a", False), (3, "missing", "x", False), (4, "code", "x", True)}
+
+
+def test_tree_of_defects_is_one_document_for_each_top_directory(spark):
+    import json
+
+    paths = ["a/x.c", "a/b/y.c", "a/b-c/z.c", "a/b/c/d/w.c", 'q"t/e.c', "lone.c"]
+    files = spark.createDataFrame(list(enumerate(paths)), "file_id long, path string")
+    spots = [(f, b) for f in range(len(paths)) for b in range(0, 3 + f % 2)]
+    blocks = spark.createDataFrame([(f, b, 10 * b + 1, 10 * b + 5) for f, b in spots], "file_id long, block_no long, start_line long, end_line long")
+    defects = spark.createDataFrame([(f, b, "code", "dead") for f, b in spots if b != 1 or f == 3], "file_id long, block_no long, kind string, suffix string")
+    want = {}
+    for r in sorted(defects.collect()):
+        *dirs, name = paths[r["file_id"]].split("/")
+        at = want.setdefault(dirs[0] if dirs else "", {})
+        for d in dirs[1:]:
+            at = at.setdefault(d, {})
+        at.setdefault(name, []).append({"start_line": 10 * r["block_no"] + 1, "end_line": 10 * r["block_no"] + 5, "kind": "code", "suffix": "dead"})
+    from variscope.operators.defects import defect_tree_json
+
+    pieces = sorted(defect_tree_json(defects, blocks, files).collect(), key=lambda r: (r["path"], r["block_no"]))
+    got = {top: json.loads("".join(r["piece"] for r in pieces if r["top"] == top)) for top in {r["top"] for r in pieces}}
+    assert got == want
+    assert defect_tree_json(defects.limit(0), blocks, files).count() == 0

@@ -272,7 +272,20 @@ def _(t):
     return D.defects_by_directory(observed_defects(t), t.source_file)
 
 
-@query("defect_tree_json")
+@query("defect_tree_json", """
+with r as (select s.path, d.block_no, string_split(s.path, '/') p, string_split(s.path, '/')[1] top,
+    '{"start_line":' || b.start_line || ',"end_line":' || b.end_line || ',"kind":"' || d.kind || '","suffix":"' || d.suffix || '"}' entry
+  from v_defect d join v_source_file s using (file_id) join v_block b using (file_id, block_no)),
+w as (select *, lag(p) over o before, lead(p) over o after from r window o as (partition by top order by path, block_no)),
+n as (select *, len(p) depth,
+    coalesce(len(list_filter(range(1, len(p) + 1), lambda i: before[1:i] = p[1:i])), 0) same_before,
+    coalesce(len(list_filter(range(1, len(p) + 1), lambda i: after[1:i] = p[1:i])), 0) same_after from w)
+select top, path, block_no,
+  case when before is null then '' else ',' end
+  || coalesce(array_to_string(list_transform(range(same_before + 1, depth + 1),
+    lambda i: case when i = 1 then '{' else '"' || p[i] || '":' || case when i = depth then '[' else '{' end end), ''), '')
+  || entry || case when same_after < depth then ']' else '' end || repeat('}', greatest(depth - 1 - same_after, 0)::int) piece
+from n""")
 def _(t):
     return D.defect_tree_json(observed_defects(t), t.blocks, t.source_file)
 
