@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from variscope.catalog import views  # noqa: F401
-from variscope.catalog import blocks, clauses, configs, messages, models, readers, relations, requirements  # noqa: F401
+from variscope.catalog import blocks, clauses, configs, messages, models, readers, relations, requirements, streams  # noqa: F401
 from variscope.catalog.base import QUERIES, SQL, Tables, compose
 
 

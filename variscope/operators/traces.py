@@ -152,3 +152,16 @@ def late_events(events: DataFrame, delay: str = "10 minutes", bucket: str = "1 m
     seen = lookup(rows.withColumn("_m", F.max("ts").over(inside)), carry.select("_seg", "_c"), ["_seg"])
     mark = F.greatest("_m", "_c") - F.expr(f"interval {delay}")
     return seen.filter(F.col("ts") < mark).select("event_id", "ts")
+
+
+def late_by_batch(events: DataFrame, delay: str = "10 minutes", lag: int = 2) -> DataFrame:
+    """Events (event_id, ts, batch) behind the watermark that their micro-batch sees: the batch twin of a stream.
+
+    A micro-batch drops what isn't later than the largest time of the batches up to ``lag`` before it less ``delay``: Spark
+    holds rows against the watermark of the batch before, which that batch had from the ones before itself.
+    """
+    tops = cut(events.groupBy("batch").agg(F.max(F.col("ts").cast("timestamp")).alias("_top")))
+    seen = tops.select(F.col("batch").alias("_b"), F.col("_top").alias("_t"))  # a row for each micro-batch
+    marks = tops.join(seen, F.col("_b") <= F.col("batch") - lag).groupBy("batch").agg(F.max("_t").alias("_t"))
+    met = lookup(events.withColumn("ts", F.col("ts").cast("timestamp")), marks, ["batch"], how="inner")
+    return met.filter(F.col("ts") <= F.col("_t") - F.expr(f"interval {delay}")).select("event_id", "ts", "batch")
