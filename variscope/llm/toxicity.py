@@ -1,10 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are learned: one on ordinary text, one on that text and the passages
-of toxic documents that ordinary documents lack. Every word of a text is a window; it is
-compressed with either dictionary. A window that gets shorter with the toxic dictionary by
-``gain`` bytes or more counts as a hit, and the hits for each window, damped for
-short texts, are calibrated to a probability on labelled rows that trained no dictionary.
+Two dictionaries are trained by zstandard: one on passages of ordinary documents, drawn from
+anywhere in their whole texts, one on passages of toxic documents. What ordinary documents
+have too says nothing about toxicity, so a toxic passage is what is left of a whole text when
+the words without a telling 5-gram are taken out; 5-grams are counted by label in Spark.
+
+Every word of a text is a window; it is compressed with either dictionary. A window that gets
+shorter with the toxic dictionary by ``gain`` bytes or more counts as a hit, and the hits for
+each window, damped for short texts, are calibrated to a probability on labelled rows that
+trained no dictionary.
 
 zstandard stores a block raw unless compression saves a few bytes. A window is therefore
 compressed as ``repeats`` copies of the word: the copies pay for the block's head in both
@@ -14,7 +18,6 @@ dictionaries, and the difference in length is what the dictionary knows about th
 from __future__ import annotations
 
 import bisect
-from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -52,7 +55,8 @@ class _Gains(dict):
     def __init__(self, ordinary: bytes, toxic: bytes, repeats: int) -> None:
         super().__init__()
         plain = dict(write_content_size=False, write_checksum=False, write_dict_id=False)
-        p = zs.ZstdCompressionParameters(window_log=16, chain_log=13, hash_log=13, search_log=6, min_match=4, target_length=64, strategy=zs.STRATEGY_GREEDY, **plain)
+        log = max(13, (len(ordinary) + len(toxic)).bit_length())  # tables that hold the whole of both dictionaries
+        p = zs.ZstdCompressionParameters(window_log=log + 3, chain_log=log, hash_log=log, search_log=6, min_match=4, target_length=64, strategy=zs.STRATEGY_GREEDY, **plain)
         raw = [zs.ZstdCompressionDict(b, dict_type=zs.DICT_TYPE_RAWCONTENT) for b in (ordinary, ordinary + toxic)]
         self.by_ordinary, self.by_toxic = (zs.ZstdCompressor(compression_params=p, dict_data=d).compress for d in raw)
         self.repeats = repeats
@@ -71,62 +75,69 @@ def _evidence(text: str | None, gains: _Gains, gain: int, damping: int) -> tuple
     return hits / (len(words) + damping), hits
 
 
+def _trained(passages: list[bytes], size: int, **how: int) -> bytes:
+    """A dictionary of about ``size`` bytes; the passages themselves where zstandard finds too few to train on."""
+    try:
+        return zs.train_dictionary(max(256, size), passages, **how).as_bytes()
+    except zs.ZstdError:
+        return b"".join(passages)[:size]
+
+
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int = 20_000, share: float = 0.02, contrast: float = 0.02,
-    ordinary_bytes: int = 4096, toxic_bytes: int = 8192, gain: int = 3, repeats: int = 3, damping: int = 60,
+    passage: int = 600, ordinary_bytes: int = 4096, gain: int = 3, repeats: int = 3, damping: int = 60,
 ) -> ToxicityModel:
     """Learn dictionaries and calibration from at most ``sample`` labelled rows.
 
-    The sample is worked off as a stream of rows: the driver keeps word counts of it, not
-    its texts at once. A quarter of the rows, chosen by a hash of the id, learns no
-    dictionary and calibrates. A passage is toxic when a 5-gram of it is in ``share`` of the
-    toxic documents at least and ``contrast`` times as often, at most, in the others.
+    A quarter of the rows, chosen by a hash of the id, trains no dictionary and calibrates. Every
+    other ordinary row gives one passage of ``passage`` characters, from a place chosen by a hash of
+    its id; every other toxic row gives the distinct words of its whole text that hold a
+    telling 5-gram: one in ``share`` of the toxic rows at least and ``contrast`` times
+    as often, at most, in the ordinary ones. The toxic dictionary is as long as these words together. Counting
+    runs in Spark; the driver gets the telling 5-grams, the passages (``sample`` times ``passage``
+    characters at most) and one number for each calibrating row.
     Without labelled rows of both kinds the model scores every text 0.
     """
-    rows = labelled_sample(docs, labels, label, sample)
-
-    def bags(text: str) -> dict[str, int]:
-        return dict(Counter(text.lower().split()))
-
-    as_bags = cut(map_column(
-        rows, "text", lambda: lambda texts: {"bag": pa.array([list(bags(t).items()) for t in texts], pa.map_(pa.string(), pa.int32()))},
-        pa.schema([("bag", pa.map_(pa.string(), pa.int32()))]),
-    ).select("doc_id", "label", "bag", F.when(F.col("label") == 0, F.substring("text", 1, 600)).alias("passage")))
-    grams: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    seen: Counter = Counter()
-    words: Counter = Counter()
-    passages: list[bytes] = []
     part = F.pmod(F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary")), F.lit(4))
-    for row in as_bags.where(part > 0).orderBy("doc_id").toLocalIterator(prefetchPartitions=False):
-        kind = int(row["label"] > 0)
-        seen[kind] += 1
-        grams[kind].update({g for w in row["bag"] for g in _grams(w)})
-        if kind:
-            words.update(row["bag"])
-        elif len(passages) < 4000:
-            passages.append(row["passage"].lower().encode())
-    toxic = set()
-    if seen[0] and seen[1]:
-        least = max(2, share * seen[1])
-        toxic = {g for g, n in grams[1].items() if n >= least and (grams[0][g] + 0.5) / seen[0] < contrast * n / seen[1]}
-    found = sorted((n, w) for w, n in words.items() if _grams(w) & toxic)
-    learned = b"".join(f" {w} ".encode() for _, w in found)[-toxic_bytes:]
-    try:
-        ordinary = zs.train_dictionary(ordinary_bytes, passages, k=32, d=6).as_bytes()[-(ordinary_bytes * 7 // 8) :]
-    except zs.ZstdError:  # too few texts to train on
-        ordinary = b" ".join(passages)[:ordinary_bytes] or b" "
-    if not learned:
+    rows = cut(labelled_sample(docs, labels, label, sample).withColumn("label", (F.col("label") > 0).cast("int")).withColumn("part", part))
+    fit = rows.where("part > 0")
+
+    def grams(texts: list[str]) -> dict[str, pa.Array]:
+        found = [sorted(set().union(*map(_grams, set(t.lower().split())))) for t in texts]
+        return {"gram": pa.array(found, pa.list_(pa.string()))}
+
+    seen = {r["label"]: r["count"] for r in fit.groupBy("label").count().collect()}
+    place = F.pmod(F.xxhash64(F.lit("passage"), "doc_id"), F.greatest(F.length("text") - passage, F.lit(0)) + 1) + 1
+    drawn = fit.where("label = 0").orderBy("doc_id").select(F.substr("text", place.cast("int"), F.lit(passage)).alias("p"))
+    passages = [r["p"].lower().encode() for r in drawn.collect()]
+    ordinary = _trained(passages, ordinary_bytes, k=32, d=6)[-(ordinary_bytes * 7 // 8) :] or b" "
+    if len(seen) < 2:
+        return ToxicityModel(ordinary, b"", gain, repeats, damping, (0.0, 1.0), (0.0, 0.0))
+    least = max(2, share * seen[1])
+    counts = (
+        map_column(fit.select("label", "text"), "text", lambda: grams, pa.schema([("gram", pa.list_(pa.string()))]))
+        .select("label", F.explode("gram").alias("gram")).groupBy("gram")
+        .agg(F.sum("label").alias("n"), F.sum(1 - F.col("label")).alias("others"))
+    )
+    telling = {r["gram"] for r in counts.where((F.col("n") >= least) & ((F.col("others") + 0.5) / seen[0] < contrast * F.col("n") / seen[1])).collect()}
+
+    def told(texts: list[str]) -> dict[str, pa.Array]:
+        return {"told": pa.array([[w for w in dict.fromkeys(t.lower().split()) if _grams(w) & telling] for t in texts], pa.list_(pa.string()))}
+
+    toxic_rows = map_column(fit.where("label = 1").select("doc_id", "text"), "text", lambda: told, pa.schema([("told", pa.list_(pa.string()))]))
+    left = [r["told"] for r in toxic_rows.where(F.size("told") > 0).orderBy("doc_id").select("told").collect()]
+    if not left:
         return ToxicityModel(ordinary, b"", gain, repeats, damping, (0.0, 1.0), (0.0, 0.0))
-    gains, points = _Gains(ordinary, learned, repeats), []
-    for row in as_bags.where(part == 0).orderBy("doc_id").toLocalIterator(prefetchPartitions=False):
-        hits = sum(n for w, n in row["bag"].items() if gains[w] >= gain)
-        points.append((hits / (sum(row["bag"].values()) + damping), int(row["label"] > 0)))
-    points.sort()
+    size = sum(len(w.encode()) + 2 for w in set().union(*left))
+    toxic = _trained([f" {' '.join(words)} ".encode() for words in left], size, k=64, d=8)
+    raw = ToxicityModel(ordinary, toxic, gain, repeats, damping, (0.0, 1.0), (0.0, 1.0))
+    scored = score_toxicity(rows.where("part = 0").select("label", "text"), raw).select("tox_evidence", "label").collect()
+    points = sorted((r["tox_evidence"], r["label"]) for r in scored)
     width = max(1, len(points) // 200)
     groups = [points[i : i + width] for i in range(0, len(points), width)]
-    size = [len(g) for g in groups]
-    knots, rates = pool_adjacent([sum(p[0] for p in g) / len(g) for g in groups], [sum(p[1] for p in g) for g in groups], size)
-    return ToxicityModel(ordinary, learned, gain, repeats, damping, (0.0, *knots, 1.0), (0.0, *rates, 1.0))
+    counted = [len(g) for g in groups]
+    knots, rates = pool_adjacent([sum(p[0] for p in g) / len(g) for g in groups], [sum(p[1] for p in g) for g in groups], counted)
+    return ToxicityModel(ordinary, toxic, gain, repeats, damping, (0.0, *knots, 1.0), (0.0, *rates, 1.0))
 
 
 def calibrated(x: float, knots: tuple[float, ...], rates: tuple[float, ...]) -> float:
