@@ -222,6 +222,29 @@ def _(t):
     return Y.symbol_union_approx(t.file_uses)
 
 
+@query("symbols_by_arch_sketch", """
+select arch, count(distinct symbol) n_exact, true as near_exact from v_file_use group by arch
+union all select '', count(distinct symbol), true from v_file_use""")
+def _(t):
+    each = Y.symbol_sketches(t.file_uses, ["arch"])
+    all_of_them = Y.merge_sketches(each.withColumn("arch", F.lit("")), ["arch"])
+    uses = t.file_uses.select("arch", "symbol")
+    exact = uses.unionByName(uses.withColumn("arch", F.lit(""))).groupBy("arch").agg(F.count_distinct("symbol").alias("n_exact"))
+    return Y.within_error(Y.sketched_counts(each.unionByName(all_of_them)), exact, ["arch"])
+
+
+@query("symbols_by_tree_sketch", r"""
+with n as (select distinct string_split(regexp_replace(path, '/[^/]*$', ''), '/') p,
+  unnest(regexp_extract_all(txt, '(?:^|[^A-Za-z0-9_])CONFIG_([A-Za-z0-9_]+)', 1)) symbol
+  from v_source_line join v_source_file using (file_id)),
+d as (select p, symbol, unnest(range(0, len(p) + 1)) i from n)
+select array_to_string(p[1:i], '/') dir, count(distinct symbol) n_exact, true as near_exact from d group by 1""")
+def _(t):
+    named = Y.build_symbols_by_dir(build_lines(t), t.model_symbol.select("symbol").where("false"))
+    exact = Y.with_parents(named).groupBy("dir").agg(F.count_distinct("symbol").alias("n_exact"))
+    return Y.within_error(Y.symbols_below(named), exact, ["dir"])
+
+
 @query("read_worklist", "select path from v_source_file where file_id % 5 <> 3")
 def _(t):
     return S.worklist(t.worklist_line, t.source_file)

@@ -8,6 +8,9 @@ from variscope.functions import lines as L
 from variscope.plans.skew import lookup
 from variscope.session import cut
 
+#: Registers of a sketch as a power of two, and four standard errors (1.04 / sqrt of the registers) of a merged one.
+SKETCH_BITS = 12
+SKETCH_ERROR = 4 * 1.04 / 2 ** (SKETCH_BITS / 2)
 IN_BUILD_FILE = r"(?:^|[^A-Za-z0-9_])CONFIG_([A-Za-z0-9_]+)"
 
 
@@ -73,6 +76,45 @@ def symbol_union_approx(symbols: DataFrame) -> DataFrame:
     return symbols.agg(F.approx_count_distinct("symbol").alias("n_symbols"))
 
 
+def symbol_sketches(symbols: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ``sketch``): a mergeable sketch of the distinct symbols of each key, 4 kB at most however many rows it saw.
+
+    Null symbols count nothing; a null key is a key of its own.
+    """
+    return symbols.groupBy(*keys).agg(F.hll_sketch_agg("symbol", F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ``sketch``): sketches merged, without counting their symbols again."""
+    return sketches.groupBy(*keys).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketched_counts(sketches: DataFrame) -> DataFrame:
+    """``n_symbols`` in place of the sketch; off by at most ``SKETCH_ERROR`` of the count (four standard errors)."""
+    return sketches.withColumn("n_symbols", F.hll_sketch_estimate("sketch")).drop("sketch")
+
+
+def with_parents(rows: DataFrame, of: str = "dir") -> DataFrame:
+    """Each row once for its directory and once for every directory above, the empty one at the top included."""
+    parts = F.split(of, "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    return rows.withColumn(of, F.explode(F.array_distinct(above)))
+
+
+def symbols_below(named: DataFrame) -> DataFrame:
+    """(dir, n_symbols): about how many symbols each directory and all below it name.
+
+    Symbols are read once, for the directory that names them; upwards only sketches travel.
+    """
+    return sketched_counts(merge_sketches(with_parents(symbol_sketches(named, ["dir"])), ["dir"]))
+
+
+def within_error(counted: DataFrame, exact: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_exact, near_exact): whether the sketched count is as near to the exact one as stated."""
+    near = F.abs(F.col("n_symbols") - F.col("n_exact")) <= F.ceil(F.col("n_exact") * SKETCH_ERROR)
+    return exact.join(counted, keys, "left").select(*keys, "n_exact", F.coalesce(near, F.lit(False)).alias("near_exact"))
+
+
 def files_per_config(built: DataFrame) -> DataFrame:
     """Files built per selection; ``file`` without a source counts as unresolved."""
     return built.groupBy("selection_id").agg(
