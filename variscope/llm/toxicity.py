@@ -76,9 +76,9 @@ def _evidence(text: str | None, gains: _Gains, gain: int, damping: int) -> tuple
 
 
 def _trained(passages: list[bytes], size: int, **how: int) -> bytes:
-    """A dictionary of about ``size`` bytes; the passages themselves where zstandard finds too few to train on."""
+    """The last ``size`` bytes, which hold the passages chosen, of a dictionary with room for zstandard's head; the passages where it finds too few."""
     try:
-        return zs.train_dictionary(max(256, size), passages, **how).as_bytes()
+        return zs.train_dictionary(size + 512, passages, **how).as_bytes()[-size:]
     except zs.ZstdError:
         return b"".join(passages)[:size]
 
