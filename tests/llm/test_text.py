@@ -142,6 +142,22 @@ def test_spelled_out_forms_are_added_and_redacted(spark):
     assert sum(any(f"<{k}>" in clean[i] for k in ("EMAIL", "IP", "CARD", "PHONE")) for i in range(first, last)) >= 0.9 * len(loose)
 
 
+def test_trees_learn_from_all_spans(spark):
+    """A kind with few base spans among very many of another is learnt, and every example has its weight."""
+    rows = [(i, " ".join(f"write to u{i}x{j}@mail{j % 7}.example.org" for j in range(100))) for i in range(240)]
+    rows += [(1000 + i, f"call phone +1 (555) {234 + i}-{1000 + i} now") for i in range(6)]
+    rows += [(2000 + i, f"call phone (555) {634 + i}-{3000 + i} now") for i in range(6)] + [(3000, "sum 1234567890129 plain")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = personal.candidates(df).localCheckpoint()
+    drawn = personal.examples(found)
+    got = {(r["kind"], r["label"]): r["n"] for r in drawn.groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()}
+    emails, phones = len(personal.AT_DOT), len(personal.PHONE_FORM)
+    assert got == {(0, 1.0): 24_000 * emails, (0, 0.0): 24_000 * emails, (3, 1.0): 6 * phones, (3, 0.0): 6 * phones, (2, 0.0): 1}
+    assert drawn.count() < 24_000
+    added = {(r["doc_id"], r["kind"], r["start"], r["end"]) for r in personal.select_added(found).join(found.select("row", "doc_id").distinct(), "row").collect()}
+    assert added == {(2000 + i, 3, 11, 25) for i in range(6)}
+
+
 def test_licences(spark, odd, none):
     texts = {
         1: "Intro. Licensed under the Apache License, Version 2.0.\nYou may obtain a copy of the License at http.", 2: "All rights reserved.", 3: None,

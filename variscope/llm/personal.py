@@ -5,7 +5,8 @@ spelled-out, differently separated or unmarked forms, overlapping with them. Boo
 and context features score the loose candidates. They learn from the text itself: base spans are rewritten to
 the loose forms in their own context, which gives examples for them; examples against them are the same with a
 check broken, and loose candidates that fail the check of their kind. Loose candidates that are not known
-to be wrong teach nothing. A threshold for each kind, calibrated on examples of spans kept apart, selects what is added.
+to be wrong teach nothing. All examples are learnt from, equal ones as one row with their number as its weight. A threshold
+for each kind, calibrated on all examples scored by trees that have not seen them, selects what is added.
 
 Patterns use possessive repeats and start at the borders of runs, so matching is linear in the
 length of a text and needs no deep stack; the spans are those of the plain patterns.
@@ -14,8 +15,9 @@ length of a text and needs no deep stack; the spans are those of the plain patte
 from __future__ import annotations
 
 from functools import reduce
+from math import isqrt
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -45,6 +47,8 @@ CANDIDATES = "array<struct<kind:int,base:boolean,i:int,span:string,gap:int,left:
 #: Words before a span that tell its kind.
 CUES = [r"mail|contact|write", r"\bip\b|host|server|address", r"card|visa|paid|account", r"phone|tel|call|fax|mobile"]
 FEATURES = ["kind", "length", "digits", "letters", "groups", "longest", "first", "valid", "small", "cue", "before", "after", "upper"]
+#: Parts into which examples are dealt, each scored by trees that learn from the others.
+PARTS = 4
 #: What at sign and dot of an address, dots of an IP and separators of card and phone digits are rewritten to for the examples.
 AT_DOT = [(" (at) ", "."), ("(at)", "."), ("[at]", "."), (" [at] ", " [dot] "), (" at ", " dot "), ("(at)", "(dot)")]
 IP_DOT = ["[.]", "(.)", " . "]
@@ -152,43 +156,54 @@ def _rewritten() -> Column:
     return F.when(whole & ((F.col("kind") != 3) | digits.rlike("[2-9][0-9]{2}[2-9][0-9]{6}$")), forms)
 
 
-def examples(found: DataFrame, sample: int) -> DataFrame:
-    """(kind, label, part, features) that the trees learn from.
+def examples(found: DataFrame) -> DataFrame:
+    """(kind, label, part, features, n) that the trees learn from; ``n`` examples are equal in all the rest.
 
-    ``sample`` base spans, those with the smallest hashes, rewritten to the loose forms (label 1) and with a check
-    broken (0); and as many loose candidates that overlap no base span and fail the check of their kind (0). ``part``
-    deals them out by the span they come from.
+    All base spans, rewritten to the loose forms (label 1) and with a check broken (0); and all loose candidates that overlap no
+    base span and fail the check of their kind (0). ``part`` deals them out by the span they come from and the text around it,
+    so that copies stay together. Equal spans in equal surroundings are rewritten once.
     """
-    order = F.xxhash64("row", "start", "end", "kind").alias("_order")
-    base = found.where("base").select("kind", "span", "left", "right", order).orderBy("_order").limit(sample)
-    made = base.select("kind", "left", "right", "_order", F.explode(_rewritten()).alias("x")).select("kind", "left", "right", "_order", "x.span", "x.label")
-    wrong = found.where("loose and not any and f_valid = 0").select("kind", "left", "right", order, "span", F.lit(0.0).alias("label")).orderBy("_order").limit(sample)
-    return made.unionByName(wrong).select("kind", "label", F.pmod("_order", F.lit(4)).alias("part"), *[v.alias(f"f_{n}") for n, v in _features().items()])
+    where, inputs = ["kind", "span", "left", "right"], [f"f_{n}" for n in FEATURES]
+    part = F.pmod(F.xxhash64(*where), F.lit(PARTS)).alias("part")
+    base = found.where("base").groupBy(*where).agg(F.count("*").alias("n"))
+    made = base.select("kind", "left", "right", "n", part, F.explode(_rewritten()).alias("x")).select("kind", "left", "right", "n", "part", "x.span", "x.label")
+    made = made.select("kind", "label", "part", *[v.alias(f"f_{n}") for n, v in _features().items()], "n")
+    wrong = found.where("loose and not any and f_valid = 0").select("kind", F.lit(0.0).alias("label"), part, *inputs, F.lit(1).cast("long").alias("n"))
+    return made.unionByName(wrong).groupBy("kind", "label", "part", *inputs).agg(F.sum("n").cast("double").alias("n"))
 
 
-def select_added(found: DataFrame, *, sample: int = 5_000, precision: float = 0.98, trees: int = 20, depth: int = 3) -> DataFrame:
+def select_added(found: DataFrame, *, precision: float = 0.98, trees: int = 20, depth: int = 3) -> DataFrame:
     """(row, kind, start, end) of loose candidates that the boosted trees select.
 
-    The trees learn from the examples of at most ``sample`` base spans and ``sample`` failing candidates, three of four; the
-    rest set, for each kind, the lowest threshold at which ``precision`` of the examples above are right. A kind
-    without base spans adds nothing.
+    The trees learn from all examples. For each kind, the lowest threshold at which ``precision`` of the examples above are right
+    is set on all examples too, each scored by trees that learn from the other parts. A kind without base spans adds nothing.
     """
     inputs = [f"f_{n}" for n in FEATURES]
     wanted = found.where("loose and not any")
     nothing = wanted.where(F.lit(False)).select("row", "kind", "start", "end")
     if wanted.isEmpty():
         return nothing
-    drawn = cut(examples(found, sample))
-    if len(drawn.where("part > 0").select("label").distinct().collect()) < 2:
+    drawn = cut(examples(found))
+    dealt = drawn.groupBy("part", "label").agg(F.count("*").alias("rows")).collect()  # two rows for each part
+    held = {r["part"] for r in dealt}
+    # Parts whose examples can be scored: the others have both labels.
+    parts = sorted(p for p in held if len({r["label"] for r in dealt if r["part"] != p}) == 2)
+    if not parts:
         return nothing
     vectors = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
-    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, checkpointInterval=-1).fit(
-        vectors.transform(drawn.where("part > 0")).select("features", "label").coalesce(2))
+    # Spark looks for splits in a sample of rows unless there are no more of them than the square of the bins.
+    bins = min(46_340, max(32, isqrt(sum(r["rows"] for r in dealt)) + 1))
+    learner = GBTClassifier(
+        featuresCol="features", labelCol="label", weightCol="n", maxIter=trees, maxDepth=depth, maxBins=bins, stepSize=0.3, seed=7, checkpointInterval=-1)
 
-    def scored(df: DataFrame) -> DataFrame:
+    def fitted(df: DataFrame) -> GBTClassificationModel:
+        return learner.fit(vectors.transform(df).select("features", "label", "n"))
+
+    def scored(df: DataFrame, model: GBTClassificationModel) -> DataFrame:
         return model.transform(vectors.transform(df)).withColumn("p", vector_to_array("probability")[1])
 
-    steps = scored(drawn.where("part = 0")).groupBy("kind", F.floor(F.col("p") * 100).alias("step")).agg(F.sum("label").alias("hits"), F.count("*").alias("n")).collect()  # 400 rows at most
+    apart = reduce(DataFrame.unionByName, [scored(drawn.where(F.col("part") == p), fitted(drawn.where(F.col("part") != p))).select("kind", "label", "n", "p") for p in parts])
+    steps = apart.groupBy("kind", F.floor(F.col("p") * 100).alias("step")).agg(F.sum(F.col("label") * F.col("n")).alias("hits"), F.sum("n").alias("n")).collect()  # 404 rows at most
     least = {}
     for kind in range(len(KINDS)):
         hits = n = 0
@@ -200,7 +215,7 @@ def select_added(found: DataFrame, *, sample: int = 5_000, precision: float = 0.
     if not least:
         return nothing
     enough = reduce(lambda a, b: a | b, [(F.col("kind") == k) & (F.col("p") >= max(t, 0.5)) for k, t in least.items()])
-    return scored(wanted).where(enough).select("row", "kind", "start", "end")
+    return scored(wanted, fitted(drawn)).where(enough).select("row", "kind", "start", "end")
 
 
 def find_personal(df: DataFrame, text: str = "text", **options) -> DataFrame:
