@@ -179,8 +179,7 @@ def _(t):
 
 @query("plain_condition", "select file_id, block_no, plain from v_plain where (file_id, block_no) not in (select (file_id, block_no) from v_unsupported)")
 def _(t):
-    plain = t.blocks.filter((F.col("expr") == "") | L.literal_groups(F.col("expr")).isNotNull())
-    return plain.select("file_id", "block_no", L.plain_condition(F.col("expr")).alias("plain"))
+    return L.supported_conditions(t.blocks.select("file_id", "block_no", "expr"))
 
 
 @query("unsupported_blocks", "select file_id, block_no, chain_no from v_unsupported")

@@ -15,7 +15,7 @@ TOP = -1  # block number of the file itself
 
 def unsupported_blocks(blocks: DataFrame) -> DataFrame:
     """Blocks whose condition is outside the literal subset; never guessed."""
-    return blocks.filter((F.col("expr") != "") & L.literal_groups(F.col("expr")).isNull()).select("file_id", "block_no", "chain_no")
+    return blocks.filter((F.col("expr") != "") & ~L.supported(F.col("expr"))).select("file_id", "block_no", "chain_no")
 
 
 def undecided_blocks(blocks: DataFrame) -> DataFrame:
@@ -49,9 +49,9 @@ def enabled_blocks(blocks: DataFrame, builds: DataFrame, assignment: DataFrame)
     ``builds`` says which configurations a file is looked at under, so the work is
     blocks times configurations of the same file, never all times all.
     """
-    usable = blocks.join(unsupported_blocks(blocks).select("file_id", "chain_no").distinct(), ["file_id", "chain_no"], "left_anti")
     groups = F.when(F.col("expr") == "", F.array().cast("array<array<struct<symbol:string,positive:boolean>>>")).otherwise(L.literal_groups(F.col("expr")))
-    usable = cut(usable.select("file_id", "block_no", "chain_no", "depth", "parent_no", groups.alias("_g")))
+    parsed = cut(blocks.select("file_id", "block_no", "chain_no", "depth", "parent_no", groups.alias("_g")))
+    usable = parsed.join(parsed.filter(F.col("_g").isNull()).select("file_id", "chain_no").distinct(), ["file_id", "chain_no"], "left_anti")
     true_vars = assignment.filter("val").select("config_id", F.col("var").alias("symbol"), F.lit(True).alias("_on"))
     place = ["file_id", "config_id", "block_no"]
 
