@@ -122,3 +122,29 @@ def test_include_guard(source):
     lines = source("#ifndef G\n#define G\nx\n#ifdef A\n#endif\n#endif", "#ifndef H\n#define H\n#endif\n#ifdef A\n#endif")
     got = [(r.file_id, r.guard) for r in B.include_guards(lines, B.structure(lines)).collect()]
     assert got == [(0, "G")]
+
+
+def test_short_files_need_one_shuffle(spark, source, tmp_path):
+    source("#ifdef A\n#define X\n#endif", "#if B\n#else\n#endif").write.parquet(str(tmp_path / "lines"))
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    tree = B.structure(lines)
+    assert shuffles(tree) == 1
+    kept = str(tmp_path / "tree")
+    tree.write.parquet(kept)
+    tree = spark.read.parquet(kept)
+    assert shuffles(B.define_versions(lines, tree)) == 1
+    assert shuffles(B.chain_position(B.block_tree(tree))) == 1
+
+
+def test_one_long_file_among_short_ones(spark, tmp_path):
+    """Only the long file's rows carry over; positions that are null or negative count as well."""
+    from variscope.plans.scan import Run, scan
+
+    rows = [(f, n, 1) for f in range(5) for n in range(3)] + [(9, n, 1) for n in range(40)] + [(10, -3, 1), (10, 2, 1)]
+    df = spark.createDataFrame(rows, "f long, n long, v long")
+    runs = [Run("s", "sum", F.col("v")), Run("p", "lag", F.col("n")), Run("q", "lead", F.col("n")), Run("b", "before", F.col("n"))]
+    ordered = lambda out: sorted(map(tuple, out.select("f", "n", "s", "p", "q", "b").collect()))
+    cut_up, whole = ordered(scan(df, ["f"], "n", runs, width=4)), ordered(scan(df.withColumn("n", F.col("n") + 3), ["f"], "n", runs))
+    back = lambda x: None if x is None else x - 3
+    assert cut_up == [(f, n - 3, s, back(p), back(q), back(b)) for f, n, s, p, q, b in whole]

@@ -44,3 +44,18 @@ def test_common_conditions_are_active(spark, source):
     valid = spark.createDataFrame([(1, True)], "config_id long, valid boolean")
     dead = V.observed_dead(V.decided(blocks, unknown), builds, V.enabled_blocks(blocks, builds, config), valid).filter("state = 'never'")
     assert {(r["file_id"], r["block_no"]) for r in dead.collect()} == {(2, 1)}
+
+
+def test_conditions_are_worked_out_once(spark):
+    df = spark.createDataFrame([("A || B",)], "expr string")
+    for made in (L.literal_groups(F.col("expr")), L.plain_condition(F.col("expr"))):
+        plan = df.select(made.alias("g"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("expr#") < 8 and len(plan) < 50_000
+
+
+def test_supported_conditions(spark):
+    rows = SUPPORTED + UNSUPPORTED + ["", None]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, expr string")
+    got = {r["i"]: r["plain"] for r in L.supported_conditions(df).collect()}
+    assert set(got) == {i for i, e in enumerate(rows) if e is not None and e not in UNSUPPORTED}
+    assert got[rows.index("")] == "" and got[rows.index("!(A || B)")] == "!A&&!B"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from variscope.functions import lines as L
-from variscope.plans.scan import SEGMENT, Run, scan
+from variscope.plans.scan import SEGMENT, Run, crossing, scan
 from variscope.plans.skew import lookup
 from variscope.session import cut
 
@@ -20,7 +22,8 @@ def structure(lines: DataFrame, width: int = SEGMENT) -> DataFrame:
     ``next_line`` is the line of the next directive of the chain.
     """
     dirs = L.directives(lines.select("file_id", "line_no", "txt"))
-    dirs = cut(dirs.filter(F.col("kind").isin(*L.CONDITIONAL)))
+    dirs = dirs.filter(F.col("kind").isin(*L.CONDITIONAL))
+    far = crossing(lines, ["file_id"], "line_no", width)
     opens = F.col("kind").isin(*L.OPENERS)
     starts = F.col("kind") != "endif"
     step = F.when(opens, 1).when(~starts, -1).otherwise(0)
@@ -31,7 +34,7 @@ def structure(lines: DataFrame, width: int = SEGMENT) -> DataFrame:
             Run("_n", "sum", starts.cast("bigint")),
             Run("_after_start", "lag", starts),
         ],
-        width=width,
+        width=width, far=far,
     )
     placed = placed.select(
         "file_id", "line_no", "kind", "arg",
@@ -43,14 +46,14 @@ def structure(lines: DataFrame, width: int = SEGMENT) -> DataFrame:
     # the rest of its chain sit at the same depth and inherit the parent.
     parent = F.when(F.col("_first_child"), F.col("block_no") - 1)
     tree = scan(
-        cut(placed), ["file_id", "depth"], "line_no",
+        placed, ["file_id", "depth"], "line_no",
         [
             Run("chain_no", "last", F.when(opens, F.col("block_no"))),
             Run("parent_no", "last", parent),
             Run("_prev", "lag", F.col("block_no")),
             Run("next_line", "lead", F.col("line_no")),
         ],
-        width=width,
+        width=width, far=far,
     )
     return tree.select(
         "file_id", "line_no", "kind", "arg", "depth", "block_no", "chain_no", "parent_no",
@@ -116,15 +119,24 @@ def markers(tree: DataFrame) -> DataFrame:
     return tree.select("file_id", "line_no", inside.alias("inside_no"))
 
 
-def innermost(rows: DataFrame, tree: DataFrame, width: int = SEGMENT) -> DataFrame:
-    """Add ``inside_no`` to rows (file_id, line_no, ...) that are not conditional lines."""
+def _positions(*tables: DataFrame) -> DataFrame:
+    """(file_id, line_no) of all rows of some tables, in which ``crossing`` is found without working the rest out."""
+    return reduce(DataFrame.unionByName, [t.select("file_id", "line_no") for t in tables])
+
+
+def innermost(rows: DataFrame, tree: DataFrame, width: int = SEGMENT, far: DataFrame | str | None = "unknown") -> DataFrame:
+    """Add ``inside_no`` to rows (file_id, line_no, ...) that are not conditional lines.
+
+    ``far`` is the ``crossing`` of both tables, found here unless given.
+    """
     columns = [c for c in rows.columns if c not in ("file_id", "line_no")]
     marks = markers(tree).withColumn("_mark", F.lit(True))
     for c in columns:
         marks = marks.withColumn(c, F.lit(None).cast(rows.schema[c].dataType))
     both = rows.withColumn("inside_no", F.lit(None).cast("bigint")).withColumn("_mark", F.lit(False))
-    both = cut(both.unionByName(marks))
-    filled = scan(both, ["file_id"], "line_no", [Run("_in", "last", F.col("inside_no"))], width=width)
+    if isinstance(far, str):
+        far = crossing(_positions(rows, tree), ["file_id"], "line_no", width)
+    filled = scan(both.unionByName(marks), ["file_id"], "line_no", [Run("_in", "last", F.col("inside_no"))], width=width, far=far)
     return filled.filter(~F.col("_mark")).select(
         "file_id", "line_no", *columns, F.coalesce("_in", F.lit(-1)).alias("inside_no")
     )
@@ -142,8 +154,9 @@ def block_at(locations: DataFrame, tree: DataFrame, width: int = SEGMENT) -> Dat
     asked = locations.select("file_id", "line_no").distinct().select(
         "file_id", "line_no", F.lit(1).alias("_tie"), F.lit(None).cast("bigint").alias("_no")
     )
-    both = cut(asked.unionByName(during).unionByName(after))
-    filled = scan(both, ["file_id"], "line_no", [Run("_in", "last", F.col("_no"))], ties=["_tie"], width=width)
+    both = asked.unionByName(during).unionByName(after)
+    far = crossing(_positions(locations, tree), ["file_id"], "line_no", width)
+    filled = scan(both, ["file_id"], "line_no", [Run("_in", "last", F.col("_no"))], ties=["_tie"], width=width, far=far)
     return filled.filter(F.col("_tie") == 1).select(
         "file_id", "line_no", F.when(F.col("_in") >= 0, F.col("_in")).alias("block_no")
     )
@@ -209,9 +222,10 @@ def decision_blocks(blocks: DataFrame, width: int = SEGMENT) -> DataFrame:
         F.col("l.end_line").alias("start_line"), F.col("l.end_line").alias("end_line"), F.lit(True).alias("dummy"),
     )
     real = blocks.select("file_id", "depth", "kind", "expr", "start_line", "end_line", F.lit(False).alias("dummy"))
+    lines = _positions(*[blocks.select("file_id", F.col(c).alias("line_no")) for c in ("start_line", "end_line")])
     numbered = scan(
-        cut(real.unionByName(dummy)), ["file_id"], "start_line", [Run("_n", "sum", F.lit(1).cast("bigint"))],
-        ties=["dummy"], width=width,
+        real.unionByName(dummy), ["file_id"], "start_line", [Run("_n", "sum", F.lit(1).cast("bigint"))],
+        ties=["dummy"], width=width, far=crossing(lines, ["file_id"], "line_no", width),
     )
     return numbered.withColumn("block_no", F.col("_n") - 1).drop("_n")
 
@@ -223,8 +237,9 @@ def define_versions(lines: DataFrame, tree: DataFrame, width: int = SEGMENT) ->
         "file_id", "line_no", (F.col("kind") == "undef").alias("is_undef"),
         F.regexp_extract("arg", r"^([A-Za-z_][A-Za-z0-9_]*)", 1).alias("symbol"),
     )
-    placed = cut(innermost(named, tree, width))
-    return scan(placed, ["file_id", "symbol"], "line_no", [Run("version", "sum", F.lit(1).cast("bigint"))], width=width).select(
+    far = crossing(_positions(lines, tree), ["file_id"], "line_no", width)
+    placed = innermost(named, tree, width, far)
+    return scan(placed, ["file_id", "symbol"], "line_no", [Run("version", "sum", F.lit(1).cast("bigint"))], width=width, far=far).select(
         "file_id", F.col("inside_no").alias("block_no"), "line_no", "symbol", "is_undef", "version"
     )
 
@@ -235,8 +250,8 @@ def symbol_versions(blocks: DataFrame, defines: DataFrame, width: int = SEGMENT)
                          F.explode(L.symbols_of(F.col("expr"))).alias("symbol"), F.lit(0).cast("bigint").alias("_d"))
     defs = defines.select("file_id", F.lit(None).cast("bigint").alias("block_no"), "line_no", "symbol",
                           F.lit(1).cast("bigint").alias("_d"))
-    both = cut(uses.unionByName(defs))
-    return scan(both, ["file_id", "symbol"], "line_no", [Run("version", "sum", F.col("_d"))], width=width).filter(
+    far = crossing(_positions(blocks.withColumnRenamed("start_line", "line_no"), defines), ["file_id"], "line_no", width)
+    return scan(uses.unionByName(defs), ["file_id", "symbol"], "line_no", [Run("version", "sum", F.col("_d"))], width=width, far=far).filter(
         F.col("block_no").isNotNull()
     ).select("file_id", "block_no", "symbol", "version")
 

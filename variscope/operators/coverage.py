@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from variscope.functions import lines as L
 from variscope.operators.blocks import innermost
-from variscope.plans.scan import Run, scan
+from variscope.plans.scan import Run, crossing, scan
 from variscope.plans.skew import lookup
 from variscope.session import cut
 
@@ -124,7 +124,8 @@ def added_blocks(enabled: DataFrame, width: int = 1 << 16) -> DataFrame:
     added = first.groupBy("file_id", "config_id").agg(F.count(F.lit(1)).alias("n_added"))
     tried = enabled.select("file_id", "config_id").distinct()
     rows = tried.join(added, ["file_id", "config_id"], "left").withColumn("n_added", F.coalesce("n_added", F.lit(0)))
-    return scan(cut(rows), ["file_id"], "config_id", [Run("n_total", "sum", F.col("n_added"))], width=width)
+    far = crossing(enabled, ["file_id"], "config_id", width)
+    return scan(rows, ["file_id"], "config_id", [Run("n_total", "sum", F.col("n_added"))], width=width, far=far)
 
 
 def uncovered_blocks(enabled: DataFrame, all_blocks: DataFrame) -> DataFrame:

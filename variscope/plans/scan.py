@@ -4,6 +4,9 @@ A plain window puts a whole group (a file, a configuration) in one task. Here ea
 group is split into segments of the integer column ``by``; windows run inside a
 segment, and one row per segment carries the state over the segment boundary. The
 carry window sees one row per segment, so a group of a trillion rows still spreads.
+
+Only groups that leave the first segment need a carry. They are looked for first, by a filter that a
+stored table answers from its statistics; where there are none, one window is all there is.
 """
 
 from __future__ import annotations
@@ -32,6 +35,13 @@ class Run:
     value: Column
 
 
+def crossing(df: DataFrame, keys: list[str], by: str, width: int = SEGMENT) -> DataFrame | None:
+    """Keys of the groups with rows outside of segment 0, or None when there are none."""
+    at = F.col(by)
+    far = df.filter(at.isNull() | (at < 0) | (at >= width)).select(*keys)
+    return None if far.isEmpty() else cut(far.distinct())
+
+
 def scan(
     df: DataFrame,
     keys: list[str],
@@ -39,12 +49,21 @@ def scan(
     runs: list[Run],
     ties: list[str] | None = None,
     width: int = SEGMENT,
+    far: DataFrame | str | None = "unknown",
 ) -> DataFrame:
     """Add the running columns ``runs`` over ``keys`` in order of ``by`` then ``ties``.
 
-    ``df`` is read twice; hand in a table (``cut``) when computing it is costly.
+    Where groups leave their first segment, ``df`` is read twice; hand in a table (``cut``) when computing it is costly.
+    Or hand in ``far``, the ``crossing`` of ``df`` or of a table with at least its groups and positions, over some of the
+    keys: then ``df`` is written here, and only where it has to be.
     """
     order = [by, *(ties or [])]
+    if isinstance(far, str):
+        far = crossing(df, keys, by, width)
+    elif far is not None:
+        df = cut(df)
+    if far is None:
+        return _in_one(df, keys, order, runs)
     df = df.withColumn("_scan_seg", F.floor(F.col(by) / F.lit(width)).cast("bigint"))
     for r in runs:
         df = df.withColumn(f"_v_{r.name}", r.value)
@@ -78,10 +97,9 @@ def scan(
         else:
             raise ValueError(r.kind)
 
-    # Rows that would carry nothing are dropped: when no group crosses a segment
-    # the carry side is empty and adaptive execution removes the join.
+    # Rows that would carry nothing are dropped.
     carry = (
-        df.groupBy(*keys, "_scan_seg")
+        df.join(far.distinct(), far.columns, "left_semi").groupBy(*keys, "_scan_seg")
         .agg(*totals)
         .select(*keys, "_scan_seg", *carries)
         .filter(F.coalesce(*[F.col(f"_c_{r.name}").cast("string") for r in runs]).isNotNull())
@@ -114,4 +132,20 @@ def scan(
     return joined.select(*base, *out)
 
 
-__all__ = ["Run", "scan", "SEGMENT", "cut"]
+def _in_one(df: DataFrame, keys: list[str], order: list[str], runs: list[Run]) -> DataFrame:
+    """``scan`` where no group leaves its first segment."""
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    value = {
+        "sum": lambda v: F.coalesce(F.sum(v).over(upto), F.lit(0)),
+        "last": lambda v: F.last(v, ignorenulls=True).over(upto),
+        "before": lambda v: F.last(v, ignorenulls=True).over(earlier),
+        "lag": lambda v: F.lag(v).over(inside),
+        "lead": lambda v: F.lead(v).over(inside),
+    }
+    base = [c for c in df.columns if c not in [r.name for r in runs]]
+    return df.select(*base, *[value[r.kind](r.value).alias(r.name) for r in runs])
+
+
+__all__ = ["Run", "crossing", "scan", "SEGMENT", "cut"]
