@@ -237,3 +237,41 @@ def test_tree_of_defects_is_one_document_for_each_top_directory(spark):
     got = {top: json.loads("".join(r["piece"] for r in pieces if r["top"] == top)) for top in {r["top"] for r in pieces}}
     assert got == want
     assert defect_tree_json(defects.limit(0), blocks, files).count() == 0
+
+
+def test_slices_with_equal_marks_are_made_once(spark, source):
+    """Verdicts by marks equal those of all slices, with defines, nesting, long chains and marks too large to collect."""
+    texts = (
+        "#ifdef A\n#if B\n#endif\n#endif", "#if X\n#endif\n#ifdef A\n#if B\n#endif\n#endif", "#ifdef A\n#if !A\n#endif\n#elif A\n#else\n#endif",
+        "#ifdef A\n#define B\n#if B && !A\n#endif\n#if !B\n#endif\n#endif", "#if A\n#define C\n#endif\n#if C\n#if !A\n#endif\n#endif",
+        "#if 0\n#else\n#endif", "#if (A && B) || C\n#ifdef A\n#endif\n#endif", "#if A\n#elif B\n#elif C\n#else\n#if A\n#endif\n#endif",
+    )
+    lines = source(*texts)
+    tree = B.structure(lines)
+    blocks, defines = B.block_tree(tree), B.define_versions(lines, tree)
+    rewritten = B.rewrite_symbols(blocks, defines)
+
+    def told(keys, verdicts):
+        return sorted(map(tuple, keys.join(verdicts, "sid").select("file_id", "block_no", "suffix", "verdict").collect()))
+
+    keys, _, verdicts = D.code_verdicts(D.tested_slices(blocks, rewritten, defines))
+    few, _, same = D.marked_verdicts(blocks, rewritten, defines)
+    assert told(keys, verdicts) == told(few, same)
+    member_rows = C.closure_members(blocks, defines)
+    marks = {(r["file_id"], r["block_no"]): r["mark"] for r in C.slice_marks(rewritten, defines, member_rows).collect()}
+    assert marks[0, 0] == marks[1, 1] and marks[0, 1] == marks[1, 2] and len({marks[k] for k in [(0, 0), (0, 1), (1, 0), (2, 1), (3, 1)]}) == 5
+    alone = [r["mark"] for r in C.slice_marks(rewritten, defines, member_rows, limit=1).collect()]
+    assert len(alone) == len(marks) and "0:1" in alone and "1:0" not in alone
+
+
+def test_slices_over_the_limit_are_merged_all_the_same(spark):
+    lit = lambda v, p: (v, p)
+    rows = [(1, 5, [lit("B5", True)]), (1, 5, [lit("B5", False), lit("A", True)]), (2, 7, [lit("B7", True)]), (2, 7, [lit("B7", False), lit("A", True)]),
+            (3, 1, [lit("B1", True)]), (3, 1, [lit("B1", True)]), (3, 1, [lit("B1", True)]), (4, 1, [lit("B1", True)])]
+    df = spark.createDataFrame(rows, "file_id long, block_no long, lits array<struct<var:string,positive:boolean>>")
+    for limit in (4096, 2, 1):
+        keys, merged = E.merge_equal(df, ["file_id", "block_no"], limit)
+        sid = {r["file_id"]: r["sid"] for r in keys.collect()}
+        assert (sid[1] == sid[2]) == (limit > 1) and sid[3] == sid[4]
+        clauses = sorted((r["sid"], tuple(tuple(x) for x in r["lits"])) for r in merged.collect())
+        assert clauses == sorted({(sid[f], c) for f, own in ((1, 1), (2, 1), (3, 1), (4, 1)) for c in ([((f"B{own}", True),)] + [(("A", True), (f"B{own}", False))] * (f < 3))})
