@@ -275,3 +275,12 @@ def test_slices_over_the_limit_are_merged_all_the_same(spark):
         assert (sid[1] == sid[2]) == (limit > 1) and sid[3] == sid[4]
         clauses = sorted((r["sid"], tuple(tuple(x) for x in r["lits"])) for r in merged.collect())
         assert clauses == sorted({(sid[f], c) for f, own in ((1, 1), (2, 1), (3, 1), (4, 1)) for c in ([((f"B{own}", True),)] + [(("A", True), (f"B{own}", False))] * (f < 3))})
+
+
+def test_slices_of_some_blocks_only(spark, source):
+    tree = B.structure(source("#ifdef A\n#if B\n#endif\n#else\n#endif\n#if C\n#endif", "#if A\n#endif"))
+    blocks = B.block_tree(tree)
+    only = spark.createDataFrame([(0, 1)], "file_id long, block_no long")
+    shown = lambda df: sorted((r["file_id"], r["block_no"], str(r["lits"])) for r in df.collect())
+    every = shown(C.block_slices(blocks, blocks, None))
+    assert shown(C.block_slices(blocks, blocks, None, None, only)) == [r for r in every if r[:2] == (0, 1)] != []

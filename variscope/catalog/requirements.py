@@ -34,9 +34,11 @@ union select 'FILE_' || translate(path, '/-+:,', '_____') from v_source_file whe
 union select case when list = 'white' then '' else '!' end || item from v_list_item"""
 
 
-def block_slices(t):
-    """(file_id, block_no, lits): each block's own clauses and the claim that it is active."""
+def block_slices(t, only=None):
+    """(file_id, block_no, lits): each block's own clauses and the claim that it is active; with ``only`` of just these blocks."""
     claim = t.blocks.select(*Q.ID, F.array(C.yes(C.block_var(F.col("block_no")))).alias("lits"))
+    if only is not None:
+        return C.block_slices(t.blocks, t.blocks, None, None, only).unionByName(claim.join(only, Q.ID, "left_semi"))
     return t._keep("block_slices", lambda: C.block_slices(t.blocks, t.blocks, None).unionByName(claim))
 
 
@@ -56,7 +58,7 @@ def _(t):
 
 @query("merge_requirements", merged_sql("v_located"))
 def _(t):
-    return Q.merge_requirements(located(t), block_slices(t), verdicts(t), t.source_file, t.list_item)
+    return Q.merge_requirements(located(t), block_slices(t, located(t)), verdicts(t), t.source_file, t.list_item)
 
 
 @query("merge_left_out", "select file_id, block_no from v_located except select file_id, block_no from v_slice_model")
