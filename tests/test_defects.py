@@ -284,3 +284,12 @@ def test_slices_of_some_blocks_only(spark, source):
     shown = lambda df: sorted((r["file_id"], r["block_no"], str(r["lits"])) for r in df.collect())
     every = shown(C.block_slices(blocks, blocks, None))
     assert shown(C.block_slices(blocks, blocks, None, None, only)) == [r for r in every if r[:2] == (0, 1)] != []
+
+
+def test_blocks_without_a_chain_keep_their_slices(spark, source):
+    blocks = B.block_tree(B.structure(source("#else\n#endif\n#if A\n#endif", "#if B\n#endif")))
+    assert not blocks.filter("chain_no is null").isEmpty()
+    keys, _, verdicts = D.code_verdicts(D.tested_slices(blocks, blocks, None))
+    few, _, same = D.marked_verdicts(blocks, blocks, None)
+    told = lambda k, v: sorted(map(tuple, k.join(v, "sid").select("file_id", "block_no", "suffix", "verdict").collect()))
+    assert told(keys, verdicts) == told(few, same)
