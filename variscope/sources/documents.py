@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -176,12 +177,24 @@ class _Writer(DataSourceArrowWriter):
         where.open_output_stream(f"{root}/_SUCCESS").close()
 
     def abort(self, messages: list[_Written | None]) -> None:
-        self._clear()
-
-    def _clear(self) -> None:
+        """Tasks that Spark kills may write on for a moment, so the drafts are gone when they stay gone."""
+        quiet = 0
+        for _ in range(40):
+            try:
+                quiet = 0 if self._clear() else quiet + 1
+            except OSError:  # a draft came while they were deleted
+                quiet = 0
+            if quiet == 8:
+                break
+            time.sleep(0.25)
+
+    def _clear(self) -> bool:
+        """Whether there were drafts."""
         where, root = store(self.path)
-        if where.get_file_info(f"{root}/{self.drafts}").type == fs.FileType.Directory:
+        found = where.get_file_info(f"{root}/{self.drafts}").type == fs.FileType.Directory
+        if found:
             where.delete_dir(f"{root}/{self.drafts}")
+        return found
 
 
 class LineDocuments(DataSource):
